@@ -7,16 +7,51 @@ below other operators.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kernspan.functions.vectors import let
+
 
-def hash_uniform(id_col: Column | str, seed: int | str, round_no: int = 0) -> Column:
-    """A uniform double in [0, 1) from md5 of ``seed:round:id``, 32 bits wide."""
+def _digest(id_col: Column | str, seed: int | str, round_no: int) -> Column:
     col = F.col(id_col) if isinstance(id_col, str) else id_col
-    key = F.concat_ws(":", F.lit(str(seed)), F.lit(str(round_no)), col.cast("string"))
-    head = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return head / F.lit(4294967296.0)
+    return F.md5(F.concat(F.lit(f"{seed}:{round_no}:"), col.cast("string")))
+
+
+def _word(digest: Column, part: int) -> Column:
+    return F.substring(digest, 8 * part + 1, 8)
+
+
+def hash_uniform(
+    id_col: Column | str, seed: int | str, round_no: int = 0, part: int = 0
+) -> Column:
+    """A uniform double in [0, 1) from md5 of ``seed:round:id``, 32 bits wide.
+
+    The digest holds four independent numbers; ``part`` 0 .. 3 picks one, so
+    several uniforms of a row can share one digest.
+    """
+    word = F.conv(_word(_digest(id_col, seed, round_no), part), 16, 10)
+    return word.cast("bigint") / F.lit(4294967296.0)
+
+
+def any_uniform_below(
+    id_col: Column | str, seed: int | str, round_no: int, parts: int, share: float
+) -> Column:
+    """Whether one of the first ``parts`` uniforms of a digest is below ``share``.
+
+    The digest is computed once and compared as text, without conversion.
+    """
+    limit = F.lit(f"{math.ceil(share * 4294967296):08x}")
+
+    def hit(digest: Column) -> Column:
+        hits = _word(digest, 0) < limit
+        for part in range(1, parts):
+            hits = hits | (_word(digest, part) < limit)
+        return hits
+
+    return let(_digest(id_col, seed, round_no), hit)
 
 
 def nested_level(u: Column, n_levels: int) -> Column:

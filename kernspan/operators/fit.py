@@ -94,13 +94,26 @@ def weighted_outer(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (features * weights[:, None]).T @ features
 
 
-def _require_bounded(spaces: DataFrame, by: str, limit: int) -> None:
-    worst = spaces.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    if worst > limit:
+#: landmarks from which on each dual subspace should get a task of its own
+PARALLEL_LANDMARKS = 500
+
+
+def bounded_groups(rows: DataFrame, limit: int) -> DataFrame:
+    """Landmark rows, checked to have no group beyond ``limit``.
+
+    Groups are small in bytes but cubic in work: large ones are spread so that
+    adaptive coalescing does not fit one after the other in a single task.
+    """
+    sizes = rows.groupBy("space_id").count()
+    groups, worst = sizes.agg(F.count(F.lit(1)), F.max("count")).first()
+    if (worst or 0) > limit:
         raise ValueError(
             f"a subspace has {worst} landmarks, more than {limit} fit the dual form; "
             "fit form='primal' or raise max_landmarks"
         )
+    if (worst or 0) < PARALLEL_LANDMARKS or groups < 2:
+        return rows
+    return rows.repartition(4 * groups, "space_id")
 
 
 def fit(
@@ -127,7 +140,7 @@ def fit(
         return materialize(_fit_primal(rows, kernel, schema))
     if form != "dual":
         raise ValueError(f"form must be 'dual' or 'primal', not {form!r}")
-    _require_bounded(spaces, by, max_landmarks)
+    rows = bounded_groups(rows, max_landmarks)
 
     def one_space(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "id"], kind="stable")
@@ -230,7 +243,6 @@ def kernel_gram(spaces: DataFrame, kernel: Kernel | None = None) -> DataFrame:
     The result is m^2 rows per subspace by definition, and m is bounded.
     """
     kernel = kernel or linear()
-    _require_bounded(spaces, "space_id", MAX_LANDMARKS)
     schema = T.StructType(
         [
             spaces.schema["space_id"],
@@ -255,7 +267,7 @@ def kernel_gram(spaces: DataFrame, kernel: Kernel | None = None) -> DataFrame:
             }
         )
 
-    rows = spaces.select("space_id", "ord", "x")
+    rows = bounded_groups(spaces.select("space_id", "ord", "x"), MAX_LANDMARKS)
     return rows.groupBy("space_id").applyInArrow(entries, schema)
 
 

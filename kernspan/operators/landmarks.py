@@ -9,24 +9,44 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kernspan.functions.uniform import hash_uniform
-from kernspan.operators.sampling import bottomk_by_score, numbered
+from kernspan.functions.uniform import any_uniform_below, hash_uniform
+from kernspan.operators.sampling import numbered, ranked_limit
 from kernspan.session import broadcast_if_small, materialize
 
 SPACE_COLUMNS = ("space_id", "ord", "id", "x", "reg")
 
 
 def uniform_spaces(df: DataFrame, n_spaces: int, m: int, seed: int | str) -> DataFrame:
-    """Independent uniform samples of m rows ``(id, x)``, one per subspace."""
+    """Independent uniform samples of m rows ``(id, x)``, one per subspace.
+
+    A sample is the m rows with the smallest hash uniforms. One scan keeps the
+    rows below a share that holds more than m of each subspace; only those few
+    are ranked. Should a subspace have fewer, the share grows until none has.
+    """
+    coins = [f"coin_{s}" for s in range(n_spaces)]
+    rows = df.select(
+        "id", "x", *[hash_uniform("id", seed, s // 4, s % 4).alias(c) for s, c in enumerate(coins)]
+    )
+    n_rows = df.count()
+    share = 2.0 * (m + 50) / max(n_rows, 1)
+    while share < 0.5:
+        near = [
+            any_uniform_below("id", seed, first // 4, min(4, n_spaces - first), share)
+            for first in range(0, n_spaces, 4)
+        ]
+        few = materialize(rows.filter(reduce(Column.__or__, near)).repartition("id"))
+        counts = few.agg(*[F.count_if(F.col(c) < share) for c in coins]).first()
+        if min(counts) >= m:
+            rows = few
+            break
+        share *= 2
 
     def one(space_id: int) -> DataFrame:
-        drawn = bottomk_by_score(
-            df.select("id", "x", hash_uniform("id", seed, space_id).alias("score")), m
-        )
-        order = [F.round("score", 9), F.col("id")]
+        order = [F.col(coins[space_id]), F.col("id")]
+        drawn = ranked_limit(rows.select("id", "x", coins[space_id]), order, m)
         return numbered(drawn, order).select(
             F.lit(space_id).alias("space_id"), "ord", "id", "x", F.lit(1.0).alias("reg")
         )

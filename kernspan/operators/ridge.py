@@ -54,7 +54,6 @@ def with_targets(
 
 
 def _fit(spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int) -> DataFrame:
-    fitting._require_bounded(spaces, "space_id", max_landmarks)
     schema = T.StructType(
         [
             spaces.schema["space_id"],
@@ -87,7 +86,9 @@ def _fit(spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int) -> D
         ]
         return pd.concat(parts)
 
-    rows = spaces.select("space_id", "ord", "id", "x", "reg", "targets")
+    rows = fitting.bounded_groups(
+        spaces.select("space_id", "ord", "id", "x", "reg", "targets"), max_landmarks
+    )
     return materialize(rows.groupBy("space_id").applyInPandas(solve, schema))
 
 

@@ -73,12 +73,12 @@ def _load(models: DataFrame, kernel: Kernel, projection: bool, max_bytes: int) -
         matrices = [factor.alias("factor"), residual.alias("residual")]
     else:
         matrices = [F.col(c) for c in needed]
-    sizes = models.select("space_id", (size * 8).alias("bytes")).orderBy("space_id").collect()
+    sizes = models.select("space_id", (size * 8).alias("bytes")).collect()
     if not sizes:
         raise ValueError("no models to score against")
     chunks: list[list] = [[]]
     filled = 0
-    for row in sizes:
+    for row in sorted(sizes, key=lambda row: row["space_id"]):
         if row["bytes"] is None or row["bytes"] <= 0:
             raise ValueError(
                 "these models lack the matrices for this score; fit form='dual'"

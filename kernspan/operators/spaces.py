@@ -39,28 +39,33 @@ class SubspaceCollection:
         kernel: Kernel | None = None,
         capacity: int = 5,
         form: str = "dual",
+        durable: bool = False,
     ) -> SubspaceCollection:
-        """A collection whose slot 0 is ``sample`` (``ord, id, x, reg``)."""
+        """A collection whose slot 0 is ``sample`` (``ord, id, x, reg``).
+
+        A sample is materialised unless it is ``durable``, i.e. already is.
+        """
         if capacity < 1:
             raise ValueError("capacity must be at least 1")
         kernel = kernel or linear()
-        spaces = _in_slot(sample, 0)
+        spaces = _in_slot(sample, 0, durable)
         models = fit(spaces, lam, kernel, form)
         return cls(spaces, models, lam, kernel, capacity, 1, 0, form)
 
-    def append(self, sample: DataFrame) -> SubspaceCollection:
+    def append(self, sample: DataFrame, durable: bool = False) -> SubspaceCollection:
         """Add a subspace; an error when all slots are taken."""
         if self.count >= self.capacity:
             raise ValueError(f"all {self.capacity} slots are taken")
-        return replace(self._with_slot(sample, self.count), count=self.count + 1)
+        return replace(self._with_slot(sample, self.count, durable), count=self.count + 1)
 
-    def append_circular(self, sample: DataFrame) -> SubspaceCollection:
+    def append_circular(self, sample: DataFrame, durable: bool = False) -> SubspaceCollection:
         """Add a subspace, in place of the oldest one when all slots are taken."""
         if self.count < self.capacity:
-            return self.append(sample)
+            return self.append(sample, durable)
         kept = self._without_slot(self.oldest)
         return replace(
-            kept._with_slot(sample, self.oldest), oldest=(self.oldest + 1) % self.capacity
+            kept._with_slot(sample, self.oldest, durable),
+            oldest=(self.oldest + 1) % self.capacity,
         )
 
     def remove(self, slot: int) -> SubspaceCollection:
@@ -107,8 +112,8 @@ class SubspaceCollection:
     def cross_leverage_matrix(self) -> DataFrame:
         return S.cross_leverage_matrix(self.spaces, self.models, self.kernel)
 
-    def _with_slot(self, sample: DataFrame, slot: int) -> SubspaceCollection:
-        added = _in_slot(sample, slot)
+    def _with_slot(self, sample: DataFrame, slot: int, durable: bool) -> SubspaceCollection:
+        added = _in_slot(sample, slot, durable)
         models = fit(added, self.lam, self.kernel, self.form)
         return replace(
             self,
@@ -121,8 +126,6 @@ class SubspaceCollection:
         return replace(self, spaces=self.spaces.filter(other), models=self.models.filter(other))
 
 
-def _in_slot(sample: DataFrame, slot: int) -> DataFrame:
-    """The landmarks of a slot, materialised: they may come from a long plan."""
-    return materialize(
-        sample.select(F.lit(slot).alias("space_id"), *SPACE_COLUMNS[1:])
-    )
+def _in_slot(sample: DataFrame, slot: int, durable: bool) -> DataFrame:
+    rows = sample.select(F.lit(slot).alias("space_id"), *SPACE_COLUMNS[1:])
+    return rows if durable else materialize(rows)

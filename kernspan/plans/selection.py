@@ -6,14 +6,19 @@ the best ``max_rows``, refit. The driver holds numbers only (lambda, totals, the
 stop rule); landmarks and models stay tables, cut from their lineage through the
 shared checkpoint folder once per round.
 
-The input is read twice per round with only ``id`` and ``x``. Pass a table
-that is cheap to scan (written, or persisted where it fits).
+The input is read twice per round with only ``id`` and ``x``. A table of at most
+``SPREAD_ROWS`` rows per core is spread over the cores and kept in memory for the
+run of a plan; a larger one is scanned again in each pass, so it should be one
+that is cheap to scan (a written table rather than a long derivation).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +37,9 @@ from kernspan.session import materialize
 #: feature dimension up to which the primal form is used for scoring
 MAX_PRIMAL_DIM = 4096
 
+#: rows per core up to which a plan keeps its input in memory
+SPREAD_ROWS = 200_000
+
 #: drop of the total leverage that counts as an improvement must exceed this
 MIN_GAIN = 1.0
 
@@ -60,12 +68,13 @@ class Selection:
         return self.spaces.sparkSession.createDataFrame(self.history, HISTORY_SCHEMA)
 
 
-def _scoring_form(sample: DataFrame, kernel: Kernel) -> str:
+def _scoring_form(sample: DataFrame, size: int, kernel: Kernel) -> str:
     """Selection only needs leverages: prefer the form with D^2 numbers."""
+    if not size:
+        raise ValueError("the first sample is empty")
     if not kernel.explicit:
         return "dual"
-    first = sample.select(F.size("x")).first()
-    return "primal" if first and first[0] <= MAX_PRIMAL_DIM else "dual"
+    return "primal" if sample.select(F.size("x")).first()[0] <= MAX_PRIMAL_DIM else "dual"
 
 
 def _draw(
@@ -75,10 +84,10 @@ def _draw(
     max_rows: int,
     beta: float | None = None,
     ascending: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """Sample by score and keep the ``max_rows`` best: ``ord, id, x, reg``.
 
-    Equal scores are ranked by the row's coin, so a cut among them is fair.
+    The sample is materialised and comes with its size. Equal scores are ranked by the row's coin, so a cut among them is fair.
     """
     with_coin = scored.withColumn("coin", hash_uniform("id", seed, round_no))
     if beta is None:
@@ -90,15 +99,28 @@ def _draw(
     order = [rank.asc() if ascending else rank.desc(), F.col("coin"), F.col("id")]
     drawn = sampling.numbered(cut(kept, max_rows, ties=("coin", "id")), order)
     reg = F.least(F.col("score"), F.lit(1.0)).alias("reg")
-    return materialize(drawn.select("ord", "id", "x", reg))
+    sample = materialize(drawn.select("ord", "id", "x", reg))
+    return sample, sample.count()
 
 
 def _total(df: DataFrame, models: DataFrame, kernel: Kernel) -> float:
     return leverage_min(df, models, kernel).agg(F.sum("leverage")).first()[0] or 0.0
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.select("id", "x")
+@contextmanager
+def _input(df: DataFrame, n_rows: int | None) -> Iterator[tuple[DataFrame, int]]:
+    """The table a plan scans repeatedly, and its row count."""
+    rows = df.select("id", "x")
+    n_rows = rows.count() if n_rows is None else n_rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if n_rows > SPREAD_ROWS * cores:
+        yield rows, n_rows
+        return
+    kept = rows.repartition(cores, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept, n_rows
+    finally:
+        kept.unpersist()
 
 
 def nystrom_bless(
@@ -113,36 +135,41 @@ def nystrom_bless(
 
     ``max_rounds`` ends the schedule early; round 0 counts.
     """
-    kernel = kernel or linear()
-    df = _vectors(df)
-    n_rows = df.count() if n_rows is None else n_rows
-    plan = SingleSpaceSchedule(n_rows)
-    rounds = plan.rounds if max_rounds is None else min(plan.rounds, max_rounds)
-    factor = F.lit(plan.score_factor)
+    with _input(df, n_rows) as (rows, n_rows):
+        plan = SingleSpaceSchedule(n_rows)
+        rounds = plan.rounds if max_rounds is None else min(plan.rounds, max_rounds)
+        return _bless(rows, plan, kernel or linear(), seed, max_rows, rounds)
 
-    def capped(score):
-        return F.least(score * factor, F.lit(1.0))
 
-    scored = df.withColumn("score", capped(kernel_norm_column(df, kernel)))
-    sample = _draw(scored, seed, 0, max_rows, plan.beta_at(0), ascending=True)
-    form = _scoring_form(sample, kernel)
-    if sample.isEmpty():
-        raise ValueError("the first sample is empty")
+def _bless(
+    df: DataFrame,
+    plan: SingleSpaceSchedule,
+    kernel: Kernel,
+    seed: int | str,
+    max_rows: int,
+    rounds: int,
+) -> Selection:
+    factor = F.lit(plan.score_factor)
     spaces = models = None
-    history = []
+    form, history = "dual", []
     for round_no in range(rounds):
         lam = plan.lambda_at(round_no)
         if round_no:
-            scored = leverage_min(df, models, kernel, out="leverage")
-            scored = scored.withColumn("score", capped(F.col("leverage"))).drop("leverage")
-            sample = _draw(scored, seed, round_no, max_rows, plan.beta_at(round_no))
-        size = sample.count()
+            scored = leverage_min(df, models, kernel, out="score")
+        else:
+            scored = df.withColumn("score", kernel_norm_column(df, kernel))
+        capped = scored.withColumn("score", F.least(F.col("score") * factor, F.lit(1.0)))
+        sample, size = _draw(
+            capped, seed, round_no, max_rows, plan.beta_at(round_no), ascending=round_no == 0
+        )
+        if round_no == 0:
+            form = _scoring_form(sample, size, kernel)
         if size:
             spaces = sample.select(F.lit(0).alias("space_id"), "*")
-            models = fit(spaces, lam * n_rows, kernel, form)
+            models = fit(spaces, lam * plan.n_rows, kernel, form)
         total = _total(df, models, kernel)
         history.append((round_no, lam, size, 1, total, size > 0))
-    return Selection(spaces, models, lam * n_rows, history)
+    return Selection(spaces, models, lam * plan.n_rows, history)
 
 
 def nystrom_spaces(
@@ -160,33 +187,52 @@ def nystrom_spaces(
     Stops after ``max_non_improv`` more rounds without than with improvement
     and returns the best collection seen.
     """
-    kernel = kernel or linear()
-    df = _vectors(df)
-    n_rows = df.count() if n_rows is None else n_rows
-    plan = MultiSpaceSchedule(n_rows)
-    factor = F.lit(plan.score_factor)
+    with _input(df, n_rows) as (rows, n_rows):
+        return _spaces(
+            rows,
+            MultiSpaceSchedule(n_rows),
+            kernel or linear(),
+            seed,
+            max_rows,
+            max_spaces,
+            max_non_improv,
+            max_rounds,
+        )
 
-    scored = df.withColumn("score", kernel_norm_column(df, kernel) * factor)
-    sample = _draw(scored, seed, 0, max_rows)
-    size = sample.count()
-    if not size:
-        raise ValueError("the first sample is empty")
-    form = _scoring_form(sample, kernel)
-    current = SubspaceCollection.create(sample, plan.lambda_at(0), kernel, max_spaces, form)
+
+def _spaces(
+    df: DataFrame,
+    plan: MultiSpaceSchedule,
+    kernel: Kernel,
+    seed: int | str,
+    max_rows: int,
+    max_spaces: int,
+    max_non_improv: int,
+    max_rounds: int | None,
+) -> Selection:
+    lam = plan.lambda_at(0)
+    scored = df.withColumn("score", kernel_norm_column(df, kernel))
+    sample, size = _draw(
+        sampling.scale_scores(scored, plan.score_factor), seed, 0, max_rows
+    )
+    form = _scoring_form(sample, size, kernel)
+    current = SubspaceCollection.create(sample, lam, kernel, max_spaces, form, durable=True)
     best, best_total = current, _total(df, current.models, kernel)
-    history = [(0, plan.lambda_at(0), size, 1, best_total, True)]
+    history = [(0, lam, size, 1, best_total, True)]
     misses, round_no = 0, 1
     while misses < max_non_improv and (max_rounds is None or round_no < max_rounds):
         lam = plan.lambda_at(round_no)
         if current.count == max_spaces and max_spaces > 1:
             current = current.remove((round_no - 1) % (max_spaces - 1))
-        current = current.update_lambda(lam)
+        if lam != current.lam:
+            current = current.update_lambda(lam)
         scored = current.leverage_min(df, out="score")
-        scored = sampling.scale_scores(scored, plan.score_factor)
-        sample = _draw(scored, seed, round_no, max_rows)
-        size = sample.count()
+        sample, size = _draw(
+            sampling.scale_scores(scored, plan.score_factor), seed, round_no, max_rows
+        )
         if size:
-            current = current.append(sample) if max_spaces > 1 else current.append_circular(sample)
+            # a collection of one slot has nothing to keep: its slot is replaced
+            current = current.append_circular(sample, durable=True)
         total = _total(df, current.models, kernel)
         improved = size > 0 and total - best_total < -MIN_GAIN
         if improved:
@@ -204,14 +250,6 @@ def nystrom_spaces_packed(packs: DataFrame, **options) -> Selection:
     return nystrom_spaces(unpack_vectors(packs), **options)
 
 
-def _scaled_leverage(
-    df: DataFrame, spaces: DataFrame, lam: float, kernel: Kernel, form: str
-) -> DataFrame:
-    models = fit(spaces, lam, kernel, form)
-    scored = leverage_min(df, models, kernel, out="score")
-    return sampling.scale_scores(scored, 1.5 / lam)
-
-
 def _landmarks(accepted: DataFrame, round_no: int) -> DataFrame:
     """Accepted rows as landmarks; the few are moved out of the many scan partitions."""
     rows = accepted.select(
@@ -235,7 +273,8 @@ def _grow(
     delta: float | None,
 ) -> tuple[DataFrame, float, int]:
     """Append the rows accepted by their scaled leverage to the landmark set."""
-    scored = _scaled_leverage(df, spaces, lam, kernel, form)
+    models = fit(spaces, lam, kernel, form)
+    scored = sampling.scale_scores(leverage_min(df, models, kernel, out="score"), 1.5 / lam)
     total = scored.agg(F.sum("score")).first()[0] or 0.0
     if delta is not None and total <= 0:
         return spaces, total, 0
@@ -252,7 +291,6 @@ def nystrom_halving(
     seed: int | str = 42,
     lam: float = 0.01,
     delta: float = 0.1,
-    max_rounds: int | None = None,
     n_rows: int | None = None,
 ) -> Selection:
     """Start from the deepest nested level and walk up to the whole table.
@@ -260,28 +298,22 @@ def nystrom_halving(
     The ``ord`` of a landmark is the round that added it.
     """
     kernel = kernel or cosine()
-    df = _vectors(df)
-    n_rows = df.count() if n_rows is None else n_rows
-    levels, delta_level = halving_levels(n_rows, delta)
-    leveled = sampling.with_nested_level(df, levels, seed)
-    base = sampling.level_filter(leveled, levels - 1)
-    spaces = _landmarks(base, 0)
-    size = spaces.count()
-    if not size:
-        raise ValueError("the deepest level is empty")
-    form = _scoring_form(spaces, kernel)
-    history = [(0, lam, size, 1, None, True)]
-    depths = [*range(levels - 2, -1, -1), None]
-    if max_rounds is not None:
-        depths = depths[:max_rounds]
-    for round_no, depth in enumerate(depths, start=1):
-        delta_level *= 3
-        subset = df if depth is None else sampling.level_filter(leveled, depth).select("id", "x")
-        spaces, total, added = _grow(
-            subset, spaces, lam, kernel, form, seed, round_no, delta_level
-        )
-        history.append((round_no, lam, added, 1, total, True))
-    return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
+    with _input(df, n_rows) as (rows, n_rows):
+        levels, level_delta = halving_levels(n_rows, delta)
+        leveled = sampling.with_nested_level(rows, levels, seed)
+        spaces = _landmarks(sampling.level_filter(leveled, levels - 1), 0)
+        size = spaces.count()
+        form = _scoring_form(spaces, size, kernel)
+        history = [(0, lam, size, 1, None, True)]
+        for round_no in range(1, levels + 1):
+            level_delta *= 3
+            depth = levels - 1 - round_no
+            subset = sampling.level_filter(leveled, depth) if depth >= 0 else rows
+            spaces, total, added = _grow(
+                subset.select("id", "x"), spaces, lam, kernel, form, seed, round_no, level_delta
+            )
+            history.append((round_no, lam, added, 1, total, True))
+        return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
 
 
 def nystrom_refine(
@@ -295,10 +327,10 @@ def nystrom_refine(
 ) -> Selection:
     """More rounds over the whole table, accepting when u < scaled leverage."""
     kernel = kernel or cosine()
-    df = _vectors(df)
-    form = _scoring_form(spaces, kernel)
+    form = _scoring_form(spaces, 1, kernel)
     history = []
-    for round_no in range(first_round, first_round + rounds):
-        spaces, total, added = _grow(df, spaces, lam, kernel, form, seed, round_no, None)
-        history.append((round_no, lam, added, 1, total, True))
-    return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
+    with _input(df, None) as (rows, _):
+        for round_no in range(first_round, first_round + rounds):
+            spaces, total, added = _grow(rows, spaces, lam, kernel, form, seed, round_no, None)
+            history.append((round_no, lam, added, 1, total, True))
+        return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)

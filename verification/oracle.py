@@ -431,7 +431,7 @@ def _drawn(scored: str, out: str, round_no: int, beta: str | None = None, order:
         stage = R.uniform(f"{R.SEED}/stage", round_no)
         accept = f"{stage} < {beta} AND {coin} * {beta} <= score"
     return f"""{out} AS MATERIALIZED (SELECT rn - 1 AS ord, id, x, least(score, 1.0) AS reg FROM (
-        SELECT *, row_number() OVER (ORDER BY round(score, 9) {order}, round({coin}, 12), id) AS rn
+        SELECT *, row_number() OVER (ORDER BY round(score, 9) {order}, {coin}, id) AS rn
         FROM {scored} WHERE {accept}) WHERE rn <= {Q.SELECT_ROWS})"""
 
 

@@ -90,9 +90,9 @@ SQL_RAW = {
 }
 
 
-def uniform(seed: object, round_no: object, row_id: str = "id") -> str:
+def uniform(seed: object, round_no: object, part: int = 0) -> str:
     return (
-        f"(CAST('0x' || substr(md5('{seed}:{round_no}:' || {row_id}), 1, 8) AS BIGINT)"
+        f"(CAST('0x' || substr(md5('{seed}:{round_no}:' || id), {8 * part + 1}, 8) AS BIGINT)"
         " / 4294967296::DOUBLE)"
     )
 
@@ -115,7 +115,7 @@ def space_ctes(m: int = LANDMARKS, n_spaces: int = N_SPACES, seed: object = SEED
     for s in range(n_spaces):
         parts.append(
             f"""SELECT {s} AS space_id, rn - 1 AS ord, id, x, 1.0::DOUBLE AS reg, label FROM (
-            SELECT *, row_number() OVER (ORDER BY round({uniform(seed, s)}, 9), id) AS rn FROM t)
+            SELECT *, row_number() OVER (ORDER BY {uniform(seed, s // 4, s % 4)}, id) AS rn FROM t)
             WHERE rn <= {m}"""
         )
     return "sp AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
