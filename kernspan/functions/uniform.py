@@ -8,6 +8,7 @@ below other operators.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,7 +61,9 @@ def nested_level(u: Column, n_levels: int) -> Column:
     Level i (from 0) is survived with probability 2^-(i+1), so a row with
     result L belongs to the levels 0 .. L-1.
     """
-    survived = F.lit(0)
-    for i in range(n_levels):
-        survived = survived + (u < F.lit(0.5 ** (i + 1))).cast("int")
-    return survived
+
+    def survived(coin: Column) -> Column:
+        flips = [(coin < F.lit(0.5 ** (i + 1))).cast("int") for i in range(n_levels)]
+        return reduce(Column.__add__, flips)
+
+    return let(u, survived)

@@ -6,19 +6,20 @@ G = k(X, X) + lambda * diag(p). Two equivalent forms are fitted:
 ``dual``    W = L^-1 with G = L L'. Gives projections W k(X, y) and, through
             their squared length, the energy of a row. Costs m^2 memory and m^3
             time for m landmarks, one task per subspace, so m is bounded.
-``primal``  for kernels with a feature map phi of dimension D:
-            A = I + sum_i phi(X_i) phi(X_i)' / (lambda p_i), and
-            leverage(y) = |chol(A)^-1 phi(y)|^2 by the Woodbury identity. A is a
+``primal``  for kernels with a feature map phi of dimension D: with the moments
+            S = sum_i phi(X_i) phi(X_i)' / p_i and A = I + S / lambda,
+            leverage(y) = |chol(A)^-1 phi(y)|^2 by the Woodbury identity. S is a
             sum over landmarks, computed by distributed partial sums, so m has no
-            bound and the model has D^2 numbers.
+            bound; the model has D^2 numbers, and another lambda needs no refit.
 
 A model row holds ``space_id, m, dim, rank, lambda, ids, x_flat, w_flat,
-b_flat, c_flat``; matrices are row-major. ``b_flat`` is W phi(X), mapping
-phi(y) straight to the projection; ``c_flat`` is the primal factor.
+b_flat, s_flat``; matrices are row-major. ``b_flat`` is W phi(X), mapping
+phi(y) straight to the projection; ``s_flat`` holds the moments S.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def model_schema(spaces: DataFrame, by: str) -> T.StructType:
             T.StructField("x_flat", numbers),
             T.StructField("w_flat", numbers),
             T.StructField("b_flat", numbers),
-            T.StructField("c_flat", numbers),
+            T.StructField("s_flat", numbers),
         ]
     )
 
@@ -85,13 +86,14 @@ def inverse_root(g: np.ndarray, method: str) -> np.ndarray:
     return (vectors[:, keep] / np.sqrt(values[keep])).T
 
 
-def primal_factor(a: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(np.linalg.cholesky(a))
+def moments(features: np.ndarray, reg: np.ndarray) -> np.ndarray:
+    """S = sum_i phi_i phi_i' / p_i."""
+    return (features / np.maximum(reg, MIN_REG)[:, None]).T @ features
 
 
-def weighted_outer(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """sum_i w_i phi_i phi_i'."""
-    return (features * weights[:, None]).T @ features
+def primal_factor(s: np.ndarray, lam: float) -> np.ndarray:
+    """C with |C phi(y)|^2 = leverage(y)."""
+    return np.linalg.inv(np.linalg.cholesky(np.eye(len(s)) + s / lam))
 
 
 #: landmarks from which on each dual subspace should get a task of its own
@@ -147,13 +149,12 @@ def fit(
         x = stack_vectors(pdf["x"], pdf["id"])
         reg, lam_value = pdf["reg"].to_numpy(float), float(pdf["lambda"].iloc[0])
         w = inverse_root(gram(x, reg, lam_value, kernel), method)
-        b = c = None
+        b = s = None
         if kernel.explicit:
             phi = kernel.features(x)
             b = w @ phi
             if method == "chol" and phi.shape[1] < len(x):
-                weights = 1.0 / (lam_value * np.maximum(reg, MIN_REG))
-                c = primal_factor(np.eye(phi.shape[1]) + weighted_outer(phi, weights))
+                s = moments(phi, reg)
         row = {
             "space_id": pdf["space_id"].iloc[0],
             "m": len(x),
@@ -164,7 +165,7 @@ def fit(
             "x_flat": x.ravel(),
             "w_flat": w.ravel(),
             "b_flat": None if b is None else b.ravel(),
-            "c_flat": None if c is None else c.ravel(),
+            "s_flat": None if s is None else s.ravel(),
         }
         return pd.DataFrame([row])
 
@@ -180,7 +181,7 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
             T.StructField("m", T.LongType()),
             T.StructField("dim", T.LongType()),
             T.StructField("lambda", T.DoubleType()),
-            T.StructField("a_flat", T.ArrayType(T.DoubleType())),
+            T.StructField("s_flat", T.ArrayType(T.DoubleType())),
         ]
     )
 
@@ -189,18 +190,16 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
         for pdf in batches:
             for space_id, part in pdf.groupby("space_id"):
                 x = stack_vectors(part["x"], part["id"])
-                lam_value = float(part["lambda"].iloc[0])
-                reg = np.maximum(part["reg"].to_numpy(float), MIN_REG)
-                outer = weighted_outer(kernel.features(x), 1.0 / (lam_value * reg))
+                s = moments(kernel.features(x), part["reg"].to_numpy(float))
                 known = sums.get(space_id)
                 if known is None:
-                    sums[space_id] = [len(x), x.shape[1], lam_value, outer]
+                    sums[space_id] = [len(x), x.shape[1], float(part["lambda"].iloc[0]), s]
                 else:
-                    if known[3].shape != outer.shape:
+                    if known[3].shape != s.shape:
                         raise ValueError(f"vectors of unequal length in subspace {space_id!r}")
                     known[0] += len(x)
-                    known[3] = known[3] + outer
-        for space_id, (m, dim, lam_value, outer) in sums.items():
+                    known[3] = known[3] + s
+        for space_id, (m, dim, lam_value, s) in sums.items():
             yield pd.DataFrame(
                 [
                     {
@@ -208,28 +207,27 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
                         "m": m,
                         "dim": dim,
                         "lambda": lam_value,
-                        "a_flat": outer.ravel(),
+                        "s_flat": s.ravel(),
                     }
                 ]
             )
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros(len(pdf["a_flat"].iloc[0]))
-        for part in pdf["a_flat"]:
-            flat += part
-        size = int(round(np.sqrt(len(flat))))
-        c = primal_factor(np.eye(size) + flat.reshape(size, size))
+        parts = pdf["s_flat"].tolist()
+        if len({len(part) for part in parts}) > 1:
+            raise ValueError(f"vectors of unequal length in subspace {pdf['space_id'].iloc[0]!r}")
+        flat = np.sum(parts, axis=0)
         row = {
             "space_id": pdf["space_id"].iloc[0],
             "m": int(pdf["m"].sum()),
             "dim": int(pdf["dim"].iloc[0]),
-            "rank": size,
+            "rank": math.isqrt(len(flat)),
             "lambda": float(pdf["lambda"].iloc[0]),
             "ids": None,
             "x_flat": None,
             "w_flat": None,
             "b_flat": None,
-            "c_flat": c.ravel(),
+            "s_flat": flat,
         }
         return pd.DataFrame([row])
 

@@ -218,6 +218,7 @@ def ridge_classify_vote(
     kernel: Kernel | None = None,
     x: str = "x",
     out: str = "pred_label",
+    label_type: str = "long",
 ) -> DataFrame:
     """Each subspace votes for its highest output; ties go to the smaller label."""
     predicted = ridge_predict_spaces(df, ridge, kernel, x, "_predictions")
@@ -230,5 +231,5 @@ def ridge_classify_vote(
         ),
     )
     winner = let(counted, lambda n: F.array_position(n, F.array_max(n)).cast("int"))
-    labels = F.array(*[F.lit(c) for c in classes])
+    labels = F.array(*[F.lit(c).cast(label_type) for c in classes])
     return predicted.withColumn(out, F.element_at(labels, winner)).drop("_predictions")

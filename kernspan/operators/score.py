@@ -11,6 +11,7 @@ passes, a bounded set of subspaces each, materialised in between.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kernspan.functions.kernels import Kernel, linear
 from kernspan.functions.vectors import split_array
+from kernspan.operators.fit import primal_factor
 from kernspan.session import materialize
 
 #: bytes of model matrices broadcast for one pass
@@ -52,37 +54,50 @@ def _matrix(flat, rows: int) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(rows, -1)
 
 
+#: model rows that may come in one go when each is a small enough share
+FEW_MODELS = 64
+
+
 def _load(models: DataFrame, kernel: Kernel, projection: bool, max_bytes: int) -> list[list[Space]]:
     """Collect the model matrices, in chunks of at most ``max_bytes``.
 
-    Only the matrices the asked score needs are collected, chunk by chunk, and
-    their sizes are known before any of them moves.
+    Only the matrices the asked score needs are collected. A few models that
+    each are within their share of the bound come with the first job; otherwise
+    that job only brings the sizes, and the matrices follow chunk by chunk.
     """
-    if kernel.explicit and projection:
-        needed = ["b_flat"]
-    elif kernel.explicit:
-        needed = ["c_flat", "b_flat"]
+    if not kernel.explicit:
+        matrices = {"landmarks": F.col("x_flat"), "factor": F.col("w_flat")}
+    elif projection:
+        matrices = {"factor": F.col("b_flat")}
     else:
-        needed = ["x_flat", "w_flat"]
-    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in needed), F.lit(0))
-    if kernel.explicit and not projection:
-        # one of the two is enough
-        factor = F.coalesce("c_flat", "b_flat")
-        size = F.size(factor)
-        residual = F.col("c_flat").isNotNull()
-        matrices = [factor.alias("factor"), residual.alias("residual")]
-    else:
-        matrices = [F.col(c) for c in needed]
-    sizes = models.select("space_id", (size * 8).alias("bytes")).collect()
-    if not sizes:
+        # the moments where there are fewer features than landmarks
+        matrices = {"factor": F.coalesce("s_flat", "b_flat")}
+    residual = F.col("s_flat").isNotNull() if kernel.explicit and not projection else F.lit(False)
+    size = sum((F.size(m) for m in matrices.values()), F.lit(0)) * 8
+    shaped = models.select(
+        "space_id",
+        "m",
+        "rank",
+        "lambda",
+        residual.alias("residual"),
+        F.coalesce(size, F.lit(-1)).alias("bytes"),
+        *[m.alias(name) for name, m in matrices.items()],
+    )
+    share = max_bytes // FEW_MODELS
+    small = [F.when(F.col("bytes") <= share, F.col(name)).alias(name) for name in matrices]
+    first = shaped.select("space_id", "m", "rank", "lambda", "residual", "bytes", *small)
+    rows = first.coalesce(1).limit(FEW_MODELS + 1).collect()
+    if not rows:
         raise ValueError("no models to score against")
+    if len(rows) <= FEW_MODELS and all(0 < row["bytes"] <= share for row in rows):
+        return [sorted(map(_space, rows), key=lambda s: s.space_id)]
+
+    sizes = shaped.select("space_id", "bytes").collect()
     chunks: list[list] = [[]]
     filled = 0
     for row in sorted(sizes, key=lambda row: row["space_id"]):
-        if row["bytes"] is None or row["bytes"] <= 0:
-            raise ValueError(
-                "these models lack the matrices for this score; fit form='dual'"
-            )
+        if row["bytes"] <= 0:
+            raise ValueError("these models lack the matrices for this score; fit form='dual'")
         if row["bytes"] > max_bytes:
             raise ValueError(f"one subspace needs {row['bytes']} bytes, more than {max_bytes}")
         if filled + row["bytes"] > max_bytes:
@@ -91,28 +106,25 @@ def _load(models: DataFrame, kernel: Kernel, projection: bool, max_bytes: int) -
         chunks[-1].append(row["space_id"])
         filled += row["bytes"]
 
-    def to_space(row) -> Space:
-        if kernel.explicit and projection:
-            return Space(row["space_id"], _matrix(row["b_flat"], row["rank"]), None)
-        if kernel.explicit:
-            # the primal factor is square, the dual one has a row per direction
-            count = len(row["factor"])
-            rows = int(round(count**0.5)) if row["residual"] else row["rank"]
-            return Space(row["space_id"], _matrix(row["factor"], rows), None, row["residual"])
-        return Space(
-            row["space_id"],
-            _matrix(row["w_flat"], row["rank"]),
-            _matrix(row["x_flat"], row["m"]),
-        )
-
     def collect(ids: list) -> list[Space]:
-        wanted = models if len(chunks) == 1 else models.filter(F.col("space_id").isin(ids))
-        rows = wanted.select("space_id", "m", "rank", *matrices).collect()
-        return sorted(map(to_space, rows), key=lambda s: s.space_id)
+        rows = shaped.filter(F.col("space_id").isin(ids)).collect()
+        return sorted(map(_space, rows), key=lambda s: s.space_id)
 
     return [collect(ids) for ids in chunks]
 
 
+def _space(row) -> Space:
+    """A collected model row as matrices."""
+    row = row.asDict()
+    flat = row["factor"]
+    if row["residual"]:
+        # moments are square; they become the factor of the model's lambda
+        s = _matrix(flat, math.isqrt(len(flat)))
+        return Space(row["space_id"], primal_factor(s, row["lambda"]), None, True)
+    landmarks = _matrix(row["landmarks"], row["m"]) if "landmarks" in row else None
+    return Space(row["space_id"], _matrix(flat, row["rank"]), landmarks)
+
+
 # ---------------------------------------------------------------- Arrow <-> NumPy
 
 

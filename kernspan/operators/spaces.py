@@ -83,8 +83,12 @@ class SubspaceCollection:
         )
 
     def update_lambda(self, lam: float) -> SubspaceCollection:
-        """Refit every subspace for another lambda."""
-        return replace(self, models=fit(self.spaces, lam, self.kernel, self.form), lam=lam)
+        """Every subspace for another lambda; only the dual form needs a refit."""
+        if self.form == "primal":
+            models = self.models.withColumn("lambda", F.lit(float(lam)))
+        else:
+            models = fit(self.spaces, lam, self.kernel, self.form)
+        return replace(self, models=models, lam=lam)
 
     def describe(self) -> DataFrame:
         """One row per slot: landmark count, lambda, ids and weights in order."""

@@ -36,12 +36,15 @@ def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str:
-    """Empty when both hold the same rows exactly."""
+    """Empty when both hold the same rows exactly, types included."""
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     got, want = _sorted(got), _sorted(want)
+    odd = [c for c in got.columns if got[c].dtype != want[c].dtype]
+    if odd:
+        return "types " + ", ".join(f"{c} {got[c].dtype} != {want[c].dtype}" for c in odd)
     for column in got.columns:
         a, b = got[column], want[column]
         same = (a == b) | (a.isna() & b.isna())

@@ -121,11 +121,11 @@ SQL["level_filter"] = (
 
 SQL["landmark_cross_join"] = over(
     "vectors",
-    "SELECT t.id, space_id, ord, sp.id AS landmark_id FROM t CROSS JOIN sp",
+    "SELECT t.id, space_id, ord::INTEGER AS ord, sp.id AS landmark_id FROM t CROSS JOIN sp",
     SPACES,
 )
 SQL["landmark_semi_join"] = over(
-    "events", "SELECT space_id, ord, t.id, t.label FROM t JOIN sp ON sp.id = t.id", SPACES
+    "events", "SELECT space_id, ord::INTEGER AS ord, t.id, t.label FROM t JOIN sp ON sp.id = t.id", SPACES
 )
 SQL["align_labels_to_landmarks"] = over(
     "events",
@@ -211,8 +211,8 @@ for _name, _direction in (("topk_by_score", "DESC"), ("bottomk_by_score", "ASC")
     )
 SQL["landmark_union"] = over(
     "events",
-    """SELECT space_id, ord, id FROM sp WHERE space_id < 2
-    UNION ALL SELECT space_id, ord, id FROM sp WHERE space_id > 0""",
+    """SELECT space_id, ord::INTEGER AS ord, id FROM sp WHERE space_id < 2
+    UNION ALL SELECT space_id, ord::INTEGER AS ord, id FROM sp WHERE space_id > 0""",
     SPACES,
 )
 SQL["chosen_ids_union"] = over("events", "SELECT DISTINCT id FROM sp", SPACES)
@@ -288,7 +288,7 @@ SQL["explode_scores"] = over(
 def _crosses(name: str, kernel: str) -> str:
     return over(
         name,
-        f"""SELECT t.id, space_id, ord, {r6(R.kernel('sp.x', 't.x', kernel))} AS k
+        f"""SELECT t.id, space_id, ord::INTEGER AS ord, {r6(R.kernel('sp.x', 't.x', kernel))} AS k
         FROM t CROSS JOIN sp""",
         SPACES,
     )
@@ -395,7 +395,7 @@ def _collection(slots: dict[int, int], lam: float = R.LAMBDA) -> str:
     members = ", ".join(str(sample) for sample in slots.values())
     return over(
         "events",
-        f"""SELECT space_id, ord, id, (SELECT {r6('sum(l)', 5)} FROM
+        f"""SELECT space_id, ord::INTEGER AS ord, id, (SELECT {r6('sum(l)', 5)} FROM
         (SELECT min(leverage) AS l FROM lev GROUP BY id)) AS total_leverage FROM s2""",
         R.space_ctes(),
         f"""s2 AS (SELECT CASE space_id {arms} END AS space_id, ord, id, x, reg
@@ -492,7 +492,7 @@ _loop, _rounds = _spaces_loop()
 SQL["nystrom_spaces"] = over(
     "events",
     " UNION ALL ".join(
-        f"""SELECT space_id, ord, id, {r6('reg')} AS reg FROM {s}
+        f"""SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {s}
         WHERE (SELECT best FROM b{Q.SELECT_ROUNDS - 1}) = {i}"""
         for i, (_, _, s, _) in enumerate(_rounds)
     ),
@@ -536,7 +536,7 @@ def _bless_loop() -> tuple[list[str], list[tuple]]:
 _bless, _bless_rounds = _bless_loop()
 SQL["nystrom_bless"] = over(
     "events",
-    f"SELECT space_id, ord, id, {r6('reg')} AS reg FROM {_bless_rounds[-1][2]}",
+    f"SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {_bless_rounds[-1][2]}",
     *_bless,
 )
 SQL["nystrom_bless_history"] = over(
@@ -600,7 +600,7 @@ def _halving() -> str:
 SQL["nystrom_halving"] = _halving()
 SQL["nystrom_refine"] = over(
     "events",
-    f"SELECT ord, id FROM r{Q.REFINE_ROUNDS}",
+    f"SELECT ord::INTEGER AS ord, id FROM r{Q.REFINE_ROUNDS}",
     R.space_ctes(n_spaces=1),
     UNIT,
     "r0 AS (SELECT space_id, CAST(ord AS BIGINT) AS ord, u.id, u.x, reg FROM sp JOIN u ON u.id = sp.id)",
@@ -681,17 +681,17 @@ _predicted = """pred AS MATERIALIZED (SELECT t.id, a.space_id, a.output,
         sum(a.alpha * list_inner_product(a.x, t.x)) AS v
         FROM t CROSS JOIN alpha a GROUP BY t.id, a.space_id, a.output)"""
 SQL["ridge_fit"] = over(
-    "vectors", f"SELECT space_id, ord, id, {r6('alpha')} AS alpha FROM alpha", *_single
+    "vectors", f"SELECT space_id, ord::INTEGER AS ord, id, {r6('alpha')} AS alpha FROM alpha", *_single
 )
 SQL["ridge_fit_multi"] = over(
-    "vectors", f"SELECT space_id, output, ord, id, {r6('alpha')} AS alpha FROM alpha", *_multi
+    "vectors", f"SELECT space_id, output, ord::INTEGER AS ord, id, {r6('alpha')} AS alpha FROM alpha", *_multi
 )
 SQL["ridge_predict"] = over(
     "events", f"SELECT id, {r6('v')} AS pred FROM pred WHERE space_id = 2", *_single, _predicted
 )
 SQL["ridge_predict_multi"] = over(
     "events",
-    f"SELECT id, output AS pos, {r6('v')} AS value FROM pred WHERE space_id = 2",
+    f"SELECT id, output::BIGINT AS pos, {r6('v')} AS value FROM pred WHERE space_id = 2",
     *_multi,
     _predicted,
 )
