@@ -34,7 +34,7 @@ MAX_CLASSES = 10_000
 
 def one_hot(label: Column | str, classes: list) -> Column:
     label = F.col(label) if isinstance(label, str) else label
-    return F.array(*[F.when(label == c, 1.0).otherwise(0.0) for c in classes])
+    return F.transform(F.lit(classes), lambda c: F.when(label == c, 1.0).otherwise(0.0))
 
 
 def class_list(df: DataFrame, label: str = "label") -> list:
@@ -132,18 +132,18 @@ def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> list[tupl
         raise ValueError("no ridge coefficients to predict with")
     if (shape["n"] + shape["values"]) * 8 > max_bytes:
         raise ValueError("the ridge models exceed the broadcast bound; predict per subspace")
-    order = ["space_id", "output", "ord"]
-    alphas: dict = defaultdict(lambda: defaultdict(list))
-    landmarks: dict = defaultdict(list)
-    for row in ridge.select(*order, "alpha").orderBy(*order).collect():
-        alphas[row["space_id"]][row["output"]].append(row["alpha"])
+    in_order = F.array_sort(F.collect_list(F.struct("ord", "alpha")))
+    outputs = ridge.groupBy("space_id", "output").agg(in_order.alias("rows"))
+    alphas = defaultdict(list)
+    for row in sorted(outputs.select("space_id", "output", "rows.alpha").collect()):
+        alphas[row["space_id"]].append(row["alpha"])
+    landmarks = defaultdict(list)
     first = ridge.filter(F.col("output") == 0).select("space_id", "ord", "x")
     for row in first.orderBy("space_id", "ord").collect():
         landmarks[row["space_id"]].append(row["x"])
     out = []
     for space_id in sorted(alphas):
-        by_output = alphas[space_id]
-        alpha = np.array([by_output[c] for c in sorted(by_output)])
+        alpha = np.array(alphas[space_id])
         x = np.array(landmarks[space_id], dtype=float)
         if kernel.explicit:
             out.append((None, alpha @ kernel.features(x)))
@@ -231,5 +231,5 @@ def ridge_classify_vote(
         ),
     )
     winner = let(counted, lambda n: F.array_position(n, F.array_max(n)).cast("int"))
-    labels = F.array(*[F.lit(c).cast(label_type) for c in classes])
+    labels = F.lit(classes).cast(f"array<{label_type}>")
     return predicted.withColumn(out, F.element_at(labels, winner)).drop("_predictions")

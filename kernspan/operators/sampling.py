@@ -94,10 +94,13 @@ def ranked_limit(df: DataFrame, order: list[Column], k: int, salt_by: str = "id"
     On a small cluster this is one top-k. With many input partitions their
     candidates would all meet in a single task, so on a large one k survivors
     per salt are kept first: Spark prunes each partition before that shuffle,
-    and the last task sees k rows per salt instead of k per partition.
+    and the last task sees k rows per salt instead of k per partition. (Beyond
+    the session's group-limit threshold Spark would not prune, so no salting.)
     """
-    salts = df.sparkSession.sparkContext.defaultParallelism // 32
-    return _salted_limit(df, order, k, salts, salt_by)
+    spark = df.sparkSession
+    salts = spark.sparkContext.defaultParallelism // 32
+    prunable = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    return _salted_limit(df, order, k, salts if k <= prunable else 1, salt_by)
 
 
 def _salted_limit(
