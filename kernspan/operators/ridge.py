@@ -21,8 +21,8 @@ from kernspan.operators import fit as fitting
 from kernspan.operators.landmarks import landmark_semi_join
 from kernspan.operators.score import (
     MAX_MODEL_BYTES,
-    _blocks,
     _id_or_null,
+    blocks,
     list_column,
     rows_of,
 )
@@ -170,7 +170,7 @@ def ridge_predict_spaces(
     def evaluate(x: pa.Array, ids: pa.Array) -> pa.Array:
         rows, present = rows_of(x, ids)
         parts = []
-        for block in _blocks(rows, width):
+        for block in blocks(rows, width):
             phi = kernel.features(block) if kernel.explicit else None
             parts.append(
                 np.hstack(

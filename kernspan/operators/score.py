@@ -58,7 +58,12 @@ def _matrix(flat, rows: int) -> np.ndarray:
 FEW_MODELS = 64
 
 
-def _load(models: DataFrame, kernel: Kernel, projection: bool, max_bytes: int) -> list[list[Space]]:
+def load_models(
+    models: DataFrame,
+    kernel: Kernel,
+    projection: bool = False,
+    max_bytes: int = MAX_MODEL_BYTES,
+) -> list[list[Space]]:
     """Collect the model matrices, in chunks of at most ``max_bytes``.
 
     Only the matrices the asked score needs are collected. A few models that
@@ -147,7 +152,7 @@ def rows_of(x: pa.Array, ids: pa.Array | None = None) -> tuple[np.ndarray, np.nd
     return values.reshape(len(x), width), present
 
 
-def _blocks(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def blocks(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
     step = max(1, BLOCK_DOUBLES // max(1, width))
     for start in range(0, len(rows), step):
         yield rows[start : start + step]
@@ -180,7 +185,7 @@ def row_scorer(
 
     def evaluate(x: pa.Array, ids: pa.Array) -> pa.Array:
         rows, present = rows_of(x, ids)
-        parts = [compute(block) for block in _blocks(rows, width)]
+        parts = [compute(block) for block in blocks(rows, width)]
         if not parts:
             return pa.nulls(len(x), pa.list_(pa.float64()) if "array" in data_type else pa.float64())
         return _to_arrow(np.concatenate(parts), present)
@@ -203,7 +208,7 @@ def mapped(rows: np.ndarray, space: Space, kernel: Kernel, phi: np.ndarray | Non
     return kernel.block(rows, space.landmarks) @ space.factor.T
 
 
-def energy_block(rows: np.ndarray, spaces: list[Space], kernel: Kernel) -> np.ndarray:
+def leverage_block(rows: np.ndarray, spaces: list[Space], kernel: Kernel) -> np.ndarray:
     """Leverages of a block against each subspace, (n, number of subspaces)."""
     phi = kernel.features(rows) if kernel.explicit else None
     norms = kernel.diagonal(rows)
@@ -240,7 +245,7 @@ def _with_scores(
     were needed.
     """
     kernel = kernel or linear()
-    chunks = _load(models, kernel, projection, max_model_bytes)
+    chunks = load_models(models, kernel, projection, max_model_bytes)
     spark = df.sparkSession
     if single and sum(map(len, chunks)) != 1:
         raise ValueError("this score needs exactly one model; see leverage_min")
@@ -279,7 +284,7 @@ def _broadcast_scorer(
         if projection:
             phi = kernel.features(rows) if kernel.explicit else None
             return np.hstack([mapped(rows, s, kernel, phi) for s in known])
-        leverages = energy_block(rows, known, kernel)
+        leverages = leverage_block(rows, known, kernel)
         return leverages if reduce_block is None else reduce_block(leverages, kernel.diagonal(rows))
 
     return row_scorer(compute, data_type, width)
@@ -468,7 +473,7 @@ def leverage_min_packed(
 ) -> DataFrame:
     """The smallest leverage of each vector of a pack, as an array in pack order."""
     kernel = kernel or linear()
-    chunks = _load(models, kernel, False, max_model_bytes)
+    chunks = load_models(models, kernel, False, max_model_bytes)
     parts = []
     for number, spaces in enumerate(chunks):
         part = f"_{out}_{number}"
@@ -494,8 +499,8 @@ def _pack_scorer(
         scores = []
         for pack, count in zip(x, counts):
             rows = np.asarray(pack.values, dtype=float).reshape(count, -1)
-            for block in _blocks(rows, width):
-                scores.append(energy_block(block, shared.value, kernel).min(axis=1))
+            for block in blocks(rows, width):
+                scores.append(leverage_block(block, shared.value, kernel).min(axis=1))
         flat = np.concatenate(scores) if scores else np.empty(0)
         return list_column(flat, counts)
 

@@ -1,12 +1,15 @@
 """Leverage-based landmark selection.
 
-Every round is a handful of Spark jobs over the table: score the rows against
-the current subspaces, keep each by a hash coin weighted with its score, cut to
-the best ``max_rows``, refit. The driver holds numbers only (lambda, totals, the
-stop rule); landmarks and models stay tables, cut from their lineage through the
-shared checkpoint folder once per round.
-
-The input is read twice per round with only ``id`` and ``x``. A table of at most
+Every round scores the rows against the current subspaces, keeps each by a hash
+coin weighted with its score, cuts to the best ``max_rows`` and refits. The
+driver holds numbers only (lambda, totals, the stop rule); landmarks and models
+stay tables, cut from their lineage through the shared checkpoint folder once
+per round.
+
+The multi- and single-space plans read their input once per round, with only
+``id`` and ``x``: the scan that totals the leverage of a round also draws the
+candidates of the next one. The halving plans need that total before they can
+draw, so they read it twice. A table of at most
 ``SPREAD_ROWS`` rows per core is spread over the cores and kept in memory for the
 run of a plan; a larger one is scanned again in each pass, so it should be one
 that is cheap to scan (a written table rather than a long derivation).
@@ -14,10 +17,13 @@ that is cheap to scan (a written table rather than a long derivation).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +35,15 @@ from kernspan.operators import sampling
 from kernspan.operators.fit import fit
 from kernspan.operators.landmarks import landmark_union
 from kernspan.operators.packing import unpack_vectors
-from kernspan.operators.score import kernel_norm_column, leverage_min
+from kernspan.operators.score import (
+    Space,
+    blocks,
+    kernel_norm_column,
+    leverage_block,
+    leverage_min,
+    load_models,
+    rows_of,
+)
 from kernspan.operators.spaces import SubspaceCollection
 from kernspan.plans.schedules import MultiSpaceSchedule, SingleSpaceSchedule, halving_levels
 from kernspan.session import materialize
@@ -98,11 +112,137 @@ def _draw(
     rank = F.round("score", sampling.RANK_DIGITS)
     order = [rank.asc() if ascending else rank.desc(), F.col("coin"), F.col("id")]
     drawn = sampling.numbered(cut(kept, max_rows, ties=("coin", "id")), order)
+    return _sized(drawn)
+
+
+def _sized(drawn: DataFrame) -> tuple[DataFrame, int]:
     reg = F.least(F.col("score"), F.lit(1.0)).alias("reg")
     sample = materialize(drawn.select("ord", "id", "x", reg))
     return sample, sample.count()
 
 
+def _reduced_scan(
+    df: DataFrame,
+    now: list[Space],
+    upcoming: list[Space],
+    kernel: Kernel,
+    factor: float,
+    capped: bool,
+    max_rows: int,
+) -> DataFrame:
+    """One scan over ``df(id, x, coin, need)``: totals and candidates.
+
+    A row is a candidate when its score under ``upcoming`` reaches ``need``. A
+    task returns its best ``max_rows`` candidates, all that can be among the
+    best of the table, and one row with its part of the ``total`` leverage
+    under ``now``.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
+    widest = max(max(space.factor.shape) for space in [*now, *upcoming])
+    id_field = df.schema["id"]
+    schema = T.StructType(
+        [
+            T.StructField("id", id_field.dataType),
+            T.StructField("x", T.ArrayType(T.DoubleType())),
+            T.StructField("coin", T.DoubleType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rank", T.DoubleType()),
+            T.StructField("total", T.DoubleType()),
+        ]
+    )
+    order = [("rank", "descending"), ("coin", "ascending"), ("id", "ascending")]
+
+    def best(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).sort_by(order).slice(0, max_rows)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, following = shared.value
+        total, held, layout = 0.0, [], None
+        for batch in batches:
+            batch = batch.filter(batch["x"].is_valid())
+            rows, _ = rows_of(batch["x"], batch["id"])
+            least = []
+            for block in blocks(rows, widest):
+                under_now = leverage_block(block, current, kernel).min(axis=1)
+                total += float(under_now.sum())
+                if following is not None:
+                    under_now = leverage_block(block, following, kernel).min(axis=1)
+                least.append(under_now)
+            score = (np.concatenate(least) if least else np.empty(0)) * factor
+            if capped:
+                score = np.minimum(score, 1.0)
+            table = pa.table(
+                {
+                    "id": batch["id"],
+                    "x": batch["x"],
+                    "coin": batch["coin"],
+                    "score": score,
+                    "rank": np.round(score, sampling.RANK_DIGITS),
+                    "total": pa.nulls(len(score), pa.float64()),
+                }
+            )
+            layout = table.schema
+            held.append(table.filter(pa.array(score >= np.asarray(batch["need"]))))
+            if sum(map(len, held)) > 4 * max_rows:
+                held = [best(held)]
+        if layout is None:
+            return
+        if sum(map(len, held)) > max_rows:
+            held = [best(held)]
+        part = {field.name: pa.nulls(1, field.type) for field in layout}
+        held.append(pa.table({**part, "total": [total]}, schema=layout))
+        for table in held:
+            yield from table.to_batches()
+
+    return df.select("id", "x", "coin", "need").mapInArrow(scan, schema)
+
+
+def _total_and_draw(
+    df: DataFrame,
+    models: DataFrame,
+    next_models: DataFrame,
+    kernel: Kernel,
+    factor: float,
+    seed: int | str,
+    next_round: int,
+    max_rows: int,
+    beta: float | None = None,
+    capped: bool = False,
+) -> tuple[float, DataFrame, int]:
+    """The total leverage under ``models`` and the sample drawn under ``next_models``.
+
+    The same as ``_total`` followed by ``_draw``, in one scan. Models beyond the
+    broadcast bound take those two steps instead.
+    """
+    now = load_models(models, kernel)
+    upcoming = now if next_models is models else load_models(next_models, kernel)
+    if len(now) > 1 or len(upcoming) > 1:
+        scored = leverage_min(df, next_models, kernel, out="score")
+        score = F.col("score") * F.lit(factor)
+        scored = scored.withColumn("score", F.least(score, F.lit(1.0)) if capped else score)
+        sample, size = _draw(scored, seed, next_round, max_rows, beta)
+        return _total(df, models, kernel), sample, size
+
+    coin = hash_uniform("id", seed, next_round)
+    need = F.col("coin")
+    if beta is not None:
+        stage = hash_uniform("id", sampling.stage_seed(seed), next_round)
+        need = F.when(stage < F.lit(beta), need * F.lit(beta)).otherwise(F.lit(float("inf")))
+    rows = df.withColumn("coin", coin).withColumn("need", need)
+    scanned = _reduced_scan(
+        rows, now[0], upcoming[0], kernel, factor, capped, max_rows
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = scanned.agg(F.sum("total")).first()[0] or 0.0
+        order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
+        candidates = scanned.filter(F.col("total").isNull()).drop("total")
+        drawn = sampling.numbered(sampling.ranked_limit(candidates, order, max_rows), order)
+        sample, size = _sized(drawn)
+    finally:
+        scanned.unpersist()
+    return total, sample, size
+
+
 def _total(df: DataFrame, models: DataFrame, kernel: Kernel) -> float:
     return leverage_min(df, models, kernel).agg(F.sum("leverage")).first()[0] or 0.0
 
@@ -149,26 +289,35 @@ def _bless(
     max_rows: int,
     rounds: int,
 ) -> Selection:
-    factor = F.lit(plan.score_factor)
+    factor = plan.score_factor
+    first = F.least(kernel_norm_column(df, kernel) * F.lit(factor), F.lit(1.0))
+    sample, size = _draw(
+        df.withColumn("score", first), seed, 0, max_rows, plan.beta_at(0), ascending=True
+    )
+    form = _scoring_form(sample, size, kernel)
     spaces = models = None
-    form, history = "dual", []
+    history = []
     for round_no in range(rounds):
-        lam = plan.lambda_at(round_no)
-        if round_no:
-            scored = leverage_min(df, models, kernel, out="score")
-        else:
-            scored = df.withColumn("score", kernel_norm_column(df, kernel))
-        capped = scored.withColumn("score", F.least(F.col("score") * factor, F.lit(1.0)))
-        sample, size = _draw(
-            capped, seed, round_no, max_rows, plan.beta_at(round_no), ascending=round_no == 0
-        )
-        if round_no == 0:
-            form = _scoring_form(sample, size, kernel)
-        if size:
+        lam, drawn = plan.lambda_at(round_no), size
+        if drawn:
             spaces = sample.select(F.lit(0).alias("space_id"), "*")
             models = fit(spaces, lam * plan.n_rows, kernel, form)
-        total = _total(df, models, kernel)
-        history.append((round_no, lam, size, 1, total, size > 0))
+        if round_no + 1 < rounds:
+            total, sample, size = _total_and_draw(
+                df,
+                models,
+                models,
+                kernel,
+                factor,
+                seed,
+                round_no + 1,
+                max_rows,
+                plan.beta_at(round_no + 1),
+                capped=True,
+            )
+        else:
+            total = _total(df, models, kernel)
+        history.append((round_no, lam, drawn, 1, total, drawn > 0))
     return Selection(spaces, models, lam * plan.n_rows, history)
 
 
@@ -217,32 +366,48 @@ def _spaces(
     )
     form = _scoring_form(sample, size, kernel)
     current = SubspaceCollection.create(sample, lam, kernel, max_spaces, form, durable=True)
-    best, best_total = current, _total(df, current.models, kernel)
-    history = [(0, lam, size, 1, best_total, True)]
-    misses, round_no = 0, 1
-    while misses < max_non_improv and (max_rounds is None or round_no < max_rounds):
-        lam = plan.lambda_at(round_no)
-        if current.count == max_spaces and max_spaces > 1:
-            current = current.remove((round_no - 1) % (max_spaces - 1))
-        if lam != current.lam:
-            current = current.update_lambda(lam)
-        scored = current.leverage_min(df, out="score")
-        sample, size = _draw(
-            sampling.scale_scores(scored, plan.score_factor), seed, round_no, max_rows
-        )
-        if size:
-            # a collection of one slot has nothing to keep: its slot is replaced
-            current = current.append_circular(sample, durable=True)
-        total = _total(df, current.models, kernel)
-        improved = size > 0 and total - best_total < -MIN_GAIN
+    best, best_total = current, math.inf
+    history, misses, round_no = [], 0, 0
+    while True:
+        last = max_rounds is not None and round_no + 1 >= max_rounds
+        if last:
+            total, drawn = _total(df, current.models, kernel), size
+        else:
+            upcoming = _next_slots(current, plan.lambda_at(round_no + 1), round_no + 1)
+            drawn = size
+            total, sample, size = _total_and_draw(
+                df,
+                current.models,
+                upcoming.models,
+                kernel,
+                plan.score_factor,
+                seed,
+                round_no + 1,
+                max_rows,
+            )
+        improved = drawn > 0 and total - best_total < -MIN_GAIN
         if improved:
             best, best_total = current, total
             misses = max(0, misses - 1)
         else:
             misses += 1
-        history.append((round_no, lam, size, current.count, total, improved))
+        history.append((round_no, current.lam, drawn, current.count, total, improved))
+        if last or misses >= max_non_improv:
+            return Selection(best.spaces, best.models, best.lam, history)
         round_no += 1
-    return Selection(best.spaces, best.models, best.lam, history)
+        # a collection of one slot has nothing to keep: its slot is replaced
+        if size:
+            current = upcoming.append_circular(sample, durable=True)
+        elif upcoming.lam != current.lam:
+            # nothing drawn: the slots stay as they were, under the new lambda
+            current = current.update_lambda(upcoming.lam)
+
+
+def _next_slots(current: SubspaceCollection, lam: float, round_no: int) -> SubspaceCollection:
+    """The collection a round draws against: one slot freed when full, new lambda."""
+    if current.count == current.capacity and current.capacity > 1:
+        current = current.remove((round_no - 1) % (current.capacity - 1))
+    return current if lam == current.lam else current.update_lambda(lam)
 
 
 def nystrom_spaces_packed(packs: DataFrame, **options) -> Selection:

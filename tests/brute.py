@@ -57,7 +57,7 @@ def draw(ids, scores, seed, round_no, max_rows, beta=None, ascending=False):
     return order[:max_rows]
 
 
-def multi_space(ids, y, k, seed, max_rows, max_spaces, max_non_improv, max_rounds=None):
+def multi_space(ids, y, k, seed, max_rows, max_spaces, max_non_improv, max_rounds=None, sizes=None):
     """The whole multi-space selection: kept slots and the total per round."""
     n = len(ids)
     shrink = max(1, int(math.log(n) / math.log(2)))
@@ -75,14 +75,17 @@ def multi_space(ids, y, k, seed, max_rows, max_spaces, max_non_improv, max_round
     best, totals, misses, i = list(slots), [best_total], 0, 1
     while misses < max_non_improv and (max_rounds is None or i < max_rounds):
         lam = 1.0 / 2 ** min(i, shrink - 1)
-        if len(slots) == max_spaces:
+        kept = list(slots)
+        if len(kept) == max_spaces:
             gone = (i - 1) % (max_spaces - 1)
-            slots[gone] = slots[-1]
-            slots = slots[:-1]
-        scores = total_and_scores(slots, lam)[1] * factor
+            kept[gone] = kept[-1]
+            kept = kept[:-1]
+        scores = total_and_scores(kept, lam)[1] * factor
         picked = draw(ids, scores, seed, i, max_rows)
+        if sizes is not None:
+            sizes.append(len(picked))
         if picked:
-            slots = [*slots, (picked, np.minimum(scores[picked], 1))]
+            slots = [*kept, (picked, np.minimum(scores[picked], 1))]
         total, _ = total_and_scores(slots, lam)
         if picked and total - best_total < -1:
             best, best_total, misses = list(slots), total, max(0, misses - 1)

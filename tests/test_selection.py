@@ -90,6 +90,46 @@ def test_inputs_too_large_for_memory_are_scanned_again(small, monkeypatch):
     assert kept_ids(kept.spaces) == kept_ids(scanned.spaces)
 
 
+def test_models_beyond_the_broadcast_bound_select_the_same(small, monkeypatch):
+    df, _ = small
+    options = {"seed": 8, "max_rows": 7, "max_rounds": 3}
+    want = [
+        selection.nystrom_spaces(df, **options),
+        selection.nystrom_bless(df, **options),
+    ]
+    load = selection.load_models
+    monkeypatch.setattr(
+        selection, "load_models", lambda m, k: [[space] for space in load(m, k)[0]] + [[]]
+    )
+    got = [
+        selection.nystrom_spaces(df, **options),
+        selection.nystrom_bless(df, **options),
+    ]
+    for a, b in zip(want, got):
+        assert kept_ids(a.spaces) == kept_ids(b.spaces)
+        assert np.allclose([h[4] for h in a.history], [h[4] for h in b.history])
+
+
+def test_an_empty_draw_keeps_the_slots_and_counts_a_miss(spark):
+    # equal rows: many landmarks leave the others next to no leverage
+    rows = np.tile([0.3, 0.0], (30, 1))
+    options = (30, 2, 3)
+    for seed in range(100):
+        sizes: list[int] = []
+        want, totals = brute.multi_space(
+            list(range(30)), rows, brute.linear, seed, *options, sizes=sizes
+        )
+        if 0 in sizes:
+            break
+    df = spark.range(30).select("id", F.array(F.lit(0.3), F.lit(0.0)).alias("x"))
+    got = selection.nystrom_spaces(
+        df, seed=seed, max_rows=30, max_spaces=2, max_non_improv=3
+    )
+    assert [h[2] for h in got.history][1:] == sizes and 0 in sizes
+    assert np.allclose([h[4] for h in got.history], totals)
+    assert kept_ids(got.spaces) == want
+
+
 def test_bless_matches_brute_force(small):
     df, rows = small
     n, ids = len(rows), list(range(len(rows)))
