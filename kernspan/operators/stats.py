@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kernspan.functions import vectors as V
 from kernspan.session import materialize
 
 
@@ -79,9 +78,10 @@ def standardize(
     inverse = F.transform(
         scale, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), v))
     )
-    moments = stats.select(F.struct("mean", inverse.alias("inverse"))).scalar()
-    centred = F.zip_with(F.col(x), F.col("_moments.mean"), lambda v, m: v - m)
-    scaled = V.mul_vec(centred, F.col("_moments.inverse"))
+    moments = stats.select(F.arrays_zip("mean", inverse.alias("inverse"))).scalar()
+    scaled = F.zip_with(
+        F.col(x), F.col("_moments"), lambda v, m: (v - m["mean"]) * m["inverse"]
+    )
     return df.withColumn("_moments", moments).withColumn(out or x, scaled).drop("_moments")
 
 
