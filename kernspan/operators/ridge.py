@@ -7,6 +7,7 @@ per coefficient.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from kernspan.operators.score import (
     blocks,
     list_column,
     rows_of,
+    with_nulls,
 )
 from kernspan.session import materialize
 
@@ -119,27 +121,45 @@ def ridge_fit_multi(
     return _fit(joined, lam, kernel or linear(), max_landmarks)
 
 
-def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> list[tuple]:
+def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> list[list[tuple]]:
     """``(landmarks or None, coefficients)`` per subspace, in space order.
 
     With a feature map the landmarks fold into one weight vector per output.
+    They are collected by groups of subspaces of at most ``max_bytes``; folded
+    groups together are small, others stay apart and take a pass each.
     """
-    shape = ridge.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("output") == 0, F.size("x"))).alias("values"),
-    ).first()
-    if not shape["n"]:
+    values = F.when(F.col("output") == 0, F.size("x") + 1).otherwise(F.lit(1))
+    sizes = ridge.groupBy("space_id").agg((F.sum(values) * 8).alias("bytes")).collect()
+    if not sizes:
         raise ValueError("no ridge coefficients to predict with")
-    if (shape["n"] + shape["values"]) * 8 > max_bytes:
-        raise ValueError("the ridge models exceed the broadcast bound; predict per subspace")
+    groups: list[list] = [[]]
+    filled = 0
+    for row in sorted(sizes):
+        if row["bytes"] > max_bytes:
+            raise ValueError(f"one subspace needs {row['bytes']} bytes, more than {max_bytes}")
+        if filled + row["bytes"] > max_bytes:
+            groups.append([])
+            filled = 0
+        groups[-1].append(row["space_id"])
+        filled += row["bytes"]
+    collected = [_collect(ridge, ids, kernel, len(groups) > 1) for ids in groups]
+    if kernel.explicit:
+        folded = [pair for group in collected for pair in group]
+        if sum(alpha.nbytes for _, alpha in folded) <= max_bytes:
+            return [folded]
+    return collected
+
+
+def _collect(ridge: DataFrame, ids: list, kernel: Kernel, some: bool) -> list[tuple]:
+    rows = ridge.filter(F.col("space_id").isin(ids)) if some else ridge
     in_order = F.array_sort(F.collect_list(F.struct("ord", "alpha")))
-    outputs = ridge.groupBy("space_id", "output").agg(in_order.alias("rows"))
+    outputs = rows.groupBy("space_id", "output").agg(in_order.alias("rows"))
     alphas = defaultdict(list)
     for row in sorted(outputs.select("space_id", "output", "rows.alpha").collect()):
         alphas[row["space_id"]].append(row["alpha"])
     landmarks = defaultdict(list)
-    first = ridge.filter(F.col("output") == 0).select("space_id", "ord", "x")
-    for row in first.orderBy("space_id", "ord").collect():
+    first = rows.filter(F.col("output") == 0).select("space_id", "ord", "x")
+    for row in sorted(first.collect()):
         landmarks[row["space_id"]].append(row["x"])
     out = []
     for space_id in sorted(alphas):
@@ -162,7 +182,20 @@ def ridge_predict_spaces(
 ) -> DataFrame:
     """Add the predictions of every subspace: an array of arrays over outputs."""
     kernel = kernel or linear()
-    models = _coefficients(ridge, kernel, max_model_bytes)
+    groups = _coefficients(ridge, kernel, max_model_bytes)
+    parts = []
+    for number, models in enumerate(groups):
+        part = f"_{out}_{number}"
+        df = df.withColumn(part, _predictor(df, models, kernel)(F.col(x), _id_or_null(df)))
+        if len(groups) > 1:
+            df = materialize(df)
+        parts.append(part)
+    return df.withColumn(out, F.concat(*[F.col(p) for p in parts])).drop(*parts)
+
+
+def _predictor(
+    df: DataFrame, models: list[tuple], kernel: Kernel
+) -> Callable[[Column, Column], Column]:
     shared = df.sparkSession.sparkContext.broadcast(models)
     outputs = np.array([len(alpha) for _, alpha in models])
     width = max(max(alpha.shape) for _, alpha in models)
@@ -182,17 +215,10 @@ def ridge_predict_spaces(
             )
         flat = np.concatenate(parts).ravel() if parts else np.empty(0)
         inner = list_column(flat, np.tile(outputs, len(rows)))
-        spaces = len(outputs)
-        offsets = np.arange(0, len(inner) + 1, spaces, dtype=np.int32)
-        column = pa.ListArray.from_arrays(pa.array(offsets), inner)
-        if present is None:
-            return column
-        where = np.full(len(present), -1, dtype=np.int64)
-        where[present] = np.arange(int(present.sum()))
-        return column.take(pa.array(where, mask=where < 0))
-
-    predict = F.arrow_udf(evaluate, "array<array<double>>")
-    return df.withColumn(out, predict(F.col(x), _id_or_null(df)))
+        offsets = np.arange(0, len(inner) + 1, len(outputs), dtype=np.int32)
+        return with_nulls(pa.ListArray.from_arrays(pa.array(offsets), inner), present)
+
+    return F.arrow_udf(evaluate, "array<array<double>>")
 
 
 def ridge_predict(

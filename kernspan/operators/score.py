@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, linear
 from kernspan.functions.vectors import split_array
@@ -171,6 +172,11 @@ def _to_arrow(result: np.ndarray, present: np.ndarray | None) -> pa.Array:
         column = pa.array(result)
     else:
         column = list_column(result.ravel(), np.full(len(result), result.shape[1]))
+    return with_nulls(column, present)
+
+
+def with_nulls(column: pa.Array, present: np.ndarray | None) -> pa.Array:
+    """Spread the results of the present rows, nulls in between."""
     if present is None:
         return column
     where = np.full(len(present), -1, dtype=np.int64)
@@ -194,8 +200,10 @@ def row_scorer(
 
 
 def _id_or_null(df: DataFrame) -> Column:
-    """The id only serves error messages; a table without one is fine."""
-    return F.col("id") if "id" in df.columns else F.lit(None).cast("long")
+    """The id only serves error messages: it is left out unless it is a number,
+    so that a text key is neither read nor sent along."""
+    numeric = "id" in df.columns and isinstance(df.schema["id"].dataType, T.NumericType)
+    return F.col("id") if numeric else F.lit(None).cast("long")
 
 
 # ---------------------------------------------------------------- block math
@@ -324,19 +332,53 @@ def kernel_cross(
     out: str = "k_cross",
     max_bytes: int = MAX_MODEL_BYTES,
 ) -> DataFrame:
-    """k(X_i, y) of each row y with all landmarks, in (space_id, ord) order."""
+    """k(X_i, y) of each row y with all landmarks, in (space_id, ord) order.
+
+    Landmarks beyond ``max_bytes`` are taken in several passes.
+    """
     kernel = kernel or linear()
-    shape = spaces.agg(F.count(F.lit(1)).alias("m"), F.max(F.size("x")).alias("d")).first()
-    if shape["m"] * (shape["d"] or 0) * 8 > max_bytes:
-        raise ValueError("the landmarks exceed the broadcast bound; score fewer subspaces")
-    # bounded by the check above
-    ordered = spaces.select("space_id", "ord", "x").orderBy("space_id", "ord").collect()
-    landmarks = np.array([row["x"] for row in ordered], dtype=float)
+    parts = []
+    chunks = landmark_chunks(spaces, max_bytes)
+    for number, landmarks in enumerate(chunks):
+        part = f"_{out}_{number}"
+        df = df.withColumn(part, _cross_scorer(df, landmarks, kernel)(F.col(x), _id_or_null(df)))
+        if len(chunks) > 1:
+            df = materialize(df)
+        parts.append(part)
+    return df.withColumn(out, F.concat(*[F.col(p) for p in parts])).drop(*parts)
+
+
+def landmark_chunks(spaces: DataFrame, max_bytes: int) -> list[np.ndarray]:
+    """The landmark vectors in (space_id, ord) order, at most ``max_bytes`` each."""
+    sizes = spaces.groupBy("space_id").agg(F.sum(F.size("x") * 8).alias("bytes")).collect()
+    if not sizes:
+        raise ValueError("no landmarks to compare with")
+    groups: list[list] = [[]]
+    filled = 0
+    for row in sorted(sizes):
+        if row["bytes"] > max_bytes:
+            raise ValueError(f"one subspace needs {row['bytes']} bytes, more than {max_bytes}")
+        if filled + row["bytes"] > max_bytes:
+            groups.append([])
+            filled = 0
+        groups[-1].append(row["space_id"])
+        filled += row["bytes"]
+
+    def collect(ids: list) -> np.ndarray:
+        wanted = spaces if len(groups) == 1 else spaces.filter(F.col("space_id").isin(ids))
+        rows = wanted.select("space_id", "ord", "x").collect()
+        return np.array([row["x"] for row in sorted(rows)], dtype=float)
+
+    return [collect(ids) for ids in groups]
+
+
+def _cross_scorer(
+    df: DataFrame, landmarks: np.ndarray, kernel: Kernel
+) -> Callable[[Column, Column], Column]:
     shared = df.sparkSession.sparkContext.broadcast(landmarks)
-    scorer = row_scorer(
-        lambda rows: kernel.block(rows, shared.value), "array<double>", len(landmarks)
+    return row_scorer(
+        lambda rows: kernel.block(rows, shared.value), "array<double>", max(landmarks.shape)
     )
-    return df.withColumn(out, scorer(F.col(x), _id_or_null(df)))
 
 
 def kernel_crosses(

@@ -20,6 +20,7 @@ def configured_builder(app_name: str = "kernspan") -> SparkSession.Builder:
     Rows of an Arrow batch are scored as one matrix, so the batch size is the
     block size of the scorer. The group-limit threshold lets Spark prune a
     per-group top-k before its shuffle for every k the selection plans use.
+    Checkpoints nobody refers to any more are removed by Spark's cleaner.
     """
     return (
         SparkSession.builder.appName(app_name)
@@ -28,6 +29,7 @@ def configured_builder(app_name: str = "kernspan") -> SparkSession.Builder:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
 
 

@@ -108,6 +108,14 @@ def test_models_beyond_the_broadcast_bound_are_scored_in_passes(spark, sample, n
         S.leverage_min(df, models, kernel, max_model_bytes=8)
 
 
+def test_cross_values_in_passes(spark, sample):
+    y, blocks = sample
+    sp, df = space_table(spark, blocks), table(spark, y)
+    want = brute.linear(y, np.vstack(blocks))
+    assert np.allclose(column(S.kernel_cross(df, sp), "k_cross"), want)
+    assert np.allclose(column(S.kernel_cross(df, sp, max_bytes=12 * 5 * 8), "k_cross"), want)
+
+
 def test_invariants(spark, sample):
     y, blocks = sample
     df = table(spark, y)
@@ -199,6 +207,8 @@ def test_a_score_keeps_filters_and_pruning_around_it(spark, sf):
     scored = S.leverage_min(df, models).filter("label = 1").select("leverage")
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "Exchange" not in plan
+    # the text key is not read for a score that does not return it
+    assert "l_orderkey" not in plan
     # the label filter runs below the Python evaluation, on the scan
     assert plan.index("ArrowEvalPython") < plan.index("Filter")
 

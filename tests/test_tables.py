@@ -151,6 +151,9 @@ def test_ridge_of_several_spaces_matches_numpy(spark, gamma):
     sp = spark.createDataFrame(data, "space_id int, ord int, id long, x array<double>, reg double")
     model = ridge.ridge_fit(sp, df, "f", 0.3, kernel)
     got = ridge.ridge_predict_spaces(df, model, kernel).orderBy("id").collect()
+    small = ridge.ridge_predict_spaces(df, model, kernel, max_model_bytes=4 * 5 * 8)
+    passes = [r["predictions"] for r in small.orderBy("id").collect()]
+    assert np.allclose(passes, [r["predictions"] for r in got])
     for s, ids in picks.items():
         alpha = np.linalg.solve(brute.gram(x[ids], np.full(len(ids), 0.5), 0.3, k), f[ids])
         assert np.allclose([r["predictions"][s][0] for r in got], alpha @ k(x[ids], x))
