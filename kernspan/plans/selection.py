@@ -6,10 +6,9 @@ driver holds numbers only (lambda, totals, the stop rule); landmarks and models
 stay tables, cut from their lineage through the shared checkpoint folder once
 per round.
 
-The multi- and single-space plans read their input once per round, with only
-``id`` and ``x``: the scan that totals the leverage of a round also draws the
-candidates of the next one. The halving plans need that total before they can
-draw, so they read it twice. A table of at most
+The plans read their input once per round, with only ``id`` and ``x``: the scan
+that totals the leverage of a round also keeps the candidates of the next draw.
+A table of at most
 ``SPREAD_ROWS`` rows per core is spread over the cores and kept in memory for the
 run of a plan; a larger one is scanned again in each pass, so it should be one
 that is cheap to scan (a written table rather than a long derivation).
@@ -127,15 +126,15 @@ def _reduced_scan(
     upcoming: list[Space],
     kernel: Kernel,
     factor: float,
-    capped: bool,
-    max_rows: int,
+    capped: bool = False,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """One scan over ``df(id, x, coin, need)``: totals and candidates.
 
     A row is a candidate when its score under ``upcoming`` reaches ``need``. A
-    task returns its best ``max_rows`` candidates, all that can be among the
-    best of the table, and one row with its part of the ``total`` leverage
-    under ``now``.
+    task returns its candidates (with ``max_rows`` only as many of the best, all
+    that can be among the best of the table) and one row with its part of the
+    ``total`` leverage under ``now``.
     """
     shared = df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
     widest = max(max(space.factor.shape) for space in [*now, *upcoming])
@@ -183,11 +182,13 @@ def _reduced_scan(
             )
             layout = table.schema
             held.append(table.filter(pa.array(score >= np.asarray(batch["need"]))))
-            if sum(map(len, held)) > 4 * max_rows:
+            if max_rows is None:
+                yield from held.pop().to_batches()
+            elif sum(map(len, held)) > 4 * max_rows:
                 held = [best(held)]
         if layout is None:
             return
-        if sum(map(len, held)) > max_rows:
+        if max_rows is not None and sum(map(len, held)) > max_rows:
             held = [best(held)]
         part = {field.name: pa.nulls(1, field.type) for field in layout}
         held.append(pa.table({**part, "total": [total]}, schema=layout))
@@ -435,10 +436,55 @@ def _grow(
     form: str,
     seed: int | str,
     round_no: int,
+    delta: float | None = None,
+    most: float | None = None,
+) -> tuple[DataFrame, float, int]:
+    """Append the rows accepted by their scaled leverage to the landmark set.
+
+    With ``delta`` a row is accepted when coin < score * ln(total / delta),
+    else when coin < score. The total is not known before the scan, but no
+    leverage exceeds k(y, y): rows that fail even with ``most``, the sum of the
+    scaled k(y, y), cannot be accepted, and the scan drops them.
+    """
+    factor = 1.5 / lam
+    fitted = fit(spaces, lam, kernel, form)
+    models = load_models(fitted, kernel)
+    if len(models) > 1:
+        return _grow_in_passes(df, spaces, fitted, lam, kernel, seed, round_no, delta)
+    coin = hash_uniform("id", seed, round_no)
+    need = F.col("coin")
+    if delta is not None:
+        widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
+        need = need / F.lit(widest) if widest > 0 else F.lit(float("inf"))
+    rows = df.withColumn("coin", coin).withColumn("need", need)
+    scanned = _reduced_scan(rows, models[0], models[0], kernel, factor).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        total = (scanned.agg(F.sum("total")).first()[0] or 0.0) * factor
+        candidates = scanned.filter(F.col("total").isNull())
+        if delta is not None and total <= 0:
+            return spaces, total, 0
+        scale = 1.0 if delta is None else math.log(total / delta)
+        added = _landmarks(
+            candidates.filter(F.col("coin") < F.col("score") * F.lit(scale)), round_no
+        )
+        return landmark_union(spaces, added), total, added.count()
+    finally:
+        scanned.unpersist()
+
+
+def _grow_in_passes(
+    df: DataFrame,
+    spaces: DataFrame,
+    models: DataFrame,
+    lam: float,
+    kernel: Kernel,
+    seed: int | str,
+    round_no: int,
     delta: float | None,
 ) -> tuple[DataFrame, float, int]:
-    """Append the rows accepted by their scaled leverage to the landmark set."""
-    models = fit(spaces, lam, kernel, form)
+    """The same for models beyond the broadcast bound: total first, then draw."""
     scored = sampling.scale_scores(leverage_min(df, models, kernel, out="score"), 1.5 / lam)
     total = scored.agg(F.sum("score")).first()[0] or 0.0
     if delta is not None and total <= 0:
@@ -469,13 +515,22 @@ def nystrom_halving(
         spaces = _landmarks(sampling.level_filter(leveled, levels - 1), 0)
         size = spaces.count()
         form = _scoring_form(spaces, size, kernel)
+        norms = rows.agg(F.sum(kernel_norm_column(rows, kernel))).first()[0] or 0.0
         history = [(0, lam, size, 1, None, True)]
         for round_no in range(1, levels + 1):
             level_delta *= 3
             depth = levels - 1 - round_no
             subset = sampling.level_filter(leveled, depth) if depth >= 0 else rows
             spaces, total, added = _grow(
-                subset.select("id", "x"), spaces, lam, kernel, form, seed, round_no, level_delta
+                subset.select("id", "x"),
+                spaces,
+                lam,
+                kernel,
+                form,
+                seed,
+                round_no,
+                level_delta,
+                norms * 1.5 / lam,
             )
             history.append((round_no, lam, added, 1, total, True))
         return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
@@ -496,6 +551,6 @@ def nystrom_refine(
     history = []
     with _input(df, None) as (rows, _):
         for round_no in range(first_round, first_round + rounds):
-            spaces, total, added = _grow(rows, spaces, lam, kernel, form, seed, round_no, None)
+            spaces, total, added = _grow(rows, spaces, lam, kernel, form, seed, round_no)
             history.append((round_no, lam, added, 1, total, True))
         return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)

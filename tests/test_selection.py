@@ -164,12 +164,18 @@ def halving_brute(rows, seed, lam, delta):
     return chosen
 
 
-def test_halving_and_refine_match_brute_force(small):
+def test_halving_and_refine_match_brute_force(small, monkeypatch):
     df, rows = small
     got = selection.nystrom_halving(df, seed=2, lam=0.5)
     want = halving_brute(rows, 2, 0.5, 0.1)
     ids = [r["id"] for r in got.spaces.orderBy("ord", "id").collect()]
     assert ids == want
+    load = selection.load_models
+    with monkeypatch.context() as patch:
+        patch.setattr(selection, "load_models", lambda m, k: [*load(m, k), []])
+        passes = selection.nystrom_halving(df, seed=2, lam=0.5)
+    assert [r["id"] for r in passes.spaces.orderBy("ord", "id").collect()] == want
+    assert np.allclose([h[4] for h in passes.history[1:]], [h[4] for h in got.history[1:]])
     refined = selection.nystrom_refine(df, got.spaces, seed=2, lam=0.5, rounds=2)
     for i in (1000, 1001):
         score = 3.0 * brute.leverages(rows[want], np.ones(len(want)), 0.5, rows, brute.cosine)
