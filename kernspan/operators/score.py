@@ -193,7 +193,8 @@ def row_scorer(
         rows, present = rows_of(x, ids)
         parts = [compute(block) for block in blocks(rows, width)]
         if not parts:
-            return pa.nulls(len(x), pa.list_(pa.float64()) if "array" in data_type else pa.float64())
+            kind = pa.list_(pa.float64()) if "array" in data_type else pa.float64()
+            return pa.nulls(len(x), kind)
         return _to_arrow(np.concatenate(parts), present)
 
     return F.arrow_udf(evaluate, data_type)

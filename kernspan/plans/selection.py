@@ -100,7 +100,8 @@ def _draw(
 ) -> tuple[DataFrame, int]:
     """Sample by score and keep the ``max_rows`` best: ``ord, id, x, reg``.
 
-    The sample is materialised and comes with its size. Equal scores are ranked by the row's coin, so a cut among them is fair.
+    The sample is materialised and comes with its size. Equal scores are ranked
+    by the row's coin, so a cut among them is fair.
     """
     with_coin = scored.withColumn("coin", hash_uniform("id", seed, round_no))
     if beta is None:

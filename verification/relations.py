@@ -195,10 +195,14 @@ def primal_ctes(lam: str, sp: str, out: str) -> str:
 
 
 def min_leverage(t: str, w: str) -> str:
-    """SELECT of ``id, x`` and the smallest (primal) leverage ``ml`` of each row."""
-    return f"""SELECT id, any_value(x) AS x, min(l) AS ml FROM (
-        SELECT t.id, any_value(t.x) AS x, w.space_id, sum(list_inner_product(w.w, t.x) ** 2) AS l
-        FROM {t} t CROSS JOIN {w} w GROUP BY t.id, w.space_id) GROUP BY id"""
+    """SELECT of ``id, x`` and the smallest (primal) leverage ``ml`` of each row.
+
+    Row by row, without grouping: a table may repeat an id.
+    """
+    return f"""SELECT t.id, t.x, list_min(list_transform(ws, lambda m: list_sum(
+        list_transform(m, lambda r: list_inner_product(r, t.x) ** 2)))) AS ml
+        FROM {t} t, (SELECT list(wm) AS ws FROM (
+        SELECT list(w ORDER BY i) AS wm FROM {w} GROUP BY space_id))"""
 
 
 def r6(expression: str, digits: int = 6) -> str:
