@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kernspan.functions.uniform import hash_uniform
 from kernspan.functions.vectors import split_array
+from kernspan.session import broadcast_if_small
 
 
 def repartition_by_size(df: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
@@ -74,9 +75,13 @@ def collect_by_label(
     A label may hold most of the table, so its rows are gathered in as many
     blocks as its count asks for, never in one group.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("label_rows"))
+    counts = df.groupBy(F.col(label).alias("_label")).agg(
+        F.count(F.lit(1)).alias("label_rows")
+    )
     blocks_of = F.ceil(F.col("label_rows") / F.lit(pack_size))
-    tagged = df.join(F.broadcast(counts) if _few(counts) else counts, label).select(
+    # null-safe: rows without a label are a group like any other
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    tagged = df.join(broadcast_if_small(counts, 100_000), same).select(
         label,
         "id",
         "x",
@@ -95,7 +100,3 @@ def collect_by_label(
             F.col("members.x").alias("xs"),
         )
     )
-
-
-def _few(counts: DataFrame, limit: int = 100_000) -> bool:
-    return counts.limit(limit + 1).count() <= limit

@@ -87,6 +87,8 @@ def test_a_hot_label_is_gathered_in_bounded_blocks(spark):
     sizes = blocks.agg(F.max(F.size("ids")), F.sum(F.size("ids"))).first()
     assert sizes[0] < 180 and sizes[1] == 6000
     assert blocks.filter("label = 1").first()["label_rows"] == 4000
+    unlabelled = packing.collect_by_label(df.withColumn("label", F.lit(None).cast("long")), 1000)
+    assert unlabelled.agg(F.sum(F.size("ids"))).first()[0] == 6000
 
 
 def test_pooling_sizes_and_values(spark):
