@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernspan.llm import mixing, packing, quality, simhash, substrings
+from kernspan.llm import mixing, multiindex, packing, pagetext, quality, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,13 @@ def op9_source_mixing(spark, sf):
 @query
 def op10_cost_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query
+def op4_page_text(spark, sf):
+    return pagetext.main_text(table(spark, sf, "pages"))
+
+
+@query
+def op7_inverted_multi_index(spark, sf):
+    return multiindex.nearest(table(spark, sf, "embeddings"))
