@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernspan.llm import mixing, multiindex, packing, pagetext, quality, simhash, substrings
+from kernspan.llm import (
+    crossentropy,
+    editcounts,
+    mixing,
+    multiindex,
+    packing,
+    pagetext,
+    quality,
+    simhash,
+    substrings,
+    toolcalls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +104,89 @@ def op4_page_text(spark, sf):
 @query
 def op7_inverted_multi_index(spark, sf):
     return multiindex.nearest(table(spark, sf, "embeddings"))
+
+
+#: edits a document gets in ``op1_edit_token_counts``
+EDITS_PER_DOCUMENT = 3
+
+
+def derived_edits() -> Column:
+    """Edits of a document that follow from its id: a place, up to 40 characters that go,
+    and up to 30 characters from elsewhere in the text that come in."""
+
+    def draw(k: int, what: int, below: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(k), F.lit(what)), below.cast("long")).cast("int")
+
+    size = F.length(F.coalesce("text", F.lit("")))
+    return F.array(
+        *[
+            F.struct(
+                draw(k, 0, size + 1).alias("at"),
+                draw(k, 1, F.lit(41)).alias("removed"),
+                F.substring(F.col("text"), draw(k, 2, size + 1) + 1, draw(k, 3, F.lit(31))).alias("inserted"),
+            )
+            for k in range(EDITS_PER_DOCUMENT)
+        ]
+    )
+
+
+@query
+def op1_edit_token_counts(spark, sf):
+    """Tokens of every document before and after its edits, and what was encoded again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", derived_edits().alias("edits"))
+    done = editcounts.apply_edits(editcounts.count_tokens(docs), keep_text=False)
+    return done.select(
+        "doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_reencoded",
+        F.col("leaf_count").cast("long").alias("n_leaves"),
+    )
+
+
+#: the tools that the derived calls of ``op6_tool_calls`` name
+SCHEMAS: toolcalls.Schemas = {
+    "ask": {"query": ("string", True), "words": ("integer", True)},
+    "follow_up": {"query": ("string", True), "words": ("integer", True)},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as tool traffic: each user turn is an assistant's call with the
+    turn before the last one as what it needs, each assistant turn the result of the call
+    at the turn before it. Other turns stay."""
+    turn = F.col("turn").cast("long")
+
+    def call(at: Column) -> Column:
+        return F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), at.cast("string"))
+
+    size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""))
+    arguments = F.struct(
+        F.when(turn >= 2, F.array(call(turn - 2))).alias("after"), F.col("text").alias("query"), size.alias("words")
+    )
+    asked = F.to_json(
+        F.struct(
+            F.array(
+                F.struct(
+                    call(turn).alias("id"),
+                    F.when(turn < 2, "ask").otherwise("follow_up").alias("name"),
+                    arguments.alias("arguments"),
+                )
+            ).alias("tool_calls")
+        )
+    )
+    answered = F.to_json(F.struct(call(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    role = F.col("role")
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(role == "user", "assistant").when(role == "assistant", "tool").otherwise(role).alias("role"),
+        F.when(role == "user", asked).when(role == "assistant", answered).otherwise(F.col("text")).alias("text"),
+    )
+
+
+@query
+def op6_tool_calls(spark, sf):
+    return toolcalls.link_tool_calls(tool_messages(table(spark, sf, "conversations")), SCHEMAS)
+
+
+@query
+def op8_cross_entropy_difference(spark, sf):
+    return crossentropy.score_against_good(table(spark, sf, "documents"), table(spark, sf, "labels"))

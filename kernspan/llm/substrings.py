@@ -32,6 +32,7 @@ BYTES_PER_WINDOW = 6
 LAST = (1 << 63) - 1
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
+_BYTE_INVERSE = pow(_BYTE_BASE, -1, 1 << 64)
 _WORD_BASE = 0xD6E8FEB86659FD93
 _BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
@@ -66,22 +67,25 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def window_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """A 64-bit rolling hash of every ``width`` consecutive words.
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the polynomial of its bytes, taken as a difference
+    of two running sums and freed of its place in the text."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    values = _BYTE_VALUES[np.frombuffer(raw, np.uint8)] * _power_table(_BYTE_BASE, len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    # byte i weighs base^i; dividing by base^start leaves a function of the word alone
+    words = (sums[ends] - sums[starts]) * _power_table(_BYTE_INVERSE, len(raw))[starts]
+    return _mix(words + np.uint64(_WORD_BASE) * (ends - starts).astype(np.uint64))
 
-    A word's hash is the polynomial of its bytes, a difference of two running sums;
-    a window's hash the polynomial of its words. Both are functions of the content
-    alone, wherever it stands.
-    """
+
+def window_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """A 64-bit rolling hash of every ``width`` consecutive words: the polynomial of
+    their hashes, a function of the words alone wherever they stand."""
     n = len(starts) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    values = _BYTE_VALUES[np.frombuffer(raw, np.uint8)]
-    # byte i weighs base^i; dividing by base^start makes a word's hash free of its place
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * _power_table(_BYTE_BASE, len(raw)), dtype=np.uint64)])
-    inverse = pow(_BYTE_BASE, -1, 1 << 64)
-    words = (sums[ends] - sums[starts]) * _power_table(inverse, len(raw))[starts]
-    words = _mix(words + np.uint64(_WORD_BASE) * (ends - starts).astype(np.uint64))
+    words = word_hashes(raw, starts, ends)
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out = out * np.uint64(_WORD_BASE) + words[k : k + n]
