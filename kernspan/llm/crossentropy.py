@@ -64,7 +64,9 @@ class Model:
         the word's, and a word's on the uniform one. ``own``: the text was counted, so
         its own counts are taken off first, as if the model had not seen it."""
         word, before, pair = found
-        singles, heads, pairs = self.words[word], self.heads[before], self.pairs[pair]
+        singles, heads, pairs = (
+            t[at].astype(np.float64) for t, at in ((self.words, word), (self.heads, before), (self.pairs, pair))
+        )
         total = self.total
         if own:
             singles, heads, pairs = (c - _repeats(at) for c, at in zip((singles, heads, pairs), found, strict=True))

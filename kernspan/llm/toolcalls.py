@@ -124,7 +124,8 @@ def topological_keys(calls: DataFrame) -> DataFrame:
         return keys.withColumn("cyclic", F.lit(False)).drop("at")
     size = stored(nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size")), "sizes")
     while True:
-        # a way of more steps than there are calls goes round
+        # a way of more steps than there are calls goes round; twice as many are followed
+        # so that every call on the round gets that far
         keys = stored(
             keys.join(moved, ["conv_id", "call_id"], "left")
             .withColumn("old", F.struct("stage", "hops"))
@@ -133,7 +134,7 @@ def topological_keys(calls: DataFrame) -> DataFrame:
             .select("conv_id", "call_id", "at", "top.stage", "top.hops", "changed"),
             "keys",
         )
-        fresh = keys.where("changed").join(size, "conv_id").where("hops <= size").select(
+        fresh = keys.where("changed").join(size, "conv_id").where("hops <= 2 * size").select(
             "conv_id", F.col("call_id").alias("parent"), "stage", "hops"
         )
         if fresh.isEmpty():
