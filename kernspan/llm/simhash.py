@@ -32,8 +32,8 @@ MAX_BITS = 2
 SAMPLE = 131_072
 #: nodes at home in a shard, on average, and sampled ones it has at least
 HOME_NODES, LEAF_SAMPLE = 2_000, 16
-#: nodes a shard may hold before it takes the exact way without shards
-SHARD_NODES = 20_000
+#: nodes (at home or visiting) a shard may hold before it takes the exact way without shards
+SHARD_NODES = 80_000
 _SEARCH_LEAF = 64
 
 
