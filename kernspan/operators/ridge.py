@@ -40,8 +40,8 @@ def one_hot(label: Column | str, classes: list) -> Column:
 
 
 def class_list(df: DataFrame, label: str = "label") -> list:
-    """The distinct labels in order, after checking there are few."""
-    found = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
+    """The distinct labels in order (null is none), after checking there are few."""
+    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
     if len(found) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     return sorted(row[0] for row in found)

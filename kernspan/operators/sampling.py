@@ -12,6 +12,12 @@ from kernspan.functions.vectors import cap_to_one
 RANK_DIGITS = 9
 
 
+def known(score: Column | str) -> Column:
+    """Whether a score is a number: null and NaN are neither sampled nor ranked."""
+    score = F.col(score) if isinstance(score, str) else score
+    return score.isNotNull() & ~F.isnan(score)
+
+
 def scale_scores(df: DataFrame, factor: float, score: str = "score") -> DataFrame:
     return df.withColumn(score, F.col(score) * F.lit(float(factor)))
 
@@ -30,8 +36,8 @@ def bernoulli_by_score(
     score: str = "score",
     row_id: str = "id",
 ) -> DataFrame:
-    """Keep a row with probability min(score, 1)."""
-    return df.filter(hash_uniform(row_id, seed, round_no) <= cap_to_one(score))
+    """Keep a row with probability min(score, 1); never one whose score is no number."""
+    return df.filter(known(score) & (hash_uniform(row_id, seed, round_no) <= cap_to_one(score)))
 
 
 def stage_seed(seed: int | str) -> str:
@@ -53,7 +59,7 @@ def bernoulli_two_stage(
     """
     staged = sample_fraction(df, beta, stage_seed(seed), round_no, row_id)
     u = hash_uniform(row_id, seed, round_no)
-    return staged.filter(u * F.lit(float(beta)) <= F.col(score))
+    return staged.filter(known(score) & (u * F.lit(float(beta)) <= F.col(score)))
 
 
 def bernoulli_by_scaled_score(
@@ -70,6 +76,7 @@ def bernoulli_by_scaled_score(
     ``total`` defaults to the sum of the score over ``df``.
     """
     u = hash_uniform(row_id, seed, round_no)
+    df = df.filter(known(score))
     if delta is None:
         return df.filter(u < F.col(score))
     if total is None:
@@ -121,16 +128,18 @@ def _salted_limit(
 def topk_by_score(
     df: DataFrame, k: int, score: str = "score", ties: tuple[str, ...] = ("id",)
 ) -> DataFrame:
-    """The k rows with the highest score."""
-    order = [F.round(score, RANK_DIGITS).desc(), *[F.col(t) for t in ties]]
+    """The k rows with the highest score; rows without a number come last."""
+    df = df.withColumn(score, F.when(known(score), F.col(score)))
+    order = [F.round(score, RANK_DIGITS).desc_nulls_last(), *[F.col(t) for t in ties]]
     return ranked_limit(df, order, k, ties[-1])
 
 
 def bottomk_by_score(
     df: DataFrame, k: int, score: str = "score", ties: tuple[str, ...] = ("id",)
 ) -> DataFrame:
-    """The k rows with the lowest score."""
-    order = [F.round(score, RANK_DIGITS).asc(), *[F.col(t) for t in ties]]
+    """The k rows with the lowest score; rows without a number come last."""
+    df = df.withColumn(score, F.when(known(score), F.col(score)))
+    order = [F.round(score, RANK_DIGITS).asc_nulls_last(), *[F.col(t) for t in ties]]
     return ranked_limit(df, order, k, ties[-1])
 
 

@@ -149,7 +149,12 @@ def rows_of(x: pa.Array, ids: pa.Array | None = None) -> tuple[np.ndarray, np.nd
             who = f" (id {kept[odd].as_py()!r})"
         raise ValueError(f"vectors of unequal length: {lengths[0]} and {lengths[odd]}{who}")
     width = int(lengths[0]) if len(lengths) else 0
-    values = x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    flat = x.flatten()
+    if flat.null_count:
+        odd = int(np.flatnonzero(np.asarray(pc.is_null(flat)))[0]) // width
+        kept = ids if ids is None or present is None else ids.filter(pa.array(present))
+        raise ValueError("a vector has a null element" + ("" if kept is None else f" (id {kept[odd].as_py()!r})"))
+    values = flat.to_numpy(zero_copy_only=False).astype(float, copy=False)
     return values.reshape(len(x), width), present
 
 

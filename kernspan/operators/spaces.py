@@ -74,7 +74,9 @@ class SubspaceCollection:
             raise IndexError(f"slot {slot} is not in [0, {self.count})")
         last = self.count - 1
         kept = self._without_slot(slot)
-        moved = F.when(F.col("space_id") == last, F.lit(slot)).otherwise(F.col("space_id"))
+        # one reference to the old slot: a CASE has two, and doubles with every removal
+        slots = F.array(*[F.lit(slot if k == last else k) for k in range(self.count)])
+        moved = F.get(slots, F.col("space_id"))
         return replace(
             kept,
             spaces=kept.spaces.withColumn("space_id", moved),

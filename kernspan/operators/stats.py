@@ -24,18 +24,25 @@ def vector_dim(df: DataFrame, x: str = "x") -> DataFrame:
 def _elements(df: DataFrame, x: str, cols: str | None) -> DataFrame:
     """(pos, value) of every element; packed blocks wrap at the vector length."""
     if cols is None:
-        return df.select(F.posexplode(x).alias("pos", "value"))
+        return df.select(F.size(x).alias("width"), F.posexplode(x).alias("pos", "value"))
     width = (F.size(x) / F.col(cols)).cast("int")
     exploded = df.select(width.alias("width"), F.posexplode(x).alias("at", "value"))
-    return exploded.select(F.pmod("at", "width").alias("pos"), "value")
+    return exploded.select("width", F.pmod("at", "width").alias("pos"), "value")
 
 
 def _per_position(df: DataFrame, x: str, cols: str | None, **aggregates: Column) -> DataFrame:
     """One row holding an array per aggregate, in position order."""
     named = [agg.alias(name) for name, agg in aggregates.items()]
-    rows = _elements(df, x, cols).groupBy("pos").agg(*named)
+    widths = [F.min("width").alias("least_width"), F.max("width").alias("most_width")]
+    rows = _elements(df, x, cols).groupBy("pos").agg(*named, *widths)
     ordered = F.array_sort(F.collect_list(F.struct("pos", *aggregates)))
-    return rows.agg(ordered.alias("rows")).select(
+    least, most = F.min("least_width"), F.max("most_width")
+    checked = F.when(least == most, ordered).otherwise(
+        F.raise_error(F.concat(F.lit("vectors of unequal length: "), least, F.lit(" and "), most))
+    )
+    # a table without vectors has no moments
+    whole = F.when(F.count(F.lit(1)) == 0, ordered).otherwise(checked)
+    return rows.agg(whole.alias("rows")).select(
         *[F.col(f"rows.{name}").alias(name) for name in aggregates]
     )
 
@@ -68,7 +75,8 @@ def standardize(
 ) -> DataFrame:
     """(x - mean) / variance per dimension, or / std with ``by='std'``.
 
-    A constant dimension becomes 0. Without given ``stats`` they are computed
+    A constant dimension becomes 0; a vector of another length than the moments is an
+    error that names its id. Without given ``stats`` they are computed
     here, once, so that later passes over the result do not repeat that job.
     """
     if by not in ("variance", "std"):
@@ -82,7 +90,13 @@ def standardize(
     scaled = F.zip_with(
         F.col(x), F.col("_moments"), lambda v, m: (v - m["mean"]) * m["inverse"]
     )
-    return df.withColumn("_moments", moments).withColumn(out or x, scaled).drop("_moments")
+    who = F.concat(F.lit(" (id "), F.col("id").cast("string"), F.lit(")")) if "id" in df.columns else F.lit("")
+    message = F.concat(
+        F.lit("vectors of unequal length: "), F.size("_moments"), F.lit(" and "), F.size(x), who
+    )
+    even = F.col(x).isNull() | (F.size(x) == F.size("_moments"))
+    checked = F.when(even, scaled).otherwise(F.raise_error(message))
+    return df.withColumn("_moments", moments).withColumn(out or x, checked).drop("_moments")
 
 
 def row_count(df: DataFrame) -> DataFrame:

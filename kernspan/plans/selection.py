@@ -164,10 +164,11 @@ def _reduced_scan(
             least = []
             for block in blocks(rows, widest):
                 under_now = leverage_block(block, current, kernel).min(axis=1)
-                total += float(under_now.sum())
+                total += float(np.nansum(under_now))
                 if following is not None:
                     under_now = leverage_block(block, following, kernel).min(axis=1)
                 least.append(under_now)
+            # as in sampling: what is no number is neither drawn nor ranked
             score = (np.concatenate(least) if least else np.empty(0)) * factor
             if capped:
                 score = np.minimum(score, 1.0)
@@ -246,7 +247,8 @@ def _total_and_draw(
 
 
 def _total(df: DataFrame, models: DataFrame, kernel: Kernel) -> float:
-    return leverage_min(df, models, kernel).agg(F.sum("leverage")).first()[0] or 0.0
+    numbers = F.when(sampling.known("leverage"), F.col("leverage"))
+    return leverage_min(df, models, kernel).agg(F.sum(numbers)).first()[0] or 0.0
 
 
 @contextmanager
@@ -487,7 +489,7 @@ def _grow_in_passes(
 ) -> tuple[DataFrame, float, int]:
     """The same for models beyond the broadcast bound: total first, then draw."""
     scored = sampling.scale_scores(leverage_min(df, models, kernel, out="score"), 1.5 / lam)
-    total = scored.agg(F.sum("score")).first()[0] or 0.0
+    total = scored.agg(F.sum(F.when(sampling.known("score"), F.col("score")))).first()[0] or 0.0
     if delta is not None and total <= 0:
         return spaces, total, 0
     accepted = sampling.bernoulli_by_scaled_score(

@@ -7,13 +7,17 @@ the selection rounds come from the feature-space form of the inverse.
 
 from __future__ import annotations
 
-from kernspan.plans.schedules import HALVING_BOUND
 from verification import queries as Q
 from verification import relations as R
 from verification.relations import r6
 
 SQL: dict[str, str] = {}
 
+#: rounds a selection loop is unrolled to; it must have stopped by then
+UNROLLED = 40
+#: nested levels a halving may have: enough for a billion rows
+DEEPEST = 24
+
 
 def over(name: str, body: str, *ctes: str) -> str:
     """A statement over the table ``name`` as ``t``, with more CTEs before the body."""
@@ -40,8 +44,8 @@ MIN_SCORES = [
 
 SQL["scan_labeled_csv"] = over(
     "lineitem",
-    f"""SELECT label, x[1] AS quantity, count(*) AS n_rows, 4 * count(*) AS n_values,
-    {r6('max(x[2])')} AS max_price, {r6('min(x[4])')} AS min_tax FROM t GROUP BY label, x[1]""",
+    """SELECT label, 4::BIGINT AS dim, x[1] AS x0, x[2] AS x1, x[3] AS x2, x[4] AS x3,
+    count(*) AS n_rows FROM t GROUP BY ALL""",
 )
 SQL["drop_header_rows"] = over(
     "lineitem",
@@ -158,8 +162,9 @@ SQL["label_histogram"] = over(
 SQL["collect_by_label"] = over(
     "events",
     f"""SELECT label, block, label_rows,
-    row_number() OVER (PARTITION BY label, block ORDER BY id) - 1 AS pos, id, last FROM (
-    SELECT label, id, label_rows, {r6('x[4]')} AS last,
+    row_number() OVER (PARTITION BY label, block ORDER BY id) - 1 AS pos, id,
+    x0, x1, x2, x3 FROM (
+    SELECT label, id, label_rows, {', '.join(f"{r6(f'x[{i + 1}]')} AS x{i}" for i in range(4))},
     CAST(floor({R.uniform('pack', 0)} * ceil(label_rows / 500.0::DOUBLE)) AS BIGINT) AS block
     FROM (SELECT *, count(*) OVER (PARTITION BY label) AS label_rows FROM t))""",
 )
@@ -194,8 +199,11 @@ SQL["score_describe"] = over(
     {r6('min(score)')} AS min, {r6('max(score)')} AS max FROM ml""",
     *MIN_SCORES,
 )
-SQL["score_quantiles"] = """SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS probability,
-    (SELECT count(*) FROM events) AS n, true AS rank_ok"""
+_DECILES = f"""SELECT p / 10.0::DOUBLE AS probability, {r6('score')} AS value
+    FROM (SELECT unnest(range(0, 11)) AS p) JOIN (
+        SELECT score, row_number() OVER (ORDER BY score) AS rn, count(*) OVER () AS n FROM ml)
+    ON rn = greatest(1, -(-p * n // 10))"""
+SQL["score_quantiles"] = over("events", _DECILES, *MIN_SCORES)
 SQL["space_sizes"] = over(
     "events", "SELECT space_id, count(*) AS n_landmarks FROM sp GROUP BY space_id", SPACES
 )
@@ -270,13 +278,20 @@ SQL["avg_pool_normalize"] = over(
 _packed = f"""packed AS MATERIALIZED (SELECT *,
         row_number() OVER (PARTITION BY pack_id ORDER BY id) - 1 AS pos,
         count(*) OVER (PARTITION BY pack_id) AS cols FROM (
-        SELECT id, x, CAST(floor({R.uniform('pack', 0)} * {Q.PACKS}) AS BIGINT) AS pack_id FROM t))"""
+        SELECT id, x, CAST(floor({R.uniform('pack', 0)} * n_packs) AS BIGINT) AS pack_id
+        FROM t, (SELECT greatest(1, ceil(count(*) / {Q.PACK_SIZE}.0)) AS n_packs FROM t)))"""
 SQL["repartition_by_size"] = """SELECT count(*) AS n_rows, count(*) // 5000 + 1 AS n_partitions
     FROM lineitem"""
-SQL["pack_vectors"] = over("events", "SELECT pack_id, cols, pos, id FROM packed", _packed)
+SQL["pack_vectors"] = over(
+    "events",
+    f"""SELECT pack_id, cols, pos, id, d - 1 AS dim, {r6('v')} AS value FROM (
+    SELECT *, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM packed)""",
+    _packed,
+)
 SQL["unpack_vectors"] = over(
     "events",
-    f"SELECT id, {r6('x[1]')} AS first, {r6('list_inner_product(x, x)')} AS k_norm FROM t",
+    f"""SELECT id, {', '.join(f"{r6(f'x[{i + 1}]')} AS x{i}" for i in range(4))},
+    {r6('list_inner_product(x, x)')} AS k_norm FROM t""",
 )
 SQL["explode_scores"] = over(
     "events", f"SELECT {r6('list_inner_product(x, x)')} AS score FROM t"
@@ -422,7 +437,9 @@ SQL["spaces_describe"] = over(
 # ------------------------------------------------------------ selection
 
 
-def _drawn(scored: str, out: str, round_no: int, beta: str | None = None, order: str = "DESC") -> str:
+def _drawn(
+    scored: str, out: str, round_no: int, rows: int, beta: str | None = None, order: str = "DESC"
+) -> str:
     """Sample ``scored(id, x, score)`` and keep the best rows, as ``out``."""
     coin = R.uniform(R.SEED, round_no)
     if beta is None:
@@ -432,7 +449,7 @@ def _drawn(scored: str, out: str, round_no: int, beta: str | None = None, order:
         accept = f"{stage} < {beta} AND {coin} * {beta} <= score"
     return f"""{out} AS MATERIALIZED (SELECT rn - 1 AS ord, id, x, least(score, 1.0) AS reg FROM (
         SELECT *, row_number() OVER (ORDER BY round(score, 9) {order}, {coin}, id) AS rn
-        FROM {scored} WHERE {accept}) WHERE rn <= {Q.SELECT_ROWS})"""
+        FROM {scored} WHERE {accept}) WHERE rn <= {rows})"""
 
 
 def _collected(slots: dict[int, str], out: str) -> str:
@@ -443,68 +460,83 @@ def _collected(slots: dict[int, str], out: str) -> str:
     ) + ")"
 
 
-def _spaces_loop() -> tuple[list[str], list[tuple]]:
-    """CTEs of all rounds, and per round (lambda, sample, slots, total)."""
+def _spaces_loop(dim: int) -> tuple[list[str], list[tuple]]:
+    """CTEs of all rounds, and per round (lambda, sample, slots, total).
+
+    ``b<i>`` holds the best round so far and the count of misses; once these reach
+    the limit it only passes on what it has, whatever later rounds give.
+    """
     n = "(SELECT count(*) FROM t)"
     ctes = [
         f"h AS (SELECT greatest(1, CAST(floor(ln({n}) / ln(2)) AS INTEGER)) AS hn)",
         f"f AS (SELECT ln(12 * hn * {n} / 0.9) AS factor FROM h)",
         "q0 AS (SELECT id, x, list_inner_product(x, x) * factor AS score FROM t, f)",
-        _drawn("q0", "d0", 0),
+        _drawn("q0", "d0", 0, Q.SELECT_ROWS),
     ]
-    slots = {0: "d0"}
     rounds = []
-    for i in range(Q.SELECT_ROUNDS):
+    for i in range(UNROLLED):
         lam = f"(SELECT 1.0::DOUBLE / 2 ** least({i}, hn - 1) FROM h)"
         if i:
-            if len(slots) == Q.SELECT_SPACES:
-                gone = (i - 1) % (Q.SELECT_SPACES - 1)
-                last = len(slots) - 1
-                moved = slots.pop(last)
-                if gone != last:
-                    slots[gone] = moved
+            gone, last = (i - 1) % (Q.SELECT_SPACES - 1), Q.SELECT_SPACES - 1
+            full = f"(SELECT max(space_id) = {last} FROM s{i - 1})"
+            drawn = f"(SELECT count(*) > 0 FROM d{i})"
             ctes += [
-                _collected(slots, f"p{i}"),
-                R.primal_ctes(lam, f"p{i}", f"pw{i}"),
+                # a full collection frees a slot, into which its last one moves
+                f"""p{i} AS MATERIALIZED (SELECT CASE WHEN space_id = {last} THEN {gone} ELSE space_id END
+                AS space_id, ord, id, x, reg FROM s{i - 1} WHERE NOT ({full} AND space_id = {gone}))""",
+                R.primal_ctes(lam, f"p{i}", f"pw{i}", dim),
                 f"""q{i} AS (SELECT id, x, ml * factor AS score
                 FROM ({R.min_leverage('t', f'pw{i}')}), f)""",
-                _drawn(f"q{i}", f"d{i}", i),
+                _drawn(f"q{i}", f"d{i}", i, Q.SELECT_ROWS),
+                # an empty draw leaves the collection as it was
+                f"""s{i} AS MATERIALIZED (SELECT * FROM p{i} WHERE {drawn} UNION ALL
+                SELECT (SELECT max(space_id) + 1 FROM p{i}), ord, id, x, reg FROM d{i} UNION ALL
+                SELECT * FROM s{i - 1} WHERE NOT {drawn})""",
             ]
-            slots = {**slots, len(slots): f"d{i}"}
+        else:
+            ctes.append(_collected({0: "d0"}, "s0"))
         ctes += [
-            _collected(slots, f"s{i}"),
-            R.primal_ctes(lam, f"s{i}", f"w{i}"),
+            R.primal_ctes(lam, f"s{i}", f"w{i}", dim),
             f"l{i} AS MATERIALIZED (SELECT sum(ml) AS total FROM ({R.min_leverage('t', f'w{i}')}))",
         ]
         rounds.append((lam, f"d{i}", f"s{i}", f"l{i}"))
-    best = "b0 AS (SELECT 0 AS best, total, true AS hit FROM l0)"
-    ctes.append(best)
-    for i in range(1, Q.SELECT_ROUNDS):
+    ctes.append("b0 AS MATERIALIZED (SELECT 0 AS best, total, true AS hit, 0 AS misses, true AS ran FROM l0)")
+    for i in range(1, UNROLLED):
+        going = f"b.misses < {Q.SELECT_MISSES}"
+        better = f"l.total - b.total < -1 AND (SELECT count(*) > 0 FROM d{i})"
         ctes.append(
-            f"""b{i} AS (SELECT CASE WHEN l.total - b.total < -1 THEN {i} ELSE b.best END AS best,
-            CASE WHEN l.total - b.total < -1 THEN l.total ELSE b.total END AS total,
-            l.total - b.total < -1 AS hit FROM l{i} l, b{i - 1} b)"""
+            f"""b{i} AS MATERIALIZED (SELECT CASE WHEN {going} AND {better} THEN {i} ELSE b.best END AS best,
+            CASE WHEN {going} AND {better} THEN l.total ELSE b.total END AS total,
+            ({better}) AS hit,
+            CASE WHEN NOT {going} THEN b.misses WHEN {better} THEN greatest(0, b.misses - 1)
+                ELSE b.misses + 1 END AS misses,
+            {going} AS ran FROM l{i} l, b{i - 1} b)"""
         )
     return ctes, rounds
 
 
-_loop, _rounds = _spaces_loop()
-SQL["nystrom_spaces"] = over(
-    "events",
-    " UNION ALL ".join(
-        f"""SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {s}
-        WHERE (SELECT best FROM b{Q.SELECT_ROUNDS - 1}) = {i}"""
-        for i, (_, _, s, _) in enumerate(_rounds)
-    ),
-    *_loop,
-)
+def _spaces_sql(name: str, dim: int) -> str:
+    loop, rounds = _spaces_loop(dim)
+    return over(
+        name,
+        " UNION ALL ".join(
+            f"""SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {s}
+            WHERE (SELECT best FROM b{UNROLLED - 1} WHERE misses >= {Q.SELECT_MISSES}) = {i}"""
+            for i, (_, _, s, _) in enumerate(rounds)
+        ),
+        *loop,
+    )
+
+
+SQL["nystrom_spaces"] = _spaces_sql("events", 4)
 SQL["nystrom_spaces_packed"] = SQL["nystrom_spaces"]
+_loop, _rounds = _spaces_loop(4)
 SQL["nystrom_spaces_history"] = over(
     "events",
     " UNION ALL ".join(
         f"""SELECT {i} AS round, {r6(lam, 9)} AS lambda, (SELECT count(*) FROM {d}) AS n_landmarks,
         {r6(f'(SELECT total FROM {total})', 4)} AS total_leverage,
-        (SELECT hit FROM b{i}) AS is_best"""
+        hit AS is_best FROM b{i} WHERE ran"""
         for i, (lam, d, _, total) in enumerate(_rounds)
     ),
     *_loop,
@@ -519,11 +551,11 @@ def _bless_loop() -> tuple[list[str], list[tuple]]:
         "q0 AS (SELECT id, x, least(list_inner_product(x, x) * factor, 1.0) AS score FROM t, f)",
     ]
     rounds = []
-    for i in range(Q.BLESS_ROUNDS):
+    for i in range(UNROLLED):
         lam = f"(1 / 0.3::DOUBLE / 1.5::DOUBLE ** {i})"
         beta = f"(SELECT least(factor / ({lam} * {n}), 1.0) FROM f)"
         ctes += [
-            _drawn(f"q{i}", f"d{i}", i, beta, "ASC" if i == 0 else "DESC"),
+            _drawn(f"q{i}", f"d{i}", i, Q.BLESS_ROWS, beta, "ASC" if i == 0 else "DESC"),
             _collected({0: f"d{i}"}, f"s{i}"),
             R.primal_ctes(f"{lam} * {n}", f"s{i}", f"w{i}"),
             f"m{i} AS MATERIALIZED ({R.min_leverage('t', f'w{i}')})",
@@ -536,14 +568,19 @@ def _bless_loop() -> tuple[list[str], list[tuple]]:
 _bless, _bless_rounds = _bless_loop()
 SQL["nystrom_bless"] = over(
     "events",
-    f"SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {_bless_rounds[-1][2]}",
+    " UNION ALL ".join(
+        f"""SELECT space_id, ord::INTEGER AS ord, id, {r6('reg')} AS reg FROM {s}
+        WHERE (SELECT hn FROM h) = {i + 1}"""
+        for i, (_, _, s, _) in enumerate(_bless_rounds)
+    ),
     *_bless,
 )
 SQL["nystrom_bless_history"] = over(
     "events",
     " UNION ALL ".join(
         f"""SELECT {i} AS round, {r6(lam, 9)} AS lambda, (SELECT count(*) FROM {d}) AS n_landmarks,
-        {r6(f'(SELECT sum(ml) FROM {m})', 4)} AS total_leverage, true AS is_best"""
+        {r6(f'(SELECT sum(ml) FROM {m})', 4)} AS total_leverage, true AS is_best
+        FROM h WHERE {i} < hn"""
         for i, (lam, d, _, m) in enumerate(_bless_rounds)
     ),
     *_bless,
@@ -562,20 +599,20 @@ def _scaled(landmarks: str, source: str, out: str) -> list[str]:
     ]
 
 
-def _halving() -> str:
-    """Levels and deltas of every depth the table may have, up to twelve.
+def _halving_ctes() -> list[str]:
+    """Levels and deltas of every depth the table may have, up to ``DEEPEST``.
 
     Rounds beyond the table's own depth start from the same base set and add
     nothing, because their level is empty of candidates.
     """
-    deepest = 12
+    deepest = DEEPEST
     steps = []
     for level in range(1, deepest + 1):
         share = 0.5**level
         delta = f"(0.1 / 3.0::DOUBLE ** {level - 1})"
         steps.append(
             f"""CASE WHEN n * {share!r} + sqrt(2 * {share!r} * {1 - share!r} * n * ln(ln(n)))
-            <= -{HALVING_BOUND} * ln({delta}) THEN {level} END"""
+            <= -192 * ln({delta}) THEN {level} END"""
         )
     u = R.uniform(R.SEED, 0)
     ctes = [
@@ -594,34 +631,48 @@ def _halving() -> str:
             SELECT 0, {r}, id, x, 1.0 FROM l{r}, depth WHERE {R.uniform(R.SEED, r)} < score
             * ln((SELECT sum(score) FROM l{r}) / (0.1 / 3.0::DOUBLE ** (n_levels - 1) * 3.0::DOUBLE ** {r})))""",
         ]
-    return over("events", f"SELECT ord, id FROM s{deepest}", *ctes)
+    return ctes
 
 
-SQL["nystrom_halving"] = _halving()
-SQL["nystrom_refine"] = over(
-    "events",
-    f"SELECT ord::INTEGER AS ord, id FROM r{Q.REFINE_ROUNDS}",
-    R.space_ctes(n_spaces=1),
-    UNIT,
-    "r0 AS (SELECT space_id, CAST(ord AS BIGINT) AS ord, u.id, u.x, reg FROM sp JOIN u ON u.id = sp.id)",
-    *[
-        cte
-        for i in range(Q.REFINE_ROUNDS)
-        for cte in [
-            *_scaled(f"r{i}", "u", f"l{i}"),
+SQL["nystrom_halving"] = over("events", f"SELECT ord, id FROM s{DEEPEST}", *_halving_ctes())
+
+
+def _refine_ctes() -> list[str]:
+    """The rounds after a halving: ``r<i>`` holds the landmarks after i of them."""
+    ctes = [*_halving_ctes(), f"r0 AS (SELECT * FROM s{DEEPEST})"]
+    for i in range(Q.REFINE_ROUNDS):
+        ctes += [
+            *_scaled(f"r{i}", "u", f"x{i}"),
             f"""r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} UNION ALL
-            SELECT 0, {1000 + i}, id, x, 1.0 FROM l{i} WHERE {R.uniform(R.SEED, 1000 + i)} < score)""",
+            SELECT 0, {1000 + i}, id, x, 1.0 FROM x{i} WHERE {R.uniform(R.SEED, 1000 + i)} < score)""",
         ]
-    ],
+    return ctes
+
+
+SQL["nystrom_refine"] = over(
+    "events", f"SELECT ord::INTEGER AS ord, id FROM r{Q.REFINE_ROUNDS}", *_refine_ctes()
+)
+
+_refined_scores = [
+    *_refine_ctes(),
+    R.primal_ctes("0.01", f"r{Q.REFINE_ROUNDS}", "wz"),
+    f"ml AS MATERIALIZED (SELECT id, ml AS score FROM ({R.min_leverage('u', 'wz')}))",
+]
+SQL["refined_leverage_describe"] = over(
+    "events",
+    f"""SELECT count(score) AS n, {r6('avg(score)')} AS mean, {r6('stddev_samp(score)')} AS stddev,
+    {r6('min(score)')} AS min, {r6('max(score)')} AS max FROM ml""",
+    *_refined_scores,
 )
+SQL["refined_leverage_quantiles"] = over("events", _DECILES, *_refined_scores)
 
 # ------------------------------------------------------------ models
 
 
-def _class_ctes() -> list[str]:
-    """Class subspaces of the chosen rows; ``lev`` then holds one row per label."""
+def _class_ctes(spaces: str | None = None) -> list[str]:
+    """Class subspaces of the rows in ``sp``; ``lev`` then holds one row per label."""
     return [
-        R.space_ctes(),
+        spaces or R.space_ctes(),
         """chosen AS MATERIALIZED (SELECT label AS space_id,
         row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS ord, id, x, 1.0::DOUBLE AS reg
         FROM t WHERE id IN (SELECT id FROM sp))""",
@@ -650,6 +701,21 @@ SQL["match_summary"] = over(
     {r6('sum(residual)', 5)} AS residual_sum FROM t JOIN best USING (id) GROUP BY 1""",
     *_class_ctes(),
 )
+SQL["match_summary_held_out"] = SQL["match_summary"].replace(
+    "FROM t JOIN best USING (id) GROUP BY 1",
+    "FROM t JOIN best USING (id) WHERE id NOT IN (SELECT id FROM sp) GROUP BY 1",
+)
+_best_spaces = "sp AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT id FROM {s} WHERE (SELECT best FROM b{UNROLLED - 1} WHERE misses >= {Q.SELECT_MISSES}) = {i}"
+    for i, (_, _, s, _) in enumerate(_rounds)
+) + ")"
+SQL["selected_match_summary"] = over(
+    "events",
+    f"""SELECT label = pred_label AS is_match, count(*) AS n_rows,
+    {r6('sum(residual)', 4)} AS residual_sum FROM t JOIN best USING (id) GROUP BY 1""",
+    *_loop,
+    *_class_ctes(_best_spaces),
+)
 
 
 def _ridge_ctes(outputs: str, target: str) -> list[str]:

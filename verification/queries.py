@@ -35,17 +35,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: parameters shared with the SQL
-PACKS = 24
+PACK_SIZE = 5_000
 SAMPLE_SHARE = 0.3
 TOP_K = 50
 SCORE_FACTOR = 0.8
 OFFSETS = [0.5, -1.0, 2.0, 0.25]
-SELECT_ROWS = 200
-SELECT_SPACES = 3
-SELECT_ROUNDS = 5
-BLESS_ROUNDS = 4
-REFINE_ROUNDS = 2
+BLESS_ROWS = 5_000
+SELECT_ROWS = 1_000
+SELECT_SPACES = 5
+SELECT_MISSES = 10
+REFINE_ROUNDS = 20
 LEVELS = 6
+QUANTILE_ERROR = 1e-5
 CSV_HEADER = "label,quantity,price,discount,tax"
 
 
@@ -96,11 +97,9 @@ def _write_csv(spark: SparkSession, sf: str) -> str:
 @query
 def scan_labeled_csv_(spark, sf):
     table = scan_labeled_csv(spark, _write_csv(spark, sf), ["quantity"])
-    return table.groupBy("label", F.col("x")[0].alias("quantity")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.size("x")).cast("long").alias("n_values"),
-        r6(F.max(F.col("x")[1])).alias("max_price"),
-        r6(F.min(F.col("x")[3])).alias("min_tax"),
+    values = [F.col("x")[i].alias(f"x{i}") for i in range(4)]
+    return table.groupBy("label", F.size("x").cast("long").alias("dim"), *values).agg(
+        F.count(F.lit(1)).alias("n_rows")
     )
 
 
@@ -265,7 +264,7 @@ def vec_sum(spark, sf):
 
 @query
 def vec_sum_packed(spark, sf):
-    packs = packing.pack_vectors(R.events(spark, sf), n_packs=PACKS)
+    packs = packing.pack_vectors(R.events(spark, sf), PACK_SIZE)
     return exploded(stats.vec_sum(packs, "x_pack", "cols"), "sum")
 
 
@@ -309,7 +308,7 @@ def collect_by_label(spark, sf):
         "label_rows",
         F.col("pos").cast("long").alias("pos"),
         F.col("m.ids").alias("id"),
-        r6(F.col("m.xs")[3]).alias("last"),
+        *[r6(F.col("m.xs")[i]).alias(f"x{i}") for i in range(4)],
     )
 
 
@@ -342,26 +341,11 @@ def score_describe(spark, sf):
 
 @query
 def score_quantiles(spark, sf):
-    """Whether each approximate decile has a rank within the asked error."""
-    scored = materialize(_scored(R.events(spark, sf)).select("score"))
-    quantiles = stats.score_quantiles(scored, "score", relative_error=0.01)
-    listed = quantiles.agg(F.collect_list(F.struct("probability", "value")).alias("q"))
-    counted = scored.select("score", listed.scalar().alias("q"))
-    ranks = (
-        counted.select("score", F.inline("q"))
-        .groupBy("probability")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum((F.col("score") < F.col("value")).cast("long")).alias("below"),
-            F.sum((F.col("score") <= F.col("value")).cast("long")).alias("upto"),
-        )
-    )
-    asked, slack = F.col("probability") * F.col("n"), F.col("n") * 0.01
-    return ranks.select(
-        "probability",
-        "n",
-        ((F.col("below") <= asked + slack) & (F.col("upto") >= asked - slack)).alias("rank_ok"),
+    """The deciles, with a sketch fine enough to be exact below 100,000 rows."""
+    quantiles = stats.score_quantiles(
+        _scored(R.events(spark, sf)), "score", relative_error=QUANTILE_ERROR
     )
+    return quantiles.select("probability", r6("value").alias("value"))
 
 
 @query
@@ -459,21 +443,29 @@ def repartition_by_size(spark, sf):
 
 
 def _packs(spark, sf) -> DataFrame:
-    return packing.pack_vectors(R.events(spark, sf), n_packs=PACKS)
+    return packing.pack_vectors(R.events(spark, sf), PACK_SIZE)
 
 
 @query
 def pack_vectors(spark, sf):
+    """Every element of every block, with the row it belongs to."""
     packs = _packs(spark, sf)
-    members = packs.select("pack_id", "cols", F.posexplode("ids").alias("pos", "id"))
-    return members.withColumn("pos", F.col("pos").cast("long"))
+    width = (F.size("x_pack") / F.col("cols")).cast("int")
+    elements = packs.select("pack_id", "cols", "ids", width.alias("width"), F.posexplode("x_pack").alias("at", "v"))
+    row = F.floor(F.col("at") / F.col("width")).cast("int")
+    return elements.select(
+        "pack_id", "cols", row.cast("long").alias("pos"), F.get("ids", row).alias("id"),
+        F.pmod("at", "width").cast("long").alias("dim"), r6("v").alias("value"),
+    )
 
 
 @query
 def unpack_vectors(spark, sf):
     scored = S.kernel_norms_packed(_packs(spark, sf))
     rows = packing.unpack_vectors(scored, "k_norms")
-    return rows.select("id", r6(F.col("x")[0]).alias("first"), r6("k_norms").alias("k_norm"))
+    return rows.select(
+        "id", *[r6(F.col("x")[i]).alias(f"x{i}") for i in range(4)], r6("k_norms").alias("k_norm")
+    )
 
 
 @query
@@ -599,7 +591,7 @@ def leverage_min_lineitem(spark, sf):
 def leverage_min_packed(spark, sf):
     table = R.events(spark, sf)
     _, models = fitted(table)
-    packs = S.leverage_min_packed(packing.pack_vectors(table, n_packs=PACKS), models)
+    packs = S.leverage_min_packed(packing.pack_vectors(table, PACK_SIZE), models)
     return exploded(packs, "leverages", "pack_id")
 
 
@@ -697,7 +689,7 @@ def _spaces_options() -> dict:
         "seed": R.SEED,
         "max_rows": SELECT_ROWS,
         "max_spaces": SELECT_SPACES,
-        "max_rounds": SELECT_ROUNDS,
+        "max_non_improv": SELECT_MISSES,
     }
 
 
@@ -734,28 +726,21 @@ def nystrom_spaces_packed(spark, sf):
 
 @query
 def nystrom_spaces_full(spark, sf):
-    """The whole loop with its own stop rule."""
-    chosen = selection.nystrom_spaces(
-        R.vectors(spark, sf), seed=R.SEED, max_rows=SELECT_ROWS, max_non_improv=2
-    )
-    return _kept(chosen)
+    """The loop over the wide vectors, to its own end."""
+    return _kept(selection.nystrom_spaces(R.vectors(spark, sf), **_spaces_options()))
 
 
 @query
 def nystrom_bless(spark, sf):
     return _kept(
-        selection.nystrom_bless(
-            R.events(spark, sf), seed=R.SEED, max_rows=SELECT_ROWS, max_rounds=BLESS_ROUNDS
-        )
+        selection.nystrom_bless(R.events(spark, sf), seed=R.SEED, max_rows=BLESS_ROWS)
     )
 
 
 @query
 def nystrom_bless_history(spark, sf):
     return _history(
-        selection.nystrom_bless(
-            R.events(spark, sf), seed=R.SEED, max_rows=SELECT_ROWS, max_rounds=BLESS_ROUNDS
-        )
+        selection.nystrom_bless(R.events(spark, sf), seed=R.SEED, max_rows=BLESS_ROWS)
     )
 
 
@@ -771,13 +756,45 @@ def nystrom_halving(spark, sf):
     return chosen.spaces.select("ord", "id")
 
 
+def _refined(table: DataFrame) -> selection.Selection:
+    start = selection.nystrom_halving(table, seed=R.SEED).spaces
+    return selection.nystrom_refine(table, start, seed=R.SEED, rounds=REFINE_ROUNDS)
+
+
 @query
 def nystrom_refine(spark, sf):
-    """Refinement of a uniform sample over the whole table."""
+    """Refinement of the halving result over the whole table."""
+    return _refined(R.events(spark, sf)).spaces.select("ord", "id")
+
+
+@query
+def refined_leverage_describe(spark, sf):
+    """Halving, its refinement, and the leverages that are left, described."""
     table = R.events(spark, sf)
-    start = R.spaces(table, n_spaces=1)
-    chosen = selection.nystrom_refine(table, start, seed=R.SEED, rounds=REFINE_ROUNDS)
-    return chosen.spaces.select("ord", "id")
+    chosen = _refined(table)
+    scored = S.leverage_min(table, chosen.models, kernels.cosine())
+    described = stats.score_describe(scored)
+    return described.select("n", *[r6(c).alias(c) for c in ("mean", "stddev", "min", "max")])
+
+
+@query
+def refined_leverage_quantiles(spark, sf):
+    table = R.events(spark, sf)
+    chosen = _refined(table)
+    scored = S.leverage_min(table, chosen.models, kernels.cosine())
+    quantiles = stats.score_quantiles(scored, relative_error=QUANTILE_ERROR)
+    return quantiles.select("probability", r6("value").alias("value"))
+
+
+@query
+def selected_match_summary(spark, sf):
+    """Selected landmarks become class subspaces; matches over the whole table."""
+    table = R.events(spark, sf)
+    chosen = selection.nystrom_spaces(table, **_spaces_options())
+    rows = landmarks.filter_by_ids(table, chosen.spaces)
+    models = classify.fit_class_subspaces(rows, table.count())
+    summary = stats.match_summary(classify.classify_max_projection(table, models))
+    return summary.select("is_match", "n_rows", r6("residual_sum", 4).alias("residual_sum"))
 
 
 # ------------------------------------------------------------ models
@@ -812,6 +829,16 @@ def classify_max_projection_events(spark, sf):
     return classified.select("id", "pred_label", r6("residual").alias("residual"))
 
 
+@query
+def match_summary_held_out(spark, sf):
+    """Matches among the rows that are no landmark of a class."""
+    table = R.vectors(spark, sf)
+    unseen = table.join(R.spaces(table).select("id").distinct(), "id", "left_anti")
+    classified = classify.classify_max_projection(unseen, _class_models(table))
+    summary = stats.match_summary(classified)
+    return summary.select("is_match", "n_rows", r6("residual_sum", 5).alias("residual_sum"))
+
+
 @query
 def ridge_fit(spark, sf):
     table = R.vectors(spark, sf)

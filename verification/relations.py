@@ -181,14 +181,14 @@ def leverage_ctes(w: str = "w", c: str = "c", t: str = "t", name: str = "linear"
         GROUP BY c.id, c.space_id)"""
 
 
-def primal_ctes(lam: str, sp: str, out: str) -> str:
+def primal_ctes(lam: str, sp: str, out: str, dim: int = 4) -> str:
     """CTE ``out(space_id, i, w)``: rows of chol(I + X' (lambda P)^-1 X)^-1.
 
     leverage(y) is the sum over i of (w_i . y)^2.
     """
     return f"""{out}_p AS (SELECT space_id, i, j, sum(x[i] * x[j] / (({lam}) * greatest(reg, 1e-12)))
             + CASE WHEN i = j THEN 1 ELSE 0 END AS v
-        FROM {sp}, (SELECT unnest(range(1, 5)) AS i) ri, (SELECT unnest(range(1, 5)) AS j) rj
+        FROM {sp}, (SELECT unnest(range(1, {dim + 1})) AS i) ri, (SELECT unnest(range(1, {dim + 1})) AS j) rj
         GROUP BY space_id, i, j),
     {out}_g AS (SELECT space_id, i, list(v ORDER BY j) AS g FROM {out}_p GROUP BY space_id, i),
     {inverse_root_ctes(f'{out}_g', out)}"""
