@@ -7,10 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernspan.functions.kernels import Kernel, linear
-from kernspan.functions.vectors import let
+from kernspan.functions.kernels import Kernel
 from kernspan.operators.fit import MAX_LANDMARKS, fit
-from kernspan.operators.score import MAX_MODEL_BYTES, kernel_norm_column, leverage_per_space
+from kernspan.operators.score import MAX_MODEL_BYTES, least_leverage
 
 
 def fit_class_subspaces(
@@ -48,21 +47,10 @@ def classify_max_projection(
 
     Most energy is least leverage. Equal energies go to the smallest label.
     """
-    kernel = kernel or linear()
     labels = class_models.agg(F.array_sort(F.collect_list("space_id"))).scalar()
-    scored = leverage_per_space(
-        df, class_models, kernel, x, "_leverages", max_model_bytes
-    )
-    # leverages of rows a class fully explains differ by rounding noise only
-    noise = F.greatest(kernel_norm_column(df, kernel, x), F.lit(1e-300)) * F.lit(1e-12)
-    best = let(
-        F.array_min("_leverages"),
-        lambda least: F.array_position(
-            F.transform("_leverages", lambda v: v <= least + noise), F.lit(True)
-        ),
-    )
+    scored = least_leverage(df, class_models, kernel, x, "_least", max_model_bytes)
     return scored.select(
         *df.columns,
-        F.element_at(labels, best.cast("int")).alias("pred_label"),
-        F.array_min("_leverages").alias("residual"),
+        F.get(labels, F.col("_least")[0].cast("int")).alias("pred_label"),
+        F.col("_least")[1].alias("residual"),
     )

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,9 @@ from kernspan.session import materialize
 #: landmarks one dual subspace may have; its W then takes 200 MB
 MAX_LANDMARKS = 5_000
 
+#: groups in which the partial sums of a subspace's tasks are added first
+PARTIAL_SALTS = 32
+
 #: smallest weight of a landmark in the regulariser
 MIN_REG = 1e-12
 
@@ -178,6 +182,7 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
     partial_schema = T.StructType(
         [
             schema["space_id"],
+            T.StructField("salt", T.IntegerType()),
             T.StructField("m", T.LongType()),
             T.StructField("dim", T.LongType()),
             T.StructField("lambda", T.DoubleType()),
@@ -199,11 +204,13 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
                         raise ValueError(f"vectors of unequal length in subspace {space_id!r}")
                     known[0] += len(x)
                     known[3] = known[3] + s
+        salt = TaskContext.get().partitionId() % PARTIAL_SALTS
         for space_id, (m, dim, lam_value, s) in sums.items():
             yield pd.DataFrame(
                 [
                     {
                         "space_id": space_id,
+                        "salt": salt,
                         "m": m,
                         "dim": dim,
                         "lambda": lam_value,
@@ -212,11 +219,23 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
                 ]
             )
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf["s_flat"].tolist()
-        if len({len(part) for part in parts}) > 1:
+    def summed(pdf: pd.DataFrame) -> np.ndarray:
+        if pdf["s_flat"].map(len).nunique() > 1:
             raise ValueError(f"vectors of unequal length in subspace {pdf['space_id'].iloc[0]!r}")
-        flat = np.sum(parts, axis=0)
+        flat = np.zeros(len(pdf["s_flat"].iloc[0]))
+        for part in pdf["s_flat"]:
+            flat += part
+        return flat
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The partial sums of one salt as one."""
+        first = pdf.iloc[:1].copy()
+        first["m"] = int(pdf["m"].sum())
+        first["s_flat"] = [summed(pdf)]
+        return first
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = summed(pdf)
         row = {
             "space_id": pdf["space_id"].iloc[0],
             "m": int(pdf["m"].sum()),
@@ -231,8 +250,10 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
         }
         return pd.DataFrame([row])
 
+    # each task's D x D sums meet in two steps, so that no group has those of all tasks
     partials = rows.mapInPandas(partial_sums, partial_schema)
-    return partials.groupBy("space_id").applyInPandas(finish, schema)
+    joined = partials.groupBy("space_id", "salt").applyInPandas(join, partial_schema)
+    return joined.groupBy("space_id").applyInPandas(finish, schema)
 
 
 def kernel_gram(spaces: DataFrame, kernel: Kernel | None = None) -> DataFrame:

@@ -182,15 +182,11 @@ def ridge_predict_spaces(
 ) -> DataFrame:
     """Add the predictions of every subspace: an array of arrays over outputs."""
     kernel = kernel or linear()
-    groups = _coefficients(ridge, kernel, max_model_bytes)
-    parts = []
-    for number, models in enumerate(groups):
-        part = f"_{out}_{number}"
-        df = df.withColumn(part, _predictor(df, models, kernel)(F.col(x), _id_or_null(df)))
-        if len(groups) > 1:
-            df = materialize(df)
-        parts.append(part)
-    return df.withColumn(out, F.concat(*[F.col(p) for p in parts])).drop(*parts)
+    parts = [
+        _predictor(df, models, kernel)(F.col(x), _id_or_null(df))
+        for models in _coefficients(ridge, kernel, max_model_bytes)
+    ]
+    return df.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
 def _predictor(

@@ -5,8 +5,9 @@ batch is scored as one matrix, in row blocks of bounded size. Scores are Column
 expressions added to the table, so Spark still prunes and filters around them,
 nothing is shuffled, and the same code scores a stream.
 
-Models whose total size exceeds the broadcast bound are scored in several
-passes, a bounded set of subspaces each, materialised in between.
+Models whose total size exceeds the broadcast bound come in chunks: each is
+collected and broadcast before the next, each is one more expression of the same
+scan, and the parts are reduced by a built-in function. Nothing is materialised.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import types as T
 from kernspan.functions.kernels import Kernel, linear
 from kernspan.functions.vectors import split_array
 from kernspan.operators.fit import primal_factor
-from kernspan.session import materialize
 
 #: bytes of model matrices broadcast for one pass
 MAX_MODEL_BYTES = 256 * 1024 * 1024
@@ -65,7 +65,17 @@ def load_models(
     projection: bool = False,
     max_bytes: int = MAX_MODEL_BYTES,
 ) -> list[list[Space]]:
-    """Collect the model matrices, in chunks of at most ``max_bytes``.
+    """All chunks of ``model_chunks`` at once, for models that are known to be few."""
+    return list(model_chunks(models, kernel, projection, max_bytes))
+
+
+def model_chunks(
+    models: DataFrame,
+    kernel: Kernel,
+    projection: bool = False,
+    max_bytes: int = MAX_MODEL_BYTES,
+) -> Iterator[list[Space]]:
+    """Collect the model matrices, one chunk of at most ``max_bytes`` after the other.
 
     Only the matrices the asked score needs are collected. A few models that
     each are within their share of the bound come with the first job; otherwise
@@ -96,7 +106,8 @@ def load_models(
     if not rows:
         raise ValueError("no models to score against")
     if len(rows) <= FEW_MODELS and all(0 < row["bytes"] <= share for row in rows):
-        return [sorted(map(_space, rows), key=lambda s: s.space_id)]
+        yield sorted(map(_space, rows), key=lambda s: s.space_id)
+        return
 
     sizes = shaped.select("space_id", "bytes").collect()
     chunks: list[list] = [[]]
@@ -112,11 +123,9 @@ def load_models(
         chunks[-1].append(row["space_id"])
         filled += row["bytes"]
 
-    def collect(ids: list) -> list[Space]:
+    for ids in chunks:
         rows = shaped.filter(F.col("space_id").isin(ids)).collect()
-        return sorted(map(_space, rows), key=lambda s: s.space_id)
-
-    return [collect(ids) for ids in chunks]
+        yield sorted(map(_space, rows), key=lambda s: s.space_id)
 
 
 def _space(row) -> Space:
@@ -247,39 +256,39 @@ def _with_scores(
     x: str,
     out: str,
     projection: bool,
-    reduce_block: Callable[[np.ndarray], np.ndarray] | None,
-    reduce_column: Callable[[Column, Column], Column] | None,
+    reduce_block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None,
+    combine: Callable[[list[Column], Column], Column] | None,
     max_model_bytes: int,
     single: bool = False,
+    data_type: str = "double",
+    sizes: list[int] | None = None,
 ) -> DataFrame:
     """Add per-subspace leverages (or projections), reduced over subspaces.
 
-    ``reduce_block`` works on the (n, subspaces) leverages of one pass,
-    ``reduce_column`` on their array column and k(y, y) when several passes
-    were needed.
+    ``reduce_block`` works on the (n, subspaces) leverages of a block under one chunk of
+    models and on its k(y, y); ``combine`` joins the results of several chunks, whose
+    numbers of subspaces ``sizes`` receives.
     """
     kernel = kernel or linear()
-    chunks = load_models(models, kernel, projection, max_model_bytes)
-    spark = df.sparkSession
-    if single and sum(map(len, chunks)) != 1:
-        raise ValueError("this score needs exactly one model; see leverage_min")
-
-    if len(chunks) == 1 and reduce_block is not None:
-        scorer = _broadcast_scorer(spark, chunks[0], kernel, projection, reduce_block, "double")
-        return df.withColumn(out, scorer(F.col(x), _id_or_null(df)))
-
-    parts = []
-    for number, spaces in enumerate(chunks):
-        part = f"_{out}_{number}"
-        scorer = _broadcast_scorer(spark, spaces, kernel, projection, None, "array<double>")
-        df = df.withColumn(part, scorer(F.col(x), _id_or_null(df)))
-        if len(chunks) > 1:
-            df = materialize(df)
-        parts.append(part)
-    joined = F.concat(*[F.col(p) for p in parts]) if len(parts) > 1 else F.col(parts[0])
-    if reduce_column is not None:
-        joined = reduce_column(joined, kernel_norm_column(df, kernel, x))
-    return df.withColumn(out, joined).drop(*parts)
+    spark, parts, known = df.sparkSession, [], 0
+    for spaces in model_chunks(models, kernel, projection, max_model_bytes):
+        known += len(spaces)
+        if sizes is not None:
+            sizes.append(len(spaces))
+        if single and known != 1:
+            raise ValueError("this score needs exactly one model; see leverage_min")
+        kind = data_type if reduce_block else "array<double>"
+        scorer = _broadcast_scorer(spark, spaces, kernel, projection, reduce_block, kind)
+        parts.append(scorer(F.col(x), _id_or_null(df)))
+    if len(parts) == 1:
+        return df.withColumn(out, parts[0])
+    if reduce_block is None:
+        return df.withColumn(out, F.concat(*parts))
+    # each part is evaluated once, however often the combination refers to it
+    names = [f"_{out}_{number}" for number in range(len(parts))]
+    parted = df.select("*", *[p.alias(n) for p, n in zip(parts, names, strict=True)])
+    joined = combine([F.col(n) for n in names], kernel_norm_column(parted, kernel, x))
+    return parted.withColumn(out, joined).drop(*names)
 
 
 def _broadcast_scorer(
@@ -340,22 +349,18 @@ def kernel_cross(
 ) -> DataFrame:
     """k(X_i, y) of each row y with all landmarks, in (space_id, ord) order.
 
-    Landmarks beyond ``max_bytes`` are taken in several passes.
+    Landmarks beyond ``max_bytes`` are several expressions of the same scan.
     """
     kernel = kernel or linear()
-    parts = []
-    chunks = landmark_chunks(spaces, max_bytes)
-    for number, landmarks in enumerate(chunks):
-        part = f"_{out}_{number}"
-        df = df.withColumn(part, _cross_scorer(df, landmarks, kernel)(F.col(x), _id_or_null(df)))
-        if len(chunks) > 1:
-            df = materialize(df)
-        parts.append(part)
-    return df.withColumn(out, F.concat(*[F.col(p) for p in parts])).drop(*parts)
-
-
-def landmark_chunks(spaces: DataFrame, max_bytes: int) -> list[np.ndarray]:
-    """The landmark vectors in (space_id, ord) order, at most ``max_bytes`` each."""
+    parts = [
+        _cross_scorer(df, chunk, kernel)(F.col(x), _id_or_null(df))
+        for chunk in landmark_chunks(spaces, max_bytes)
+    ]
+    return df.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0])
+
+
+def landmark_chunks(spaces: DataFrame, max_bytes: int) -> Iterator[np.ndarray]:
+    """The landmark vectors in (space_id, ord) order, at most ``max_bytes`` at a time."""
     sizes = spaces.groupBy("space_id").agg(F.sum(F.size("x") * 8).alias("bytes")).collect()
     if not sizes:
         raise ValueError("no landmarks to compare with")
@@ -370,12 +375,10 @@ def landmark_chunks(spaces: DataFrame, max_bytes: int) -> list[np.ndarray]:
         groups[-1].append(row["space_id"])
         filled += row["bytes"]
 
-    def collect(ids: list) -> np.ndarray:
+    for ids in groups:
         wanted = spaces if len(groups) == 1 else spaces.filter(F.col("space_id").isin(ids))
         rows = wanted.select("space_id", "ord", "x").collect()
-        return np.array([row["x"] for row in sorted(rows)], dtype=float)
-
-    return [collect(ids) for ids in groups]
+        yield np.array([row["x"] for row in sorted(rows)], dtype=float)
 
 
 def _cross_scorer(
@@ -440,6 +443,44 @@ def leverage_per_space(
     return _with_scores(df, models, kernel, x, out, False, None, None, max_model_bytes)
 
 
+def least_leverage(
+    df: DataFrame,
+    models: DataFrame,
+    kernel: Kernel | None = None,
+    x: str = "x",
+    out: str = "least",
+    max_model_bytes: int = MAX_MODEL_BYTES,
+) -> DataFrame:
+    """An array of two: the number (from 0, in space order) of the subspace of least
+    leverage, and that leverage.
+
+    Leverages that differ by rounding noise are equal, and the first of them wins.
+    """
+    chunk_sizes: list[int] = []
+
+    def noise(norms):
+        return np.maximum(norms, 1e-300) * 1e-12
+
+    def reduce(leverages: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        least = leverages.min(axis=1)
+        first = np.argmax(leverages <= (least + noise(norms))[:, None], axis=1)
+        return np.column_stack([first.astype(float), least])
+
+    def combine(parts: list[Column], norm: Column) -> Column:
+        margin = F.greatest(norm, F.lit(1e-300)) * 1e-12
+        best, before = parts[0], 0
+        for number, part in enumerate(parts[1:], 1):
+            before += chunk_sizes[number - 1]
+            moved = F.array(part[0] + before, part[1])
+            best = F.when(part[1] < best[1] - margin, moved).otherwise(best)
+        return best
+
+    return _with_scores(
+        df, models, kernel, x, out, False, reduce, combine, max_model_bytes,
+        data_type="array<double>", sizes=chunk_sizes,
+    )
+
+
 def leverage_min(
     df: DataFrame,
     models: DataFrame,
@@ -457,7 +498,7 @@ def leverage_min(
         out,
         False,
         lambda leverages, norms: leverages.min(axis=1),
-        lambda leverages, norm: F.array_min(leverages),
+        lambda parts, norm: F.least(*parts),
         max_model_bytes,
     )
 
@@ -479,7 +520,7 @@ def leverage(
         out,
         False,
         lambda leverages, norms: leverages[:, 0],
-        lambda leverages, norm: F.element_at(leverages, 1),
+        None,
         max_model_bytes,
         single=True,
     )
@@ -495,9 +536,9 @@ def leverage_pseudo(
 ) -> DataFrame:
     """k(y, y) minus the energies of all subspaces; may be negative."""
 
-    def from_columns(leverages: Column, norm: Column) -> Column:
-        total = F.aggregate(leverages, F.lit(0.0), lambda acc, v: acc + v)
-        return total - norm * (F.size(leverages) - 1)
+    def joined(parts: list[Column], norm: Column) -> Column:
+        # every part has k(y, y) once
+        return sum(parts[1:], parts[0]) - norm * (len(parts) - 1)
 
     return _with_scores(
         df,
@@ -507,7 +548,7 @@ def leverage_pseudo(
         out,
         False,
         lambda leverages, norms: leverages.sum(axis=1) - norms * (leverages.shape[1] - 1),
-        from_columns,
+        joined,
         max_model_bytes,
     )
 
@@ -521,19 +562,11 @@ def leverage_min_packed(
 ) -> DataFrame:
     """The smallest leverage of each vector of a pack, as an array in pack order."""
     kernel = kernel or linear()
-    chunks = load_models(models, kernel, False, max_model_bytes)
-    parts = []
-    for number, spaces in enumerate(chunks):
-        part = f"_{out}_{number}"
-        scorer = _pack_scorer(packs.sparkSession, spaces, kernel)
-        packs = packs.withColumn(part, scorer(F.col("x_pack"), F.col("cols")))
-        if len(chunks) > 1:
-            packs = materialize(packs)
-        parts.append(part)
-    smallest: Column = F.col(parts[0])
-    for part in parts[1:]:
-        smallest = F.zip_with(smallest, F.col(part), F.least)
-    return packs.withColumn(out, smallest).drop(*parts)
+    smallest: Column | None = None
+    for spaces in model_chunks(models, kernel, False, max_model_bytes):
+        part = _pack_scorer(packs.sparkSession, spaces, kernel)(F.col("x_pack"), F.col("cols"))
+        smallest = part if smallest is None else F.zip_with(smallest, part, F.least)
+    return packs.withColumn(out, smallest)
 
 
 def _pack_scorer(

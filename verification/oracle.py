@@ -530,6 +530,7 @@ def _spaces_sql(name: str, dim: int) -> str:
 
 SQL["nystrom_spaces"] = _spaces_sql("events", 4)
 SQL["nystrom_spaces_packed"] = SQL["nystrom_spaces"]
+SQL["nystrom_spaces_full"] = _spaces_sql("vectors", 64)
 _loop, _rounds = _spaces_loop(4)
 SQL["nystrom_spaces_history"] = over(
     "events",
