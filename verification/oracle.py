@@ -710,12 +710,24 @@ _best_spaces = "sp AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT id FROM {s} WHERE (SELECT best FROM b{UNROLLED - 1} WHERE misses >= {Q.SELECT_MISSES}) = {i}"
     for i, (_, _, s, _) in enumerate(_rounds)
 ) + ")"
+# the classes may have thousands of landmarks: their leverages in the feature-space form
 SQL["selected_match_summary"] = over(
     "events",
     f"""SELECT label = pred_label AS is_match, count(*) AS n_rows,
-    {r6('sum(residual)', 4)} AS residual_sum FROM t JOIN best USING (id) GROUP BY 1""",
+    {r6('sum(residual)', 4)} AS residual_sum FROM class_best GROUP BY 1""",
     *_loop,
-    *_class_ctes(_best_spaces),
+    _best_spaces,
+    """chosen AS MATERIALIZED (SELECT label AS space_id, id, x, 1.0::DOUBLE AS reg
+        FROM t WHERE id IN (SELECT id FROM sp))""",
+    R.primal_ctes("(SELECT 1 / sqrt(count(*)) FROM t)", "chosen", "cw"),
+    # equal up to rounding noise: the smallest label wins
+    """class_levs AS MATERIALIZED (SELECT *, min(lev) OVER (PARTITION BY id) AS least FROM (
+        SELECT t.id, t.label, list_inner_product(t.x, t.x) AS k, c.space_id,
+        list_sum(list_transform(c.wm, lambda r: list_inner_product(r, t.x) ** 2)) AS lev
+        FROM t, (SELECT space_id, list(w ORDER BY i) AS wm FROM cw GROUP BY space_id) c)),
+    class_best AS (SELECT id, any_value(label) AS label, min(space_id) AS pred_label,
+        any_value(least) AS residual FROM class_levs
+        WHERE lev <= least + 1e-12 * greatest(k, 1e-300) GROUP BY id)""",
 )
 
 

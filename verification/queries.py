@@ -792,7 +792,7 @@ def selected_match_summary(spark, sf):
     table = R.events(spark, sf)
     chosen = selection.nystrom_spaces(table, **_spaces_options())
     rows = landmarks.filter_by_ids(table, chosen.spaces)
-    models = classify.fit_class_subspaces(rows, table.count())
+    models = classify.fit_class_subspaces(rows, table.count(), form="primal")
     summary = stats.match_summary(classify.classify_max_projection(table, models))
     return summary.select("is_match", "n_rows", r6("residual_sum", 4).alias("residual_sum"))
 
