@@ -206,7 +206,11 @@ def _counts(cells: DataFrame) -> dict[tuple[str, int], list[int]]:
 
 
 def _best_literal(counts, taken) -> tuple[float, tuple[str, bool, int]] | None:
-    """The literal of the largest information gain, ties to the first in grid order."""
+    """The literal of the largest information gain, ties to the first in grid order.
+
+    Thresholds with no row between them split alike; the middle one of such a run is
+    taken, which leaves the same room to both sides.
+    """
     best = None
     for f, (_, _, grid) in FEATURES.items():
         column = [counts.get((f, b), [0, 0]) for b in range(len(grid) + 1)]
@@ -224,7 +228,10 @@ def _best_literal(counts, taken) -> tuple[float, tuple[str, bool, int]] | None:
                     continue
                 gain = p * (math.log2(p / (p + n)) - before)
                 if best is None or gain > best[0] + 1e-9:
-                    best = (gain, (f, above, k))
+                    end = k
+                    while end + 1 < len(grid) and column[end + 1] == [0, 0]:
+                        end += 1
+                    best = (gain, (f, above, (k + end) // 2))
     return best
 
 
