@@ -190,3 +190,20 @@ def op6_tool_calls(spark, sf):
 @query
 def op8_cross_entropy_difference(spark, sf):
     return crossentropy.score_against_good(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# each word's windows, the smallest document of each, and the words that stay
+SQL["op3_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+        coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+    g AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM (
+        SELECT r, doc_id, ws, unnest(range(1, greatest(1, len(ws) - 11))) AS i FROM d)),
+    least AS (SELECT gram, min(doc_id) AS owner FROM g GROUP BY gram),
+    gone AS (SELECT DISTINCT r, i + k AS p FROM g JOIN least USING (gram),
+        (SELECT unnest(range(0, 13)) AS k) WHERE owner < doc_id),
+    words AS (SELECT r, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM d),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS said, count(*) AS n
+        FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

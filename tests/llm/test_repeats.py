@@ -167,3 +167,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
     none = connected_components(spark.createDataFrame([(1, 1)], "a long, b long").where(F.lit(False)))
     assert none.count() == 0
+
+
+def test_query_equals_its_sql(spark, sf):
+    from kernspan.llm.queries import QUERIES, SQL
+    from verification.check import difference, duckdb_views
+
+    got = QUERIES["op3_substring_dedup"](spark, sf).toPandas()
+    assert difference(got, duckdb_views(sf).sql(SQL["op3_substring_dedup"]).df()) == ""
