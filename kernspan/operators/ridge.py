@@ -1,13 +1,13 @@
 """Kernel ridge regression on landmark sets, and a one-vs-all vote over subspaces.
 
-A ridge table has the columns ``space_id, output, ord, id, x, alpha``: one row
-per coefficient.
+A ridge table has the columns ``space_id, ord, id, x, alpha``: one row per landmark,
+with its coefficients of all outputs as an array.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, linear
-from kernspan.functions.vectors import let
 from kernspan.operators import fit as fitting
 from kernspan.operators.landmarks import landmark_semi_join
 from kernspan.operators.score import (
@@ -59,11 +58,10 @@ def _fit(spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int) -> D
     schema = T.StructType(
         [
             spaces.schema["space_id"],
-            T.StructField("output", T.IntegerType()),
             T.StructField("ord", spaces.schema["ord"].dataType),
             spaces.schema["id"],
             T.StructField("x", T.ArrayType(T.DoubleType())),
-            T.StructField("alpha", T.DoubleType()),
+            T.StructField("alpha", T.ArrayType(T.DoubleType())),
         ]
     )
 
@@ -73,20 +71,7 @@ def _fit(spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int) -> D
         g = fitting.gram(x, pdf["reg"].to_numpy(float), lam, kernel)
         w = fitting.inverse_root(g, "chol")
         alpha = w.T @ (w @ fitting.stack_vectors(pdf["targets"], pdf["id"]))
-        parts = [
-            pd.DataFrame(
-                {
-                    "space_id": pdf["space_id"],
-                    "output": np.int32(c),
-                    "ord": pdf["ord"],
-                    "id": pdf["id"],
-                    "x": pdf["x"],
-                    "alpha": alpha[:, c],
-                }
-            )
-            for c in range(alpha.shape[1])
-        ]
-        return pd.concat(parts)
+        return pdf[["space_id", "ord", "id", "x"]].assign(alpha=list(alpha))
 
     rows = fitting.bounded_groups(
         spaces.select("space_id", "ord", "id", "x", "reg", "targets"), max_landmarks
@@ -121,14 +106,14 @@ def ridge_fit_multi(
     return _fit(joined, lam, kernel or linear(), max_landmarks)
 
 
-def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> list[list[tuple]]:
-    """``(landmarks or None, coefficients)`` per subspace, in space order.
+def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> Iterator[list[tuple]]:
+    """``(landmarks or None, coefficients)`` per subspace, in space order, in groups of
+    at most ``max_bytes``, collected one after the other.
 
-    With a feature map the landmarks fold into one weight vector per output.
-    They are collected by groups of subspaces of at most ``max_bytes``; folded
-    groups together are small, others stay apart and take a pass each.
+    With a feature map the landmarks fold into one weight vector per output, so what
+    several groups fold into may come as one.
     """
-    values = F.when(F.col("output") == 0, F.size("x") + 1).otherwise(F.lit(1))
+    values = F.size("x") + F.size("alpha")
     sizes = ridge.groupBy("space_id").agg((F.sum(values) * 8).alias("bytes")).collect()
     if not sizes:
         raise ValueError("no ridge coefficients to predict with")
@@ -142,33 +127,30 @@ def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> list[list
             filled = 0
         groups[-1].append(row["space_id"])
         filled += row["bytes"]
-    collected = [_collect(ridge, ids, kernel, len(groups) > 1) for ids in groups]
-    if kernel.explicit:
-        folded = [pair for group in collected for pair in group]
-        if sum(alpha.nbytes for _, alpha in folded) <= max_bytes:
-            return [folded]
-    return collected
+    folded: list[tuple] = []
+    for ids in groups:
+        found = _collect(ridge, ids, kernel, len(groups) > 1)
+        if not kernel.explicit:
+            yield found
+            continue
+        if folded and sum(alpha.nbytes for _, alpha in [*folded, *found]) > max_bytes:
+            yield folded
+            folded = []
+        folded = [*folded, *found]
+    if folded:
+        yield folded
 
 
 def _collect(ridge: DataFrame, ids: list, kernel: Kernel, some: bool) -> list[tuple]:
     rows = ridge.filter(F.col("space_id").isin(ids)) if some else ridge
-    in_order = F.array_sort(F.collect_list(F.struct("ord", "alpha")))
-    outputs = rows.groupBy("space_id", "output").agg(in_order.alias("rows"))
-    alphas = defaultdict(list)
-    for row in sorted(outputs.select("space_id", "output", "rows.alpha").collect()):
-        alphas[row["space_id"]].append(row["alpha"])
-    landmarks = defaultdict(list)
-    first = rows.filter(F.col("output") == 0).select("space_id", "ord", "x")
-    for row in sorted(first.collect()):
-        landmarks[row["space_id"]].append(row["x"])
+    spaces = defaultdict(list)
+    for row in rows.select("space_id", "ord", "x", "alpha").collect():
+        spaces[row["space_id"]].append((row["ord"], row["x"], row["alpha"]))
     out = []
-    for space_id in sorted(alphas):
-        alpha = np.array(alphas[space_id])
-        x = np.array(landmarks[space_id], dtype=float)
-        if kernel.explicit:
-            out.append((None, alpha @ kernel.features(x)))
-        else:
-            out.append((x, alpha))
+    for space_id in sorted(spaces):
+        _, x, alpha = zip(*sorted(spaces[space_id]), strict=True)
+        x, alpha = np.array(x, dtype=float), np.array(alpha).T
+        out.append((None, alpha @ kernel.features(x)) if kernel.explicit else (x, alpha))
     return out
 
 
@@ -198,17 +180,7 @@ def _predictor(
 
     def evaluate(x: pa.Array, ids: pa.Array) -> pa.Array:
         rows, present = rows_of(x, ids)
-        parts = []
-        for block in blocks(rows, width):
-            phi = kernel.features(block) if kernel.explicit else None
-            parts.append(
-                np.hstack(
-                    [
-                        (phi if seen is None else kernel.block(block, seen)) @ alpha.T
-                        for seen, alpha in shared.value
-                    ]
-                )
-            )
+        parts = [np.hstack(_outputs(block, shared.value, kernel)) for block in blocks(rows, width)]
         flat = np.concatenate(parts).ravel() if parts else np.empty(0)
         inner = list_column(flat, np.tile(outputs, len(rows)))
         offsets = np.arange(0, len(inner) + 1, len(outputs), dtype=np.int32)
@@ -217,6 +189,36 @@ def _predictor(
     return F.arrow_udf(evaluate, "array<array<double>>")
 
 
+def _outputs(block: np.ndarray, models: list[tuple], kernel: Kernel) -> list[np.ndarray]:
+    """The predictions of each subspace for a block of rows, (n, outputs)."""
+    phi = kernel.features(block) if kernel.explicit else None
+    return [
+        (phi if seen is None else kernel.block(block, seen)) @ alpha.T for seen, alpha in models
+    ]
+
+
+def _voter(
+    df: DataFrame, models: list[tuple], kernel: Kernel, n_classes: int
+) -> Callable[[Column, Column], Column]:
+    """How many subspaces give each class their highest output."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    width = max(max(alpha.shape) for _, alpha in models)
+
+    def evaluate(x: pa.Array, ids: pa.Array) -> pa.Array:
+        rows, present = rows_of(x, ids)
+        parts = [np.empty((0, n_classes), np.int32)]
+        for block in blocks(rows, width):
+            votes = np.zeros((len(block), n_classes), np.int32)
+            for outputs in _outputs(block, shared.value, kernel):
+                votes[np.arange(len(block)), outputs.argmax(axis=1)] += 1
+            parts.append(votes)
+        counted = np.concatenate(parts)
+        column = list_column(counted.ravel(), np.full(len(counted), n_classes))
+        return with_nulls(column, present)
+
+    return F.arrow_udf(evaluate, "array<int>")
+
+
 def ridge_predict(
     df: DataFrame, ridge: DataFrame, kernel: Kernel | None = None, x: str = "x", out: str = "pred"
 ) -> DataFrame:
@@ -241,17 +243,14 @@ def ridge_classify_vote(
     x: str = "x",
     out: str = "pred_label",
     label_type: str = "long",
+    max_model_bytes: int = MAX_MODEL_BYTES,
 ) -> DataFrame:
     """Each subspace votes for its highest output; ties go to the smaller label."""
-    predicted = ridge_predict_spaces(df, ridge, kernel, x, "_predictions")
-    votes = F.transform("_predictions", lambda p: F.array_position(p, F.array_max(p)))
-    counted = let(
-        votes,
-        lambda cast: F.transform(
-            F.sequence(F.lit(1), F.lit(len(classes))),
-            lambda c: F.size(F.filter(cast, lambda v: v == c)),
-        ),
-    )
-    winner = let(counted, lambda n: F.array_position(n, F.array_max(n)).cast("int"))
+    kernel, votes = kernel or linear(), None
+    for models in _coefficients(ridge, kernel, max_model_bytes):
+        part = _voter(df, models, kernel, len(classes))(F.col(x), _id_or_null(df))
+        votes = part if votes is None else F.zip_with(votes, part, lambda a, b: a + b)
     labels = F.lit(classes).cast(f"array<{label_type}>")
-    return predicted.withColumn(out, F.element_at(labels, winner)).drop("_predictions")
+    counted = df.withColumn("_votes", votes)
+    winner = F.array_position("_votes", F.array_max("_votes")).cast("int")
+    return counted.withColumn(out, F.element_at(labels, winner)).drop("_votes")

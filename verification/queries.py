@@ -843,7 +843,7 @@ def match_summary_held_out(spark, sf):
 def ridge_fit(spark, sf):
     table = R.vectors(spark, sf)
     coefficients = ridge.ridge_fit(R.spaces(table), table, "label", R.LAMBDA)
-    return coefficients.select("space_id", "ord", "id", r6("alpha").alias("alpha"))
+    return coefficients.select("space_id", "ord", "id", r6(F.col("alpha")[0]).alias("alpha"))
 
 
 def _one_vs_all(table: DataFrame) -> tuple[list, DataFrame]:
@@ -855,7 +855,8 @@ def _one_vs_all(table: DataFrame) -> tuple[list, DataFrame]:
 @query
 def ridge_fit_multi(spark, sf):
     _, coefficients = _one_vs_all(R.vectors(spark, sf))
-    return coefficients.select("space_id", "output", "ord", "id", r6("alpha").alias("alpha"))
+    parts = coefficients.select("space_id", "ord", "id", F.posexplode("alpha").alias("output", "alpha"))
+    return parts.select("space_id", "output", "ord", "id", r6("alpha").alias("alpha"))
 
 
 @query
