@@ -1,28 +1,33 @@
 """Cross-entropy difference: a target and a background n-gram model on one vocabulary.
 
-Words and word pairs are counted in hashed slots, of which there is a fixed number, so
-that both models are arrays of a stated size whatever the corpus. Tasks count their
-documents and send what they have per block of slots; blocks are added up in Spark.
-A document's score is its mean loss per word under the target model minus that under
-the background model: the lower, the more it looks like the target.
+Every distinct word and word pair has a count of its own, keyed by a 64-bit hash, so
+that the models grow with the corpus and no task holds one. Documents are dealt into
+chunks; a chunk sends its distinct keys with their counts to ranges of keys, as sorted
+packed blocks; a range adds the blocks up and sends each of them back with the totals of
+its keys; the chunk then scores its documents. A word or pair that is everywhere is one
+entry a chunk. A document's score is its mean loss per word under the target model minus
+that under the background model: the lower, the more it looks like the target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kernspan.llm.substrings import word_hashes, word_spans
+from kernspan.llm.substrings import _planes, _unplanes, word_hashes, word_spans
 
-#: slots of words and of word pairs; four counts a pair of models: 36 MB in all
-WORD_BITS, PAIR_BITS = 18, 22
-BLOCK_BITS = 13
+#: bits of the keys of words and of word pairs
+WORD_BITS, PAIR_BITS = 64, 64
+#: bytes of text in a chunk, and distinct pairs of all chunks in a range, on average
+CHUNK_BYTES, RANGE_PAIRS = 8_000_000, 500_000
+#: bytes of text per distinct pair of a chunk, to size ranges; any value gives the same rows
+BYTES_PER_PAIR = 12
+#: chunks that rows of one doc_id are spread over
+ID_SALTS = 16
 #: weight of the word model in a pair's probability, and of the uniform one in a word's
 PAIR_PRIOR, WORD_PRIOR = 4.0, 0.5
 
@@ -31,7 +36,8 @@ _START = np.uint64(0x2545F4914F6CDD1D)
 
 @dataclass(frozen=True)
 class Slots:
-    """Slots of a text: of each word, of each word before it, of the pair of both."""
+    """Keys of a text: of each word, of each word before it, of the pair of both. With
+    fewer than 64 bits several words or pairs share a key."""
 
     word_bits: int = WORD_BITS
     pair_bits: int = PAIR_BITS
@@ -49,137 +55,156 @@ class Slots:
             (pair >> pair_shift).astype(np.int64),
         )
 
+    def bits(self, kind: int) -> int:
+        return self.pair_bits if kind == 2 else self.word_bits
 
-@dataclass(frozen=True)
-class Model:
-    """Counts by slot: of words, of words with a successor (a text's start included),
-    and of pairs."""
-
-    words: np.ndarray
-    heads: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], own: bool) -> np.ndarray:
-        """-log p of each word after the one before it; a pair's probability leans on
-        the word's, and a word's on the uniform one. ``own``: the text was counted, so
-        its own counts are taken off first, as if the model had not seen it."""
-        word, before, pair = found
-        singles, heads, pairs = (
-            t[at].astype(np.float64) for t, at in ((self.words, word), (self.heads, before), (self.pairs, pair))
-        )
-        total = self.total
-        if own:
-            singles, heads, pairs = (c - _repeats(at) for c, at in zip((singles, heads, pairs), found, strict=True))
-            total = total - len(word)
-        single = (singles + WORD_PRIOR) / (total + WORD_PRIOR * len(self.words))
-        # slots are shared, so a pair's count may exceed its head's
-        return -np.log((pairs + PAIR_PRIOR * single) / (np.maximum(heads, pairs) + PAIR_PRIOR))
-
-    @cached_property
-    def total(self) -> float:
-        return float(self.words.sum(dtype=np.float64))
-
-
-def _repeats(slots: np.ndarray) -> np.ndarray:
-    """How often each slot occurs in the array, place by place."""
-    _, where, n = np.unique(slots, return_inverse=True, return_counts=True)
+
+def losses(counts: list[np.ndarray], total: np.ndarray, vocabulary: float) -> np.ndarray:
+    """-log p of each word after the one before it; a pair's probability leans on the
+    word's, and a word's on the uniform one over ``vocabulary`` words. ``counts``: of
+    each word, of the word before it with any successor (a text's start included), and
+    of the pair; ``total``: all words counted."""
+    singles, heads, pairs = counts
+    single = (singles + WORD_PRIOR) / (total + WORD_PRIOR * vocabulary)
+    # where keys are narrowed, a pair's count may exceed its head's
+    return -np.log((pairs + PAIR_PRIOR * single) / (np.maximum(heads, pairs) + PAIR_PRIOR))
+
+
+def _repeats(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its document, place by place; keys are numbers below
+    that of places."""
+    _, where, n = np.unique(doc * len(key) + key, return_inverse=True, return_counts=True)
     return n[where]
 
 
 # ----------------------------------------------------------------------------- tasks
 
-_COUNTS = "kind int, block long, slot binary, target binary, background binary"
-
-
-def _counted(slots: Slots, block_bits: int):
-    """What one task has counted, by kind (words, heads, pairs) and block of slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [1 << slots.word_bits, 1 << slots.word_bits, 1 << slots.pair_bits]
-        tables = [np.zeros((2, n), np.uint32) for n in sizes]
-        for batch in batches:
-            texts, good = batch.column("text"), batch.column("is_target").to_pylist()
-            held: list[list[list[np.ndarray]]] = [[[], []] for _ in sizes]
-            waiting = 0
-
-            def add(held=held) -> None:
-                for table, kinds in zip(tables, held, strict=True):
-                    for model, found in enumerate(kinds):
-                        if found:
-                            at, n = np.unique(np.concatenate(found), return_counts=True)
-                            table[model, at] += n.astype(np.uint32)
-                            found.clear()
-
-            for i in range(batch.num_rows):
-                word, before, pair = slots.of(texts[i].as_py())
-                for kind, found in enumerate((word, before, pair)):
-                    held[kind][1].append(found)
-                    if good[i]:
-                        held[kind][0].append(found)
-                waiting += len(word)
-                if waiting > 500_000:
-                    add()
-                    waiting = 0
-            add()
-        for kind, table in enumerate(tables):
-            used = np.flatnonzero(table[1])
-            block = used >> block_bits
-            edges = np.flatnonzero(np.diff(block)) + 1
-            rows = []
-            for part in np.split(used, edges) if len(used) else []:
-                own = (part & ((1 << block_bits) - 1)).astype("<u2")
-                rows.append(
-                    (kind, int(part[0] >> block_bits), own.tobytes(), table[0, part].tobytes(), table[1, part].tobytes())
-                )
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["kind", "block", "slot", "target", "background"],
-                )
+_BLOCKS = "kind int, range int, chunk int, keys binary, target binary, background binary"
+_TOTALS = "chunk int, kind int, range int, target binary, background binary, words array<double>"
+
+
+def _targets(docs: pa.Table, said: pa.Table) -> list[bool]:
+    """For each document of a chunk whether its id is among the chunk's target ids."""
+    chosen = set(said["chosen"].to_pylist()) - {None}
+    return [i in chosen for i in docs["id_text"].to_pylist()]
+
+
+def _texts(docs: pa.Table, slots: Slots):
+    column = docs["text"]
+    for i in range(docs.num_rows):
+        yield slots.of(column[i].as_py())
+
+
+def _counted(slots: Slots, range_bits: tuple[int, int, int]):
+    """Of one chunk: its distinct keys and their counts, a sorted block for each range."""
+
+    def run(docs: pa.Table, said: pa.Table) -> pa.Table:
+        good = _targets(docs, said)
+        found = list(_texts(docs, slots))
+        rows = []
+        for kind in range(3 if found else 0):
+            every = np.concatenate([f[kind] for f in found]).view(np.uint64)
+            keys, n = np.unique(every, return_counts=True)
+            target = np.zeros(len(keys), np.uint64)
+            some = [f[kind] for f, g in zip(found, good, strict=True) if g]
+            if some:
+                at, m = np.unique(np.concatenate(some).view(np.uint64), return_counts=True)
+                target[np.searchsorted(keys, at)] = m
+            bits = min(range_bits[kind], slots.bits(kind))
+            place = keys >> np.uint64(slots.bits(kind) - bits) if bits else np.zeros(len(keys), np.uint64)
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    counts = [_planes(c[a:b].astype(np.uint64)) for c in (target, n)]
+                    rows.append((kind, int(place[a]), docs["chunk"][0].as_py(), _planes(steps), *counts))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        names = ["kind", "range", "chunk", "keys", "target", "background"]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
     return run
 
 
-def _added(block_bits: int):
-    """The counts of one block over all tasks, as two dense arrays."""
+def _added(chunks: int):
+    """Of one range: the totals of each block's keys, in its order, for the chunk it came
+    from. Ranges of words also tell every chunk how many distinct words they have and how
+    many words were counted."""
 
     def run(table: pa.Table) -> pa.Table:
-        total = np.zeros((2, 1 << block_bits), np.float64)
-        for slot, *counts in zip(*(table[c].to_pylist() for c in ("slot", "target", "background")), strict=True):
-            at = np.frombuffer(slot, "<u2")
-            for model, raw in enumerate(counts):
-                total[model, at] += np.frombuffer(raw, np.uint32)
+        kind, place = table["kind"][0].as_py(), table["range"][0].as_py()
+        sent = table["chunk"].to_pylist()
+        blocks = [np.cumsum(_unplanes(b.as_py()), dtype=np.uint64) for b in table["keys"]]
+        keys, where = np.unique(np.concatenate(blocks), return_inverse=True)
+        totals = []
+        for name in ("target", "background"):
+            counts = np.concatenate([_unplanes(b.as_py()) for b in table[name]])
+            # sums of doubles are exact below 2^53
+            totals.append(np.bincount(where, weights=counts, minlength=len(keys)).astype(np.uint64))
+        ends = np.cumsum([len(b) for b in blocks]).tolist()
+        rows = [
+            (chunk, *(_planes(t[where[a:b]]) for t in totals))
+            for chunk, a, b in zip(sent, [0, *ends], ends)
+        ]
+        words = None
+        if kind == 0:
+            words = [float(len(keys)), *(float(t.sum()) for t in totals)]
+            rows += [(chunk, b"", b"") for chunk in sorted(set(range(chunks)) - set(sent))]
+        chunk, target, background = zip(*rows, strict=True)
         return pa.table(
             {
-                "kind": table["kind"][:1],
-                "block": table["block"][:1],
-                "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary()),
+                "chunk": pa.array(chunk, pa.int32()),
+                "kind": pa.array([kind] * len(rows), pa.int32()),
+                "range": pa.array([place] * len(rows), pa.int32()),
+                "target": pa.array(target, pa.binary()),
+                "background": pa.array(background, pa.binary()),
+                "words": pa.array([words] * len(rows), pa.list_(pa.float64())),
             }
         )
 
     return run
 
 
-def _scored(shared, slots: Slots):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        for batch in batches:
-            texts, chosen, out = batch.column("text"), batch.column("is_target").to_pylist(), []
-            for i in range(batch.num_rows):
-                found = slots.of(texts[i].as_py())
-                n = len(found[0])
-                a = float(target.losses(found, own=chosen[i]).mean()) if n else None
-                b = float(background.losses(found, own=True).mean()) if n else None
-                out.append((n, a, b, a - b if n else None))
-            rest = [c for c in batch.schema.names if c not in ("text", "is_target")]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = [pa.int64()] + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in rest], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-                [*rest, "n_words", "target_loss", "background_loss", "score"],
-            )
+def _scored(slots: Slots):
+    """Scores of one chunk's documents from the totals of its keys."""
+
+    def run(docs: pa.Table, said: pa.Table) -> pa.Table:
+        good = _targets(docs, said)
+        found = list(_texts(docs, slots))
+        tables = []
+        kinds, places = said["kind"].to_pylist(), said["range"].to_pylist()
+        rows = sorted((k, r, i) for i, (k, r) in enumerate(zip(kinds, places, strict=True)) if k is not None)
+        seen = [said["words"][i].as_py() for k, _, i in rows if k == 0]
+        distinct, *totals = np.sum(seen, axis=0).tolist() if seen else [0.0, 0.0, 0.0]
+        vocabulary = float(1 << slots.word_bits) if slots.word_bits < 64 else distinct
+        sizes = np.array([len(f[0]) for f in found], np.int64)
+        doc = np.repeat(np.arange(len(found)), sizes)
+        for kind in range(3 if len(doc) else 0):
+            every = np.concatenate([f[kind] for f in found]).view(np.uint64)
+            keys, where = np.unique(every, return_inverse=True)
+            own = [i for k, _, i in rows if k == kind]
+            counts = [
+                np.concatenate([np.empty(0), *(_unplanes(said[name][i].as_py()) for i in own)])
+                for name in ("target", "background")
+            ]
+            if len(counts[0]) != len(keys) or len(counts[1]) != len(keys):
+                raise ValueError(f"{len(keys)} keys of a chunk, {len(counts[0])} totals")
+            tables.append(([c[where] for c in counts], _repeats(doc, where)))
+        means = []
+        # a text's own counts are taken off, as if the model had not seen it
+        for m, own in enumerate((np.array(good, bool), np.ones(len(found), bool)) if len(doc) else ()):
+            less = [c[m] - np.where(own[doc], again, 0) for c, again in tables]
+            loss = losses(less, (totals[m] - own * sizes)[doc], vocabulary)
+            means.append(np.bincount(doc, loss, len(found)) / np.maximum(sizes, 1))
+        out = []
+        for i, n in enumerate(sizes.tolist()):
+            a, b = (float(x[i]) for x in means) if n else (None, None)
+            out.append((n, a, b, a - b if n else None))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        types = [pa.int64()] + [pa.float64()] * 3
+        names = ["n_words", "target_loss", "background_loss", "score"]
+        added = {n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}
+        return pa.table({"doc_id": docs["doc_id"]} | added)
 
     return run
 
@@ -187,50 +212,47 @@ def _scored(shared, slots: Slots):
 # -------------------------------------------------------------------------- operator
 
 
-def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, text and whether doc_id is in ``target_ids``, for every row."""
-    chosen = target_ids.select(F.col("doc_id").alias("chosen")).where("chosen is not null").distinct()
-    joined = docs.select("doc_id", "text").join(
-        chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("chosen"), "left"
-    )
-    return joined.select("doc_id", "text", F.col("chosen").isNotNull().alias("is_target"))
-
-
-def train(known: DataFrame, slots: Slots | None = None) -> tuple[Model, Model]:
-    """(target, background) models of ``marked`` documents: counts over the target ones,
-    and over all.
-
-    Every document is counted whole. What comes to the driver are the summed blocks,
-    whose number and size follow from ``slots`` alone.
-    """
-    slots = slots or Slots()
-    block_bits = min(BLOCK_BITS, slots.word_bits, slots.pair_bits)
-    counts = known.select("text", "is_target").mapInArrow(_counted(slots, block_bits), _COUNTS)
-    summed = counts.groupBy("kind", "block").applyInArrow(
-        _added(block_bits), "kind int, block long, counts binary"
-    )
-    sizes = [1 << slots.word_bits, 1 << slots.word_bits, 1 << slots.pair_bits]
-    tables = [np.zeros((2, n), np.float32) for n in sizes]
-    width = 1 << block_bits
-    for row in summed.toLocalIterator():
-        at = row["block"] * width
-        tables[row["kind"]][:, at : at + width] = np.frombuffer(row["counts"], np.float32).reshape(2, width)
-    return Model(*[t[0] for t in tables]), Model(*[t[1] for t in tables])
-
-
-def score(known: DataFrame, models: tuple[Model, Model], slots: Slots | None = None) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score of every ``marked`` row.
+def score(
+    docs: DataFrame,
+    target_ids: DataFrame,
+    slots: Slots | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    range_pairs: int = RANGE_PAIRS,
+) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss and score of every row of ``docs``
+    under models of its target documents (doc_id in ``target_ids``) and of all.
 
     Losses are means over a text's words, natural logarithm; A-Z are lower-cased. The
-    models were counted on these rows, so a text's own counts are left out of both. A
-    null text or one without words has n_words 0 and null losses and score. Rows that
-    repeat are scored alike. Without target documents the target model is the uniform
-    one.
+    models were counted on these rows, so a text's own counts are left out of both. The
+    vocabulary is the distinct words of ``docs``. Counts are exact but for words or pairs
+    of one 64-bit hash. A null text or one without words has n_words 0 and null losses
+    and score. Rows that repeat are scored alike. Without target documents the target
+    model is the uniform one. ``chunk_bytes`` and ``range_pairs`` do not change a result.
     """
-    shared = known.sparkSession.sparkContext.broadcast(models)
-    return known.mapInArrow(
-        _scored(shared, slots or Slots()),
-        f"doc_id {dict(known.dtypes)['doc_id']}, n_words long, target_loss double, "
+    slots = slots or Slots()
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = max(1, -(-n_bytes // chunk_bytes))
+    pairs = (max(1, n_bytes // BYTES_PER_PAIR // range_pairs) - 1).bit_length()
+    range_bits = (max(0, pairs - 2), max(0, pairs - 2), pairs)  # a chunk has far fewer words
+
+    def chunk(of: Column) -> Column:
+        return F.pmod(of, F.lit(chunks)).cast("int").alias("chunk")
+
+    # a row without id is no target and goes anywhere; the ids go to each of their salts
+    said, salt = F.xxhash64("text"), F.lit(ID_SALTS)
+    id_text = F.col("doc_id").cast("string")
+    own = F.coalesce(F.when(id_text.isNotNull(), F.xxhash64(id_text, F.pmod(said, salt))), said)
+    dealt = docs.select("doc_id", id_text.alias("id_text"), "text", chunk(own)).groupBy("chunk")
+    chosen = target_ids.select(F.col("doc_id").cast("string").alias("chosen")).where("chosen is not null").distinct()
+    salted = chosen.select("chosen", F.explode(F.sequence(F.lit(0).cast("long"), salt.cast("long") - 1)).alias("salt"))
+    targets = salted.select(chunk(F.xxhash64("chosen", "salt")), "chosen").distinct()
+    # both cogroups read the documents from one exchange
+    counts = dealt.cogroup(targets.groupBy("chunk")).applyInArrow(_counted(slots, range_bits), _BLOCKS)
+    summed = counts.groupBy("kind", "range").applyInArrow(_added(chunks), _TOTALS)
+    both = summed.unionByName(targets, allowMissingColumns=True)
+    return dealt.cogroup(both.groupBy("chunk")).applyInArrow(
+        _scored(slots),
+        f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, target_loss double, "
         "background_loss double, score double",
     )
 
@@ -238,5 +260,4 @@ def score(known: DataFrame, models: tuple[Model, Model], slots: Slots | None = N
 def score_against_good(docs: DataFrame, labels: DataFrame, slots: Slots | None = None) -> DataFrame:
     """Scores of ``docs`` with the documents labelled good (quality 1) as target; other
     columns are not read."""
-    known = marked(docs, labels.where("quality = 1"))
-    return score(known, train(known, slots), slots)
+    return score(docs, labels.where("quality = 1"), slots)

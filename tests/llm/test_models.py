@@ -384,3 +384,56 @@ def test_scoring_nothing(spark):
     assert crossentropy.score_against_good(frame(spark, []), none).count() == 0
     got = crossentropy.score_against_good(frame(spark, [(1, prose(1, 5), "en", "s", 0), (2, None, None, None, None)]), none)
     assert {r["doc_id"]: r["n_words"] for r in got.collect()} == {1: 5, 2: 0}
+
+
+def test_counts_are_those_of_words_and_pairs_not_of_slots(spark):
+    """Exact counts at the default setting, over several chunks and ranges, with words
+    that share the first 18 bits of their hash."""
+    rng = random.Random(8)
+    found: dict[int, list[str]] = {}
+    wide = crossentropy.Slots()
+    names = [f"w{i}" for i in range(4_000)]
+    for name in names:
+        found.setdefault(int(wide.of(name)[0].view(np.uint64)[0]) >> 46, []).append(name)
+    shared = [w for ws in found.values() if len(ws) > 1 for w in ws]
+    assert shared
+    rows = [(i, " ".join(rng.choices(shared, k=30) + rng.choices(names, k=30))) for i in range(60)]
+    rows += [(None, rows[3][1]), (7, rows[8][1]), (7, rows[8][1]), (61, None), (62, " ")]
+    chosen = set(range(0, 20)) | {61}
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    ids = spark.createDataFrame([(i,) for i in chosen] + [(None,)], "doc_id long")
+    got = crossentropy.score(docs, ids, chunk_bytes=2_000, range_pairs=20).collect()
+    models = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    vocabulary = set()
+
+    def keys(text):
+        ws = (text or "").split()
+        before = ["", *ws][: len(ws)]
+        return ws, before, list(zip(before, ws, strict=True))
+
+    for i, text in rows:
+        vocabulary |= set(keys(text)[0])
+        for m in [0, 1] if i in chosen else [1]:
+            for kind, ks in enumerate(keys(text)):
+                models[m][kind].update(ks)
+    want = Counter()
+    for i, text in rows:
+        words_, before, pairs = keys(text)
+        if not words_:
+            want[(i, 0, None, None)] += 1
+            continue
+        losses = []
+        for m, counts in enumerate(models):
+            own = [Counter(k) if m or i in chosen else Counter() for k in (words_, before, pairs)]
+            total = sum(counts[0].values()) - sum(own[0].values())
+            loss = 0.0
+            for w, h, p in zip(words_, before, pairs, strict=True):
+                single = (counts[0][w] - own[0][w] + 0.5) / (total + 0.5 * len(vocabulary))
+                loss -= math.log((counts[2][p] - own[2][p] + 4 * single) / (counts[1][h] - own[1][h] + 4))
+            losses.append(round(loss / len(words_), 9))
+        want[(i, len(words_), *losses)] += 1
+    have = Counter(
+        (r["doc_id"], r["n_words"], *(None if v is None else round(v, 9) for v in (r["target_loss"], r["background_loss"])))
+        for r in got
+    )
+    assert have == want
