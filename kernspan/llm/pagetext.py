@@ -1,9 +1,10 @@
 """Main text of web pages: page structure, and differences to the nearest page.
 
 A page's visible text is read as lines, one per block element. Lines inside the page's
-article (or main) element are its text. Lines outside it, and all lines of a page
-without one, are compared with the page of the same host whose URL path is nearest: a
-line that a longest common subsequence aligns in both is template and goes.
+article (or main) element are its text and stay. Lines outside it, and all lines of a
+page without one, are compared with such lines of the page of the same host whose URL
+path is nearest: a line that a longest common subsequence aligns in both is template and
+goes, the others stay.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ _BOILERPLATE = frozenset(
 )
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-#: more than this share of a page's compared text in common: copies, not a template
+#: more than this share of a page's compared text in common: perhaps copies, so that a second page decides
 COPY_SHARE = 0.5
 
 
@@ -184,43 +185,59 @@ def _line_hash(line: str) -> int:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each page, and hash and length of those that need a comparison."""
+    """Lines of each page; place, hash and length of those outside its container."""
     for batch in batches:
         sources = batch.column("html")
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            lines, open_, hashes, sizes = [], [], [], []
+            lines, sure, places, hashes, sizes = [], [], [], [], []
             for i in range(at, at + part.num_rows):
                 read = page_lines(sources[i].as_py())
-                sure = any(inside for _, inside in read)
-                # what stands outside the container is not its text
-                kept = [line for line, inside in read if inside or not sure]
-                lines.append(kept)
-                open_.append(not sure and bool(kept))
-                hashes.append([] if sure else [_line_hash(line) for line in kept])
-                sizes.append([] if sure else [len(line) for line in kept])
+                outside = [k for k, (_, inside) in enumerate(read) if not inside]
+                lines.append([line for line, _ in read])
+                sure.append(len(outside) < len(read))
+                places.append(outside)
+                hashes.append([_line_hash(read[k][0]) for k in outside])
+                sizes.append([len(read[k][0]) for k in outside])
             rest = [c for c in batch.schema.names if c != "html"]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[part.column(c) for c in rest],
                     pa.array(lines, pa.list_(pa.string())),
-                    pa.array(open_, pa.bool_()),
+                    pa.array(sure, pa.bool_()),
+                    pa.array(places, pa.list_(pa.int32())),
                     pa.array(hashes, pa.list_(pa.int64())),
                     pa.array(sizes, pa.list_(pa.int64())),
                 ],
-                [*rest, "lines", "open", "hashes", "sizes"],
+                [*rest, "lines", "sure", "places", "hashes", "sizes"],
             )
 
 
+def template_lines(
+    own: list[int], sizes: list[int], other: list[int] | None, second: list[int] | None, sure: bool
+) -> list[int]:
+    """Which of a page's compared lines go. ``other`` is the nearest page, ``second`` the
+    one on the other side; ``sure``: the page has a container, whose lines are not among
+    these.
+
+    Without a container, lines that are most of the page may be those of a copy. If
+    nothing is left beside them they stay; else those go that ``second`` has too.
+    """
+    if other is None:
+        # nothing to compare with: the container says what is text
+        return list(range(len(own))) if sure else []
+    common = common_lines(own, other)
+    if not sure and sum(sizes[k] for k in common) > COPY_SHARE * sum(sizes):
+        common = set()
+    return sorted(common)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which lines each page shares with its neighbour; none between copies."""
+    """Which of its compared lines each page loses."""
+    names = ("hashes", "sizes", "other", "second", "sure")
     for batch in batches:
-        own, other = batch.column("hashes").to_pylist(), batch.column("other").to_pylist()
-        sizes, gone = batch.column("sizes").to_pylist(), []
-        for mine, theirs, size in zip(own, other, sizes, strict=True):
-            common = common_lines(mine or [], theirs or [])
-            copied = sum(size[k] for k in common) > COPY_SHARE * sum(size or [0])
-            gone.append([] if copied else sorted(common))
+        rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        gone = [template_lines(*row) for row in rows]
         rest = ["key_a", "key_b"]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in rest], pa.array(gone, pa.list_(pa.int32()))], [*rest, "gone"]
@@ -236,7 +253,8 @@ def _url_part(pattern: str) -> Column:
 
 def neighbours(slim: DataFrame) -> DataFrame:
     """``slim`` (host, path, key_a, key_b, hashes, sizes) with ``other``: the hashes of
-    the nearest page by URL path within the host, null for a host's only page.
+    the nearest page by URL path within the host, null for a host's only page, and
+    ``second``: those of the page on its other side. Further columns stay.
 
     Nearest is the one before or after in the order of paths with the longer common
     start; ties go to the one before. The order is laid over ranges of rows, so a host
@@ -277,7 +295,11 @@ def neighbours(slim: DataFrame) -> DataFrame:
     other = F.when(
         near_before.isNotNull() & (F.coalesce(near_after, F.lit(-1)) <= near_before), F.col("before.hashes")
     ).when(near_after.isNotNull(), F.col("after.hashes"))
-    return beside.select(*order, "hashes", "sizes", other.alias("other"))
+    second = F.when(
+        near_before.isNotNull() & near_after.isNotNull(),
+        F.when(near_after <= near_before, F.col("after.hashes")).otherwise(F.col("before.hashes")),
+    )
+    return beside.select(*slim.columns, other.alias("other"), second.alias("second"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -285,9 +307,10 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Blocks are joined by a line feed, white space within one is a single space, and
     character references are decoded. A null, empty or wholly boilerplate page has an
-    empty text. Pages that are copies of their neighbour (more than half of the text in
-    common) keep it. Rows that repeat are treated alike; other columns are not read. An
-    empty table gives no rows.
+    empty text. Pages without a container that equal their neighbour keep their lines; a
+    page that has more than half of its text in common with it, but not all, loses the
+    lines that the page on the other side has too. Rows that repeat are treated alike;
+    other columns are not read. An empty table gives no rows.
     """
     keyed = pages.select(
         "page_id", "url",
@@ -299,28 +322,31 @@ def main_text(pages: DataFrame) -> DataFrame:
     read = keyed.mapInArrow(
         _extracted,
         f"page_id {kinds['page_id']}, url string, key_a long, key_b long, lines array<string>, "
-        "open boolean, hashes array<long>, sizes array<long>",
+        "sure boolean, places array<int>, hashes array<long>, sizes array<long>",
     )
     read = stored(read, "lines")
     slim = (
-        read.where("open")
+        read.where(F.size("places") > 0)
         .select(
             F.lower(_url_part(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)")).alias("host"),
             _url_part(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)").alias("path"),
-            "key_a", "key_b", "hashes", "sizes",
+            "key_a", "key_b", "hashes", "sizes", "sure",
         )
         .dropDuplicates(["key_a", "key_b"])
     )
-    pairs = neighbours(slim).select("key_a", "key_b", "hashes", "sizes", "other")
-    gone = pairs.mapInArrow(_shared, "key_a long, key_b long, gone array<int>").where(F.size("gone") > 0)
-    sure = read.where(~F.col("open")).select("page_id", "url", "lines")
-    kept = F.filter(
-        F.col("lines"), lambda line, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False))
+    gone = (
+        neighbours(slim)
+        .select("key_a", "key_b", "hashes", "sizes", "other", "second", "sure")
+        .mapInArrow(_shared, "key_a long, key_b long, gone array<int>")
+        .where(F.size("gone") > 0)
     )
-    compared = read.where("open").join(gone, ["key_a", "key_b"], "left").select(
+    whole = read.where(F.size("places") == 0).select("page_id", "url", "lines")
+    lost = F.transform("gone", lambda g: F.get("places", g))
+    kept = F.filter(F.col("lines"), lambda line, k: ~F.coalesce(F.array_contains(lost, k), F.lit(False)))
+    compared = read.where(F.size("places") > 0).join(gone, ["key_a", "key_b"], "left").select(
         "page_id", "url", kept.alias("lines")
     )
     text = F.array_join("lines", "\n")
-    return sure.unionByName(compared).select(
+    return whole.unionByName(compared).select(
         "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")
     )

@@ -122,3 +122,20 @@ def test_awkward_pages(spark):
         [(None, "", 0), (1, "", 0), (2, "x", 1), (2, "x", 1), (3, "x\nAll rights kept", 17), (None, y, 17), (4, y, 17)]
     )
     assert pagetext.main_text(pages(spark, [])).count() == 0
+
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in pagetext.main_text(pages(spark, rows)).collect()}
+
+
+def test_lines_outside_a_container_are_compared(spark):
+    page = lambda lead, body: f"<p>Menu of all</p><div>{lead}</div><article><p>{body}</p></article>"
+    got = texts(
+        spark,
+        [
+            (1, "http://a.org/1", page("lead one", "Menu of all")),
+            (2, "http://a.org/2", page("lead two", "body two")),
+            (3, "http://b.org/2", page("lead", "alone")),
+        ],
+    )
+    assert got == {1: "lead one\nMenu of all", 2: "lead two\nbody two", 3: "alone"}
