@@ -139,3 +139,12 @@ def test_lines_outside_a_container_are_compared(spark):
         ],
     )
     assert got == {1: "lead one\nMenu of all", 2: "lead two\nbody two", 3: "alone"}
+
+
+def test_a_page_without_container_is_compared_with_pages_that_have_one(spark):
+    menu = "<p>Menu of all</p><p>Rights</p>"
+    rows = [(i, f"http://a.org/{i}", f"{menu}<article><p>body {i}</p></article>") for i in range(5)]
+    rows[2] = (2, "http://a.org/2", f"{menu}<p>a page of longer text without any container</p>")
+    got = texts(spark, rows)
+    assert got[2] == "a page of longer text without any container"
+    assert got[1] == "body 1"
