@@ -228,7 +228,7 @@ def template_lines(
         return list(range(len(own))) if sure else []
     common = common_lines(own, other)
     if not sure and sum(sizes[k] for k in common) > COPY_SHARE * sum(sizes):
-        common = set()
+        common = common & common_lines(own, second or []) if len(common) < len(own) else set()
     return sorted(common)
 
 

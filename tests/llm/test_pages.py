@@ -148,3 +148,12 @@ def test_a_page_without_container_is_compared_with_pages_that_have_one(spark):
     got = texts(spark, rows)
     assert got[2] == "a page of longer text without any container"
     assert got[1] == "body 1"
+
+
+def test_short_texts_lose_a_long_template(spark):
+    menu = "<p>A long notice that every page of the host shows in the same words</p>"
+    rows = [(i, f"http://a.org/{i}", f"{menu}<p>note {i}</p>") for i in (1, 2, 3)]
+    rows += [(i, f"http://b.org/x/{i}", f"{menu}<p>the same story under two addresses</p>") for i in (4, 5)]
+    got = texts(spark, rows)
+    assert got[2] == "note 2"
+    assert got[4] == got[5] and "the same story" in got[4]
