@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kernspan.llm import (
     crossentropy,
     editcounts,
+    histogramtopk,
     mixing,
     multiindex,
     packing,
@@ -192,6 +193,24 @@ def op8_cross_entropy_difference(spark, sf):
     return crossentropy.score_against_good(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op11_histogram_topk(spark, sf):
+    """The 5 highest integer inner products of every row whose id 50 divides, over all rows."""
+    is_query = F.col("vec_id") % 50 == 0
+    return histogramtopk.top_k(table(spark, sf, "embeddings"), is_query, k=5)
+
+
+SQL["op11_histogram_topk"] = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score
+        FROM e AS q JOIN e ON q.r <> e.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
+    PARTITION BY r ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 # each word's windows, the smallest document of each, and the words that stay
 SQL["op3_substring_dedup"] = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
