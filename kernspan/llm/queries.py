@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kernspan.llm.tables import let
+from kernspan.llm.tables import words as words_of
 from kernspan.llm import (
     crossentropy,
     editcounts,
@@ -15,6 +17,7 @@ from kernspan.llm import (
     multiindex,
     packing,
     pagetext,
+    periodicruns,
     quality,
     simhash,
     substrings,
@@ -211,6 +214,31 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 """
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text (by the checksum of its doc_id) made periodic from
+    some word on; a row without doc_id stays as it is."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(checksum / 10)
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        times = (3 + F.pmod(g, F.lit(8))).cast("int")
+        p = (1 + F.floor((n - a) / times)).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")
+
+    words = let(words_of("text"), lambda w: F.when(F.size(w) > 0, periodic(w)))
+    return docs.withColumn("text", F.when(checksum % 10 == 0, words).otherwise(F.col("text")))
+
+
+@query
+def op13_periodic_runs(spark, sf):
+    """Runs of repeating words of every document and digests of what is left without them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return periodicruns.with_digests(periodicruns.periodic_runs(with_repeats(docs)))
+
+
 # each word's windows, the smallest document of each, and the words that stay
 SQL["op3_substring_dedup"] = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
