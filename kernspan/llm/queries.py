@@ -22,6 +22,7 @@ from kernspan.llm import (
     simhash,
     substrings,
     toolcalls,
+    turnrepair,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,6 +215,32 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with every fifth row damaged (by the checksum of its place):
+    dropped (``copies`` is 0), emptied, without sentence ends, repeated (``copies`` is 2)
+    or said by the user. Nulls are one space."""
+
+    def said(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    place = F.concat_ws(":", said("conv_id"), said("turn"))
+    kind = F.crc32(place.cast("binary")) % 20
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(said("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text")).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+@query
+def op12_turn_repair(spark, sf):
+    """The cheapest repair of every conversation after damage."""
+    rows = damaged(table(spark, sf, "conversations"))
+    return turnrepair.repair_conversations(rows, F.col("copies"))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every tenth text (by the checksum of its doc_id) made periodic from
     some word on; a row without doc_id stays as it is."""
