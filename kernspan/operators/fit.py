@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,40 +255,6 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
     return joined.groupBy("space_id").applyInPandas(finish, schema)
 
 
-def kernel_gram(spaces: DataFrame, kernel: Kernel | None = None) -> DataFrame:
-    """The kernel matrix of each subspace, one row ``(space_id, i, j, k)`` per entry.
-
-    The result is m^2 rows per subspace by definition, and m is bounded.
-    """
-    kernel = kernel or linear()
-    schema = T.StructType(
-        [
-            spaces.schema["space_id"],
-            T.StructField("i", T.LongType()),
-            T.StructField("j", T.LongType()),
-            T.StructField("k", T.DoubleType()),
-        ]
-    )
-
-    def entries(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ord")
-        x = stack_vectors(table["x"].to_pandas())
-        m = len(x)
-        order = np.asarray(table["ord"].to_numpy(), dtype=np.int64)
-        spaces_column = table["space_id"].take(pa.array(np.repeat(np.arange(m), m)))
-        return pa.table(
-            {
-                "space_id": spaces_column,
-                "i": np.repeat(order, m),
-                "j": np.tile(order, m),
-                "k": kernel.block(x, x).ravel(),
-            }
-        )
-
-    rows = bounded_groups(spaces.select("space_id", "ord", "x"), MAX_LANDMARKS)
-    return rows.groupBy("space_id").applyInArrow(entries, schema)
-
-
 def gram_inverse(models: DataFrame) -> DataFrame:
     """Entries of G^-1 = W'W of each dual model: ``(space_id, i, j, g_inv)``."""
     schema = T.StructType(

@@ -19,11 +19,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from kernspan.functions.kernels import Kernel, cosine, linear
 from kernspan.functions.uniform import hash_uniform
 from kernspan.operators import sampling
-from kernspan.operators.fit import fit
+from kernspan.operators.fit import fit, primal_factor
 from kernspan.operators.landmarks import landmark_union
 from kernspan.operators.packing import unpack_vectors
 from kernspan.operators.score import (
@@ -44,8 +45,16 @@ from kernspan.operators.score import (
     rows_of,
 )
 from kernspan.operators.spaces import SubspaceCollection
+from kernspan.operators.tiles import (
+    TiledModel,
+    append_landmarks,
+    block_leverages,
+    fit_tiled,
+    row_blocks,
+    unpacked,
+)
 from kernspan.plans.schedules import MultiSpaceSchedule, SingleSpaceSchedule, halving_levels
-from kernspan.session import materialize
+from kernspan.session import materialize, written
 
 #: feature dimension up to which the primal form is used for scoring
 MAX_PRIMAL_DIM = 4096
@@ -73,7 +82,7 @@ class Selection:
     """The kept subspaces and one history row per round."""
 
     spaces: DataFrame
-    models: DataFrame
+    models: DataFrame | TiledModel
     lam: float
     history: list[tuple]
 
@@ -420,83 +429,180 @@ def nystrom_spaces_packed(packs: DataFrame, **options) -> Selection:
 
 
 def _landmarks(accepted: DataFrame, round_no: int) -> DataFrame:
-    """Accepted rows as landmarks; the few are moved out of the many scan partitions."""
-    rows = accepted.select(
+    return accepted.select(
         F.lit(0).alias("space_id"),
         F.lit(round_no).cast("int").alias("ord"),
         "id",
         "x",
         F.lit(1.0).alias("reg"),
     )
-    return materialize(rows.repartition("id"))
 
 
-def _grow(
-    df: DataFrame,
-    spaces: DataFrame,
-    lam: float,
-    kernel: Kernel,
-    form: str,
-    seed: int | str,
-    round_no: int,
-    delta: float | None = None,
-    most: float | None = None,
-) -> tuple[DataFrame, float, int]:
-    """Append the rows accepted by their scaled leverage to the landmark set.
-
-    With ``delta`` a row is accepted when coin < score * ln(total / delta),
-    else when coin < score. The total is not known before the scan, but no
-    leverage exceeds k(y, y): rows that fail even with ``most``, the sum of the
-    scaled k(y, y), cannot be accepted, and the scan drops them.
+@dataclass(frozen=True)
+class _Moments:
+    """A growing landmark set in feature space: the moments are a sum over landmarks, so
+    those of the accepted rows are added and nothing is fitted again."""
+
+    lam: float
+    kernel: Kernel
+    sums: np.ndarray
+
+    @classmethod
+    def of(cls, landmarks: DataFrame, lam: float, kernel: Kernel, dim: int) -> _Moments:
+        all_in = landmarks.select(
+            "id", "x", F.lit(0.0).alias("coin"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("total")
+        )
+        return cls(lam, kernel, _sums(all_in, 1.0, kernel, dim)[2])
+
+    def grow(
+        self,
+        df: DataFrame,
+        seed: int | str,
+        round_no: int,
+        delta: float | None = None,
+        most: float | None = None,
+    ) -> tuple[_Moments, DataFrame | None, float, int]:
+        """Accept rows by their scaled leverage: the next set, the landmarks that came in,
+        the total of the scaled leverage and how many landmarks there are more.
+
+        With ``delta`` a row is accepted when coin < score * ln(total / delta),
+        else when coin < score. The total is not known before the scan, but no
+        leverage exceeds k(y, y): rows that fail even with ``most``, the sum of the
+        scaled k(y, y), cannot be accepted, and the scan drops them.
+        """
+        factor = 1.5 / self.lam
+        need = F.col("coin")
+        if delta is not None:
+            widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
+            need = need / F.lit(widest) if widest > 0 else F.lit(float("inf"))
+        rows = df.withColumn("coin", hash_uniform("id", seed, round_no)).withColumn("need", need)
+        space = [Space(0, primal_factor(self.sums, self.lam), None, True)]
+        scanned = materialize(_reduced_scan(rows, space, space, self.kernel, factor))
+        total, scale = None, 1.0
+        if delta is not None:
+            total = (scanned.agg(F.sum("total")).first()[0] or 0.0) * factor
+            if total <= 0:
+                return self, None, total, 0
+            scale = math.log(total / delta)
+        seen, size, sums = _sums(scanned, scale, self.kernel, len(self.sums))
+        accepted = scanned.filter(F.col("total").isNull() & (F.col("coin") < F.col("score") * F.lit(scale)))
+        return (
+            replace(self, sums=self.sums + sums),
+            _landmarks(accepted, round_no),
+            seen * factor if total is None else total,
+            size,
+        )
+
+
+#: bytes of partial sums that the driver adds up
+SUM_BYTES = 256 * 1024 * 1024
+
+
+def _sums(scanned: DataFrame, scale: float, kernel: Kernel, dim: int) -> tuple[float, int, np.ndarray]:
+    """The total of a reduced scan, and the number and moments of the rows it accepts.
+
+    A task adds up its rows, a few tasks add up what the others found.
     """
-    factor = 1.5 / lam
-    fitted = fit(spaces, lam, kernel, form)
-    models = load_models(fitted, kernel)
-    if len(models) > 1:
-        return _grow_in_passes(df, spaces, fitted, lam, kernel, seed, round_no, delta)
-    coin = hash_uniform("id", seed, round_no)
-    need = F.col("coin")
-    if delta is not None:
-        widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
-        need = need / F.lit(widest) if widest > 0 else F.lit(float("inf"))
-    rows = df.withColumn("coin", coin).withColumn("need", need)
-    scanned = _reduced_scan(rows, models[0], models[0], kernel, factor).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        total = (scanned.agg(F.sum("total")).first()[0] or 0.0) * factor
-        candidates = scanned.filter(F.col("total").isNull())
+    salts = max(1, min(8, SUM_BYTES // (8 * dim * dim)))
+    schema = "salt int, total double, m long, sums binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, m, sums = 0.0, 0, np.zeros((dim, dim))
+        for batch in batches:
+            parts = np.asarray(batch["total"].fill_null(0.0))
+            total += float(parts.sum())
+            rank = batch["coin"].fill_null(2.0), batch["score"].fill_null(0.0)
+            coin, score = (np.asarray(c, dtype=float) for c in rank)
+            rows = batch.filter(pa.array((coin < score * scale) & np.asarray(batch["total"].is_null())))
+            if len(rows):
+                features = kernel.features(rows_of(rows["x"], rows["id"])[0])
+                m, sums = m + len(rows), sums + features.T @ features
+        salt = TaskContext.get().partitionId() % salts
+        yield pa.RecordBatch.from_pydict(
+            {"salt": pa.array([salt], pa.int32()), "total": [total], "m": [m], "sums": [sums.tobytes()]}
+        )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, m, sums = 0.0, 0, np.zeros(dim * dim)
+        for batch in batches:
+            for row in batch.to_pylist():
+                total, m, salt = total + row["total"], m + row["m"], row["salt"]
+                sums += np.frombuffer(row["sums"])
+        yield pa.RecordBatch.from_pydict(
+            {"salt": pa.array([salt], pa.int32()), "total": [total], "m": [m], "sums": [sums.tobytes()]}
+        )
+
+    parts = scanned.select("id", "x", "coin", "score", "total").mapInArrow(add, schema)
+    found = parts.groupBy("salt").applyInArrow(join, schema).collect()
+    sums = sum((np.frombuffer(row["sums"]) for row in found), np.zeros(dim * dim))
+    return sum(row["total"] for row in found), sum(row["m"] for row in found), sums.reshape(dim, dim)
+
+
+@dataclass(frozen=True)
+class _Tiles:
+    """A growing landmark set under any kernel: a tiled model that new landmarks extend.
+    Tables are given as packed row blocks."""
+
+    model: TiledModel
+
+    def grow(
+        self,
+        blocks: DataFrame,
+        seed: int | str,
+        round_no: int,
+        delta: float | None = None,
+        most: float | None = None,
+    ) -> tuple[_Tiles, DataFrame | None, float, int]:
+        """As for moments; the scores of a round are written, as packed numbers."""
+        factor = 1.5 / self.model.lam
+        scores = written(block_leverages(blocks, self.model), "scores")
+        total = (scores.agg(F.sum("total")).first()[0] or 0.0) * factor
         if delta is not None and total <= 0:
-            return spaces, total, 0
+            return self, None, total, 0
         scale = 1.0 if delta is None else math.log(total / delta)
-        added = _landmarks(
-            candidates.filter(F.col("coin") < F.col("score") * F.lit(scale)), round_no
+        scored = sampling.scale_scores(unpacked(blocks, scores, "score"), factor)
+        accepted = scored.filter(
+            sampling.known("score") & (hash_uniform("id", seed, round_no) < F.col("score") * F.lit(scale))
         )
-        return landmark_union(spaces, added), total, added.count()
-    finally:
-        scanned.unpersist()
+        added = materialize(_landmarks(accepted, round_no))
+        size = added.count()
+        return (_Tiles(append_landmarks(self.model, added)) if size else self), added, total, size
 
 
-def _grow_in_passes(
-    df: DataFrame,
-    spaces: DataFrame,
-    models: DataFrame,
-    lam: float,
-    kernel: Kernel,
-    seed: int | str,
-    round_no: int,
-    delta: float | None,
-) -> tuple[DataFrame, float, int]:
-    """The same for models beyond the broadcast bound: total first, then draw."""
-    scored = sampling.scale_scores(leverage_min(df, models, kernel, out="score"), 1.5 / lam)
-    total = scored.agg(F.sum(F.when(sampling.known("score"), F.col("score")))).first()[0] or 0.0
-    if delta is not None and total <= 0:
-        return spaces, total, 0
-    accepted = sampling.bernoulli_by_scaled_score(
-        scored, seed, round_no, delta, total=F.lit(total)
-    )
-    added = _landmarks(accepted, round_no)
-    return landmark_union(spaces, added), total, added.count()
+#: levels that the copy of a table is partitioned by; deeper ones share the last folder
+STORED_LEVELS = 8
+#: nested levels a row can have: a table has some thirty at most
+DEEPEST_LEVEL = 40
+
+
+def _leveled(df: DataFrame, seed: int | str) -> DataFrame:
+    """A copy of the table ``(id, x, level)`` by folder of nested level."""
+    rows = sampling.with_nested_level(df.select("id", "x"), DEEPEST_LEVEL, seed)
+    return written(rows.withColumn("part", F.least("level", F.lit(STORED_LEVELS))), "levels", "part")
+
+
+def _beyond(leveled: DataFrame, depth: int) -> DataFrame:
+    """Rows of the copy whose level is above ``depth``; only their folders are read."""
+    if depth < 0:
+        return leveled
+    if depth < STORED_LEVELS:
+        return leveled.filter(F.col("part") > depth)
+    return leveled.filter((F.col("part") == STORED_LEVELS) & (F.col("level") > depth))
+
+
+def _growing(spaces: DataFrame, lam: float, kernel: Kernel, model: TiledModel | None = None) -> _Moments | _Tiles:
+    """The landmark set in its cheapest form: feature-sized moments where there are any."""
+    if kernel.explicit and (dim := spaces.select(F.size("x")).first()[0]) <= MAX_PRIMAL_DIM:
+        return _Moments.of(spaces, lam, kernel, dim)
+    return _Tiles(model or fit_tiled(spaces, lam, kernel))
+
+
+def _selected(
+    state: _Moments | _Tiles, parts: list[DataFrame], lam: float, kernel: Kernel, history: list[tuple]
+) -> Selection:
+    spaces = materialize(reduce(landmark_union, parts).repartition("id"))
+    models = state.model if isinstance(state, _Tiles) else fit(spaces, lam, kernel, "primal")
+    return Selection(spaces, models, lam, history)
 
 
 def nystrom_halving(
@@ -509,34 +615,37 @@ def nystrom_halving(
 ) -> Selection:
     """Start from the deepest nested level and walk up to the whole table.
 
-    The ``ord`` of a landmark is the round that added it.
+    The ``ord`` of a landmark is the round that added it. The table is read once, into a
+    copy by level; a round reads the folders of its level, about two copies in all. A
+    kernel without a feature map is scored against a tiled model, with which the number
+    of landmarks has no bound; ``models`` of the result is then a ``TiledModel``.
     """
     kernel = kernel or cosine()
-    with _input(df, n_rows) as (rows, n_rows):
-        levels, level_delta = halving_levels(n_rows, delta)
-        leveled = sampling.with_nested_level(rows, levels, seed)
-        spaces = _landmarks(sampling.level_filter(leveled, levels - 1), 0)
-        size = spaces.count()
-        form = _scoring_form(spaces, size, kernel)
-        norms = rows.agg(F.sum(kernel_norm_column(rows, kernel))).first()[0] or 0.0
-        history = [(0, lam, size, 1, None, True)]
-        for round_no in range(1, levels + 1):
-            level_delta *= 3
-            depth = levels - 1 - round_no
-            subset = sampling.level_filter(leveled, depth) if depth >= 0 else rows
-            spaces, total, added = _grow(
-                subset.select("id", "x"),
-                spaces,
-                lam,
-                kernel,
-                form,
-                seed,
-                round_no,
-                level_delta,
-                norms * 1.5 / lam,
-            )
-            history.append((round_no, lam, added, 1, total, True))
-        return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
+    leveled = _leveled(df, seed)
+    n_rows = leveled.count() if n_rows is None else n_rows
+    levels, level_delta = halving_levels(n_rows, delta)
+    spaces = materialize(_landmarks(_beyond(leveled, levels - 1), 0))
+    size = spaces.count()
+    if not size:
+        raise ValueError("the first sample is empty")
+    state = _growing(spaces, lam, kernel)
+    parts, history, most = [spaces], [(0, lam, size, 1, None, True)], None
+    if isinstance(state, _Tiles):
+        table = row_blocks(leveled.drop("part").withColumnRenamed("level", "part"), "part")
+    else:
+        table = leveled
+        most = (leveled.agg(F.sum(kernel_norm_column(leveled, kernel))).first()[0] or 0.0) * 1.5 / lam
+    for round_no in range(1, levels + 1):
+        level_delta *= 3
+        depth = levels - 1 - round_no
+        if isinstance(state, _Tiles):
+            subset = table.filter(F.col("part") > depth)
+        else:
+            subset = _beyond(table, depth).select("id", "x")
+        state, added, total, size = state.grow(subset, seed, round_no, level_delta, most)
+        parts += [] if added is None else [added]
+        history.append((round_no, lam, size, 1, total, True))
+    return _selected(state, parts, lam, kernel, history)
 
 
 def nystrom_refine(
@@ -547,13 +656,19 @@ def nystrom_refine(
     lam: float = 0.01,
     rounds: int = 20,
     first_round: int = 1000,
+    model: TiledModel | None = None,
 ) -> Selection:
-    """More rounds over the whole table, accepting when u < scaled leverage."""
+    """More rounds over the whole table, accepting when u < scaled leverage.
+
+    ``model`` is a tiled model of ``spaces`` to go on from, if there is one.
+    """
     kernel = kernel or cosine()
-    form = _scoring_form(spaces, 1, kernel)
-    history = []
+    state = _growing(spaces, lam, kernel, model)
+    parts, history = [spaces], []
     with _input(df, None) as (rows, _):
+        table = row_blocks(rows) if isinstance(state, _Tiles) else rows
         for round_no in range(first_round, first_round + rounds):
-            spaces, total, added = _grow(rows, spaces, lam, kernel, form, seed, round_no)
-            history.append((round_no, lam, added, 1, total, True))
-        return Selection(spaces, fit(spaces, lam, kernel, form), lam, history)
+            state, added, total, size = state.grow(table, seed, round_no)
+            parts += [] if added is None else [added]
+            history.append((round_no, lam, size, 1, total, True))
+        return _selected(state, parts, lam, kernel, history)

@@ -69,6 +69,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` once beside the checkpoints and read it back.
+
+    Unlike a checkpoint the files prune: a reader's filter on a column of
+    ``partition_by`` skips folders, and columns nobody asks for are not read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write.option("compression", "none")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` is small enough.
 

@@ -146,7 +146,7 @@ def test_bless_matches_brute_force(small):
     assert kept_ids(got.spaces) == [picked]
 
 
-def halving_brute(rows, seed, lam, delta):
+def halving_brute(rows, seed, lam, delta, kernel=brute.cosine):
     ids = range(len(rows))
     levels, d = halving_levels(len(rows), delta)
     u = np.array([brute.uniform(i, seed) for i in ids])
@@ -155,7 +155,7 @@ def halving_brute(rows, seed, lam, delta):
         d *= 3
         subset = [i for i in ids if r == levels or u[i] < 0.5 ** (levels - r)]
         score = 1.5 / lam * brute.leverages(
-            rows[chosen], np.ones(len(chosen)), lam, rows[subset], brute.cosine
+            rows[chosen], np.ones(len(chosen)), lam, rows[subset], kernel
         )
         bound = math.log(score.sum() / d)
         chosen += [

@@ -342,6 +342,7 @@ def _inverse(w: str, key: str = "space_id", label: str = "space_id") -> str:
 
 SQL["fit_subspace"] = over("vectors", _inverse("w"), SPACES, R.dual_ctes())
 SQL["fit_subspace_pinv"] = SQL["fit_subspace"]
+SQL["fit_subspace_tiled"] = SQL["fit_subspace"]
 
 
 def _projections(name: str, pos: str, spaces: str, kernel: str = "linear") -> str:
@@ -379,6 +380,24 @@ SQL["leverage"] = _one_leverage("vectors")
 SQL["leverage_block"] = _one_leverage("events")
 SQL["leverage_pinv"] = _one_leverage("vectors")
 SQL["leverage_rbf"] = _one_leverage("events", "rbf")
+SQL["leverage_tiled_rbf"] = over(
+    "events",
+    f"SELECT id, {r6('min(leverage)')} AS leverage FROM lev GROUP BY id",
+    R.space_ctes(),
+    R.dual_ctes(name="rbf"),
+    R.cross_ctes(name="rbf"),
+    R.leverage_ctes(name="rbf"),
+)
+# a landmark that is there twice spans what it spans once
+SQL["leverage_pinv_deficient"] = over(
+    "vectors",
+    f"SELECT id, {r6('leverage')} AS leverage FROM lev",
+    R.space_ctes(),
+    "s2 AS (SELECT * FROM sp WHERE space_id = 1)",
+    R.dual_ctes("0.0", sp="s2"),
+    R.cross_ctes(sp="s2"),
+    R.leverage_ctes(),
+)
 SQL["leverage_cosine"] = _one_leverage("events", "cosine")
 SQL["leverage_pseudo"] = over(
     "events",
@@ -592,15 +611,23 @@ UNIT = """u AS MATERIALIZED (SELECT id, list_transform(x, lambda v:
         v / sqrt(list_inner_product(x, x))) AS x FROM t)"""
 
 
-def _scaled(landmarks: str, source: str, out: str) -> list[str]:
+#: (1 + x.y)^2 of unit vectors of four numbers as products of fifteen features
+POLY = """u AS MATERIALIZED (SELECT id, list_concat([1.0::DOUBLE], list_concat(
+        list_transform(z, lambda v: sqrt(2) * v), list_concat(list_transform(z, lambda v: v * v),
+        [sqrt(2) * z[1] * z[2], sqrt(2) * z[1] * z[3], sqrt(2) * z[1] * z[4],
+         sqrt(2) * z[2] * z[3], sqrt(2) * z[2] * z[4], sqrt(2) * z[3] * z[4]]))) AS x
+    FROM (SELECT id, list_transform(x, lambda v: v / sqrt(list_inner_product(x, x))) AS z FROM t))"""
+
+
+def _scaled(landmarks: str, source: str, out: str, dim: int) -> list[str]:
     return [
-        R.primal_ctes("0.01", landmarks, f"w_{out}"),
+        R.primal_ctes("0.01", landmarks, f"w_{out}", dim),
         f"""{out} AS MATERIALIZED (SELECT id, x, ml * 150.0 AS score
         FROM ({R.min_leverage(source, f'w_{out}')}))""",
     ]
 
 
-def _halving_ctes() -> list[str]:
+def _halving_ctes(features: str = UNIT, dim: int = 4) -> list[str]:
     """Levels and deltas of every depth the table may have, up to ``DEEPEST``.
 
     Rounds beyond the table's own depth start from the same base set and add
@@ -617,7 +644,7 @@ def _halving_ctes() -> list[str]:
         )
     u = R.uniform(R.SEED, 0)
     ctes = [
-        UNIT,
+        features,
         f"depth AS (SELECT coalesce({', '.join(steps)}) AS n_levels FROM (SELECT count(*) AS n FROM t))",
         f"""s0 AS MATERIALIZED (SELECT 0 AS space_id, 0 AS ord, id, x, 1.0::DOUBLE AS reg
         FROM u, depth WHERE {u} < 0.5::DOUBLE ** n_levels)""",
@@ -627,7 +654,7 @@ def _halving_ctes() -> list[str]:
         ctes += [
             f"""u{r} AS (SELECT id, x FROM u, depth WHERE r_ok AND (whole OR {u} < 0.5::DOUBLE ** (n_levels - {r})))
             """.replace("r_ok", f"{r} <= n_levels").replace("whole", f"{r} = n_levels"),
-            *_scaled(f"s{r - 1}", f"u{r}", f"l{r}"),
+            *_scaled(f"s{r - 1}", f"u{r}", f"l{r}", dim),
             f"""s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL
             SELECT 0, {r}, id, x, 1.0 FROM l{r}, depth WHERE {R.uniform(R.SEED, r)} < score
             * ln((SELECT sum(score) FROM l{r}) / (0.1 / 3.0::DOUBLE ** (n_levels - 1) * 3.0::DOUBLE ** {r})))""",
@@ -638,12 +665,12 @@ def _halving_ctes() -> list[str]:
 SQL["nystrom_halving"] = over("events", f"SELECT ord, id FROM s{DEEPEST}", *_halving_ctes())
 
 
-def _refine_ctes() -> list[str]:
+def _refine_ctes(rounds: int = Q.REFINE_ROUNDS, features: str = UNIT, dim: int = 4) -> list[str]:
     """The rounds after a halving: ``r<i>`` holds the landmarks after i of them."""
-    ctes = [*_halving_ctes(), f"r0 AS (SELECT * FROM s{DEEPEST})"]
-    for i in range(Q.REFINE_ROUNDS):
+    ctes = [*_halving_ctes(features, dim), f"r0 AS (SELECT * FROM s{DEEPEST})"]
+    for i in range(rounds):
         ctes += [
-            *_scaled(f"r{i}", "u", f"x{i}"),
+            *_scaled(f"r{i}", "u", f"x{i}", dim),
             f"""r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} UNION ALL
             SELECT 0, {1000 + i}, id, x, 1.0 FROM x{i} WHERE {R.uniform(R.SEED, 1000 + i)} < score)""",
         ]
@@ -654,6 +681,11 @@ SQL["nystrom_refine"] = over(
     "events", f"SELECT ord::INTEGER AS ord, id FROM r{Q.REFINE_ROUNDS}", *_refine_ctes()
 )
 
+SQL["nystrom_halving_poly"] = over("events", f"SELECT ord, id FROM s{DEEPEST}", *_halving_ctes(POLY, 15))
+SQL["nystrom_refine_poly"] = over(
+    "events", f"SELECT ord::INTEGER AS ord, id FROM r{Q.POLY_ROUNDS}", *_refine_ctes(Q.POLY_ROUNDS, POLY, 15)
+)
+
 _refined_scores = [
     *_refine_ctes(),
     R.primal_ctes("0.01", f"r{Q.REFINE_ROUNDS}", "wz"),

@@ -18,6 +18,7 @@ from kernspan.functions.uniform import hash_uniform
 from kernspan.operators import classify, landmarks, packing, ridge, sampling, stats
 from kernspan.operators import fit as fitting
 from kernspan.operators import score as S
+from kernspan.operators import tiles
 from kernspan.operators.spaces import SubspaceCollection
 from kernspan.plans import selection
 from kernspan.session import materialize, scratch_path
@@ -45,6 +46,7 @@ SELECT_ROWS = 1_000
 SELECT_SPACES = 5
 SELECT_MISSES = 10
 REFINE_ROUNDS = 20
+RBF_GAMMA = 0.02
 LEVELS = 6
 QUANTILE_ERROR = 1e-5
 CSV_HEADER = "label,quantity,price,discount,tax"
@@ -511,7 +513,7 @@ def kernel_cross(spark, sf):
 
 @query
 def kernel_gram(spark, sf):
-    return fitting.kernel_gram(R.spaces(R.vectors(spark, sf))).withColumn("k", r6("k"))
+    return tiles.kernel_gram(R.spaces(R.vectors(spark, sf))).withColumn("k", r6("k"))
 
 
 @query
@@ -526,6 +528,17 @@ def fit_subspace_pinv(spark, sf):
     return fitting.gram_inverse(models).withColumn("g_inv", r6("g_inv"))
 
 
+#: landmarks of a block where a query cuts its few landmarks into several tiles
+SMALL_TILE = 5
+
+
+@query
+def fit_subspace_tiled(spark, sf):
+    """The same inverse from tiles: each subspace is four blocks."""
+    model = tiles.fit_tiled(R.spaces(R.vectors(spark, sf)), R.LAMBDA, tile=SMALL_TILE)
+    return tiles.tiled_inverse_entries(model).withColumn("g_inv", r6("g_inv"))
+
+
 @query
 def kernel_proj(spark, sf):
     table = R.events(spark, sf)
@@ -566,6 +579,24 @@ QUERIES["leverage_rbf"] = _leverage_of(R.events, kernels.rbf(0.5))
 QUERIES["leverage_cosine"] = _leverage_of(R.events, kernels.cosine())
 
 
+@query
+def leverage_tiled_rbf(spark, sf):
+    """The smallest rbf leverage over three subspaces of four blocks each."""
+    table = R.events(spark, sf)
+    model = tiles.fit_tiled(R.spaces(table), R.LAMBDA, kernels.rbf(0.5), tile=SMALL_TILE)
+    return tiles.tiled_leverage_min(table, model).select("id", r6("leverage").alias("leverage"))
+
+
+@query
+def leverage_pinv_deficient(spark, sf):
+    """Landmarks that are there twice, without a regulariser: a singular matrix."""
+    table = R.vectors(spark, sf)
+    sp = R.spaces(table).filter(F.col("space_id") == 1)
+    again = sp.withColumn("ord", F.col("ord") + R.LANDMARKS)
+    model = tiles.fit_tiled(sp.unionByName(again), 0.0, method="pinv", tile=SMALL_TILE)
+    return tiles.tiled_leverage_min(table, model).select("id", r6("leverage").alias("leverage"))
+
+
 @query
 def leverage_pseudo(spark, sf):
     table = R.events(spark, sf)
@@ -767,6 +798,44 @@ def nystrom_refine(spark, sf):
     return _refined(R.events(spark, sf)).spaces.select("ord", "id")
 
 
+POLY_ROUNDS = 3
+
+
+def _unit(table: DataFrame) -> DataFrame:
+    return table.select("id", "label", V.normalize("x").alias("x"))
+
+
+def _refined_by(table: DataFrame, kernel: kernels.Kernel) -> selection.Selection:
+    first = selection.nystrom_halving(table, kernel, seed=R.SEED)
+    return selection.nystrom_refine(
+        table, first.spaces, kernel, seed=R.SEED, rounds=POLY_ROUNDS, model=first.models
+    )
+
+
+@query
+def nystrom_halving_poly(spark, sf):
+    """Halving under a kernel that the library knows no features of, over unit vectors."""
+    chosen = selection.nystrom_halving(_unit(R.events(spark, sf)), kernels.poly(2, 1.0), seed=R.SEED)
+    return chosen.spaces.select("ord", "id")
+
+
+@query
+def nystrom_refine_poly(spark, sf):
+    return _refined_by(_unit(R.events(spark, sf)), kernels.poly(2, 1.0)).spaces.select("ord", "id")
+
+
+@query
+def nystrom_halving_rbf(spark, sf):
+    chosen = selection.nystrom_halving(R.events(spark, sf), kernels.rbf(RBF_GAMMA), seed=R.SEED)
+    return chosen.spaces.select("ord", "id")
+
+
+@query
+def nystrom_refine_rbf(spark, sf):
+    """Refinement of the rbf halving, going on from its model."""
+    return _refined_by(R.events(spark, sf), kernels.rbf(RBF_GAMMA)).spaces.select("ord", "id")
+
+
 @query
 def refined_leverage_describe(spark, sf):
     """Halving, its refinement, and the leverages that are left, described."""
