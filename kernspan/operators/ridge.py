@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, linear
+from kernspan.operators import conjugate
 from kernspan.operators import fit as fitting
 from kernspan.operators.landmarks import landmark_semi_join
 from kernspan.operators.score import (
@@ -54,7 +55,16 @@ def with_targets(
     return spaces.join(values.select("space_id", "ord", out), ["space_id", "ord"])
 
 
-def _fit(spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int) -> DataFrame:
+def _fit(
+    spaces: DataFrame, lam: float, kernel: Kernel, max_landmarks: int, solver: str | None
+) -> DataFrame:
+    if solver not in (None, "direct", "iterative"):
+        raise ValueError(f"solver must be 'direct' or 'iterative', not {solver!r}")
+    if solver is None:
+        most = spaces.groupBy("space_id").count().agg(F.max("count")).first()[0] or 0
+        solver = "direct" if most <= max_landmarks or lam <= 0 else "iterative"
+    if solver == "iterative":
+        return conjugate.solve(spaces, lam, kernel)
     schema = T.StructType(
         [
             spaces.schema["space_id"],
@@ -86,11 +96,17 @@ def ridge_fit(
     lam: float,
     kernel: Kernel | None = None,
     max_landmarks: int = fitting.MAX_LANDMARKS,
+    solver: str | None = None,
 ) -> DataFrame:
-    """alpha = G^-1 f per subspace, f the target of its landmarks; in parallel."""
+    """alpha = G^-1 f per subspace, f the target of its landmarks; in parallel.
+
+    The direct solver factors each subspace in one task, the iterative one multiplies by
+    blocks and bounds no subspace. Unless one is named, a table with a subspace of more
+    than ``max_landmarks`` is solved iteratively; the results agree to 1e-8.
+    """
     target = F.col(target) if isinstance(target, str) else target
     joined = with_targets(spaces, df, F.array(target.cast("double")))
-    return _fit(joined, lam, kernel or linear(), max_landmarks)
+    return _fit(joined, lam, kernel or linear(), max_landmarks, solver)
 
 
 def ridge_fit_multi(
@@ -100,10 +116,11 @@ def ridge_fit_multi(
     lam: float,
     kernel: Kernel | None = None,
     max_landmarks: int = fitting.MAX_LANDMARKS,
+    solver: str | None = None,
 ) -> DataFrame:
     """The same for an array of targets per row, e.g. ``one_hot`` labels."""
     joined = with_targets(spaces, df, targets.cast("array<double>"))
-    return _fit(joined, lam, kernel or linear(), max_landmarks)
+    return _fit(joined, lam, kernel or linear(), max_landmarks, solver)
 
 
 def _coefficients(ridge: DataFrame, kernel: Kernel, max_bytes: int) -> Iterator[list[tuple]]:

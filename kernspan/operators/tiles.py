@@ -99,13 +99,19 @@ def _between(low: Column | int, high: Column | int) -> Column:
 # ---------------------------------------------------------------------------- blocks
 
 
-def landmark_blocks(spaces: DataFrame, by: str = "space_id", tile: int = TILE) -> DataFrame:
+def landmark_blocks(
+    spaces: DataFrame, by: str = "space_id", tile: int = TILE, targets: bool = False
+) -> DataFrame:
     """Landmarks ``(space_id, ord, id, x, reg)`` in order, as numbered blocks.
 
     A row has ``space_id, b, nb, start, n, ids, ords, x, reg``: block b of nb, which begins
-    at landmark ``start``. They are sorted by range, so that no task sees a whole subspace.
+    at landmark ``start``; with ``targets`` also those, as ``f``. Landmarks are sorted by
+    range, so that no task sees a whole subspace.
     """
-    rows = spaces.select(F.col(by).alias("space_id"), "ord", "id", F.col("x").cast("array<double>"), "reg")
+    rows = spaces.select(
+        F.col(by).alias("space_id"), "ord", "id", F.col("x").cast("array<double>"), "reg",
+        *([F.col("targets").cast("array<double>")] if targets else []),
+    )
     order = ["space_id", "ord", "id"]
     parts = _tasks(rows.count() // (4 * tile))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -115,6 +121,7 @@ def landmark_blocks(spaces: DataFrame, by: str = "space_id", tile: int = TILE) -
             ("space_id", space), ("seq", T.LongType()), ("n", T.IntegerType()),
             ("ids", T.ArrayType(ident)), ("ords", T.ArrayType(place)),
             ("x", T.BinaryType()), ("reg", T.BinaryType()),
+            *([("f", T.BinaryType())] if targets else []),
         )
     )
     arrow = to_arrow_schema(schema)
@@ -130,6 +137,8 @@ def landmark_blocks(spaces: DataFrame, by: str = "space_id", tile: int = TILE) -
                 raise ValueError(f"a landmark has no vector (space {owner!r})")
             row = {"space_id": owner, "seq": seq, "n": len(x), "ids": one["id"].to_pylist(), "ords": one["ord"].to_pylist()}
             row |= {"x": x.tobytes(), "reg": np.asarray(one["reg"], dtype=float).tobytes()}
+            if targets:
+                row["f"] = rows_of(one["targets"], one["id"])[0].tobytes()
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:

@@ -380,6 +380,8 @@ SQL["leverage"] = _one_leverage("vectors")
 SQL["leverage_block"] = _one_leverage("events")
 SQL["leverage_pinv"] = _one_leverage("vectors")
 SQL["leverage_rbf"] = _one_leverage("events", "rbf")
+SQL["leverage_poly"] = _one_leverage("events", "poly")
+SQL["leverage_custom"] = _one_leverage("events", "custom")
 SQL["leverage_tiled_rbf"] = over(
     "events",
     f"SELECT id, {r6('min(leverage)')} AS leverage FROM lev GROUP BY id",
@@ -763,6 +765,9 @@ SQL["selected_match_summary"] = over(
 )
 
 
+SQL["selected_match_summary_tiled"] = SQL["selected_match_summary"]
+
+
 def _ridge_ctes(outputs: str, target: str) -> list[str]:
     """``alpha(space_id, output, ord, id, x, alpha)`` = W'(W f)."""
     return [
@@ -797,6 +802,36 @@ SQL["ridge_fit"] = over(
 SQL["ridge_fit_multi"] = over(
     "vectors", f"SELECT space_id, output, ord::INTEGER AS ord, id, {r6('alpha')} AS alpha FROM alpha", *_multi
 )
+SQL["ridge_fit_iterative"] = SQL["ridge_fit_multi"]
+# in feature space: f(y) = y'(X'P^-1 X + lambda I)^-1 X'P^-1 f, with W'W = (I + S / lambda)^-1
+_best_landmarks = "chosen AS MATERIALIZED (" + " UNION ALL ".join(
+    f"""SELECT space_id, s.id, s.x, greatest(reg, 1e-12) AS reg, label FROM {s} s JOIN t USING (id)
+    WHERE (SELECT best FROM b{UNROLLED - 1} WHERE misses >= {Q.SELECT_MISSES}) = {i}"""
+    for i, (_, _, s, _) in enumerate(_rounds)
+) + ")"
+SQL["ridge_vote_selected"] = over(
+    "events",
+    """SELECT class AS pred_label, label = class AS is_match, count(*) AS n_rows FROM (
+        SELECT row_id, label, class, row_number() OVER (PARTITION BY row_id ORDER BY count(*) DESC, class) AS rn
+        FROM firsts GROUP BY row_id, label, class) WHERE rn = 1 GROUP BY 1, 2""",
+    *_loop,
+    _best_landmarks,
+    R.primal_ctes(str(R.LAMBDA), "chosen", "vw"),
+    """pulls AS (SELECT space_id, class, list(v ORDER BY pos) AS g FROM (
+        SELECT space_id, class, pos, sum(CASE WHEN label = class THEN v / reg ELSE 0 END) AS v FROM (
+            SELECT *, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM chosen), (SELECT DISTINCT label AS class FROM t)
+        GROUP BY space_id, class, pos) GROUP BY space_id, class)""",
+    # the weights of a class in a subspace: W'(W g)
+    """weights AS MATERIALIZED (SELECT space_id, class, list(wt ORDER BY pos) AS wt FROM (
+        SELECT space_id, class, pos, sum(v * wg) AS wt FROM (
+            SELECT vw.space_id, class, list_inner_product(w, g) AS wg, unnest(w) AS v, generate_subscripts(w, 1) AS pos
+            FROM vw JOIN pulls ON pulls.space_id = vw.space_id) GROUP BY space_id, class, pos) GROUP BY space_id, class)""",
+    """numbered AS MATERIALIZED (SELECT row_number() OVER () AS row_id, label, x FROM t)""",
+    """firsts AS (SELECT row_id, label, class FROM (
+        SELECT row_id, label, class, row_number() OVER (
+            PARTITION BY row_id, space_id ORDER BY list_inner_product(wt, x) DESC, class) AS first
+        FROM numbered, weights) WHERE first = 1)""",
+)
 SQL["ridge_predict"] = over(
     "events", f"SELECT id, {r6('v')} AS pred FROM pred WHERE space_id = 2", *_single, _predicted
 )

@@ -572,10 +572,18 @@ def _leverage_of(table, kernel=None, **options) -> Query:
     return run
 
 
+def _inverse_quadratic(a, b):
+    """1 / (1 + |a - b|^2), a kernel the library does not have."""
+    gaps = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+    return 1 / (1 + gaps.clip(0))
+
+
 QUERIES["leverage"] = _leverage_of(R.vectors)
 QUERIES["leverage_block"] = _leverage_of(R.events)
 QUERIES["leverage_pinv"] = _leverage_of(R.vectors, method="pinv")
 QUERIES["leverage_rbf"] = _leverage_of(R.events, kernels.rbf(0.5))
+QUERIES["leverage_poly"] = _leverage_of(R.events, kernels.poly(2, 1.0))
+QUERIES["leverage_custom"] = _leverage_of(R.events, kernels.custom(_inverse_quadratic))
 QUERIES["leverage_cosine"] = _leverage_of(R.events, kernels.cosine())
 
 
@@ -855,17 +863,27 @@ def refined_leverage_quantiles(spark, sf):
     return quantiles.select("probability", r6("value").alias("value"))
 
 
-@query
-def selected_match_summary(spark, sf):
-    """Selected landmarks become class subspaces; matches over the whole table."""
+def _selected_matches(spark, sf, form: str) -> DataFrame:
     table = R.events(spark, sf)
     chosen = selection.nystrom_spaces(table, **_spaces_options())
     rows = landmarks.filter_by_ids(table, chosen.spaces)
-    models = classify.fit_class_subspaces(rows, table.count(), form="primal")
+    models = classify.fit_class_subspaces(rows, table.count(), form=form)
     summary = stats.match_summary(classify.classify_max_projection(table, models))
     return summary.select("is_match", "n_rows", r6("residual_sum", 4).alias("residual_sum"))
 
 
+@query
+def selected_match_summary_tiled(spark, sf):
+    """The same with class subspaces of landmark size, as tiles."""
+    return _selected_matches(spark, sf, "tiled")
+
+
+@query
+def selected_match_summary(spark, sf):
+    """Selected landmarks become class subspaces; matches over the whole table."""
+    return _selected_matches(spark, sf, "primal")
+
+
 # ------------------------------------------------------------ models
 
 
@@ -928,6 +946,29 @@ def ridge_fit_multi(spark, sf):
     return parts.select("space_id", "output", "ord", "id", r6("alpha").alias("alpha"))
 
 
+@query
+def ridge_fit_iterative(spark, sf):
+    """The coefficients of all outputs by conjugate gradients."""
+    table = R.vectors(spark, sf)
+    targets = ridge.one_hot("label", ridge.class_list(table))
+    solved = ridge.ridge_fit_multi(R.spaces(table), table, targets, R.LAMBDA, solver="iterative")
+    parts = solved.select("space_id", "ord", "id", F.posexplode("alpha").alias("output", "alpha"))
+    return parts.select("space_id", "output", "ord", "id", r6("alpha").alias("alpha"))
+
+
+@query
+def ridge_vote_selected(spark, sf):
+    """Selected landmarks, a ridge classifier on each of their subspaces, and the vote."""
+    table = R.events(spark, sf)
+    chosen = selection.nystrom_spaces(table, **_spaces_options())
+    classes = ridge.class_list(table)
+    fitted = ridge.ridge_fit_multi(chosen.spaces, table, ridge.one_hot("label", classes), R.LAMBDA)
+    voted = ridge.ridge_classify_vote(table, fitted, classes)
+    return voted.groupBy("pred_label", (F.col("label") == F.col("pred_label")).alias("is_match")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 @query
 def ridge_predict(spark, sf):
     table = R.events(spark, sf)

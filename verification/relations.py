@@ -144,6 +144,9 @@ def inverse_root_ctes(rows: str, out: str) -> str:
 
 
 KERNEL_SQL = {
+    "poly": "(list_inner_product({a}, {b}) + 1) ** 2",
+    "custom": "1 / (1 + list_inner_product({a}, {a}) + list_inner_product({b}, {b})"
+    " - 2 * list_inner_product({a}, {b}))",
     "linear": "list_inner_product({a}, {b})",
     "cosine": "list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a})"
     " * list_inner_product({b}, {b}))",
