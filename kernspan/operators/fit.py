@@ -1,7 +1,7 @@
 """Fitting subspaces: landmark table in, model table out.
 
 With landmarks X, weights p and kernel k, a subspace is described by
-G = k(X, X) + lambda * diag(p). Two equivalent forms are fitted:
+G = k(X, X) + lambda * diag(p). Three equivalent forms are fitted:
 
 ``dual``    W = L^-1 with G = L L'. Gives projections W k(X, y) and, through
             their squared length, the energy of a row. Costs m^2 memory and m^3
@@ -12,9 +12,13 @@ G = k(X, X) + lambda * diag(p). Two equivalent forms are fitted:
             sum over landmarks, computed by distributed partial sums, so m has no
             bound; the model has D^2 numbers, and another lambda needs no refit.
 
+``eigen``   the dual form with P^-1/2 K P^-1/2 = U E U': W = (E + lambda)^-1/2 U' P^-1/2,
+            so another lambda only rescales the rows of W and needs no refit.
+
 A model row holds ``space_id, m, dim, rank, lambda, ids, x_flat, w_flat,
-b_flat, s_flat``; matrices are row-major. ``b_flat`` is W phi(X), mapping
-phi(y) straight to the projection; ``s_flat`` holds the moments S.
+b_flat, s_flat, e_flat``; matrices are row-major. ``b_flat`` is W phi(X), mapping
+phi(y) straight to the projection; ``s_flat`` holds the moments S. With eigenvalues in
+``e_flat``, W and W phi(X) are still to be scaled by (e + lambda)^-1/2.
 """
 
 from __future__ import annotations
@@ -56,6 +60,7 @@ def model_schema(spaces: DataFrame, by: str) -> T.StructType:
             T.StructField("w_flat", numbers),
             T.StructField("b_flat", numbers),
             T.StructField("s_flat", numbers),
+            T.StructField("e_flat", numbers),
         ]
     )
 
@@ -89,6 +94,20 @@ def inverse_root(g: np.ndarray, method: str) -> np.ndarray:
     return (vectors[:, keep] / np.sqrt(values[keep])).T
 
 
+def eigen_root(g: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """V and e with V' (e + lambda)^-1 V = (G + lambda P)^-1 for every lambda."""
+    weights = 1 / np.sqrt(np.maximum(reg, MIN_REG))
+    values, vectors = np.linalg.eigh(weights[:, None] * g * weights)
+    return vectors.T * weights, np.maximum(values, 0.0)
+
+
+def eigen_scale(e: np.ndarray, lam: float) -> np.ndarray:
+    """(e + lambda)^-1/2, zero where there is nothing but rounding."""
+    size = e + lam
+    keep = size > max(size.max(initial=0.0), 0.0) * len(size) * np.finfo(float).eps
+    return np.where(keep, 1 / np.sqrt(np.where(keep, size, 1.0)), 0.0)
+
+
 def moments(features: np.ndarray, reg: np.ndarray) -> np.ndarray:
     """S = sum_i phi_i phi_i' / p_i."""
     return (features / np.maximum(reg, MIN_REG)[:, None]).T @ features
@@ -143,20 +162,23 @@ def fit(
     schema = model_schema(spaces, by)
     if form == "primal":
         return materialize(_fit_primal(rows, kernel, schema))
-    if form != "dual":
-        raise ValueError(f"form must be 'dual' or 'primal', not {form!r}")
+    if form not in ("dual", "eigen"):
+        raise ValueError(f"form must be 'dual', 'eigen' or 'primal', not {form!r}")
     rows = bounded_groups(rows, max_landmarks)
 
     def one_space(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "id"], kind="stable")
         x = stack_vectors(pdf["x"], pdf["id"])
         reg, lam_value = pdf["reg"].to_numpy(float), float(pdf["lambda"].iloc[0])
-        w = inverse_root(gram(x, reg, lam_value, kernel), method)
-        b = s = None
+        b = s = e = None
+        if form == "eigen":
+            w, e = eigen_root(kernel.block(x, x), reg)
+        else:
+            w = inverse_root(gram(x, reg, lam_value, kernel), method)
         if kernel.explicit:
             phi = kernel.features(x)
             b = w @ phi
-            if method == "chol" and phi.shape[1] < len(x):
+            if form == "dual" and method == "chol" and phi.shape[1] < len(x):
                 s = moments(phi, reg)
         row = {
             "space_id": pdf["space_id"].iloc[0],
@@ -169,6 +191,7 @@ def fit(
             "w_flat": w.ravel(),
             "b_flat": None if b is None else b.ravel(),
             "s_flat": None if s is None else s.ravel(),
+            "e_flat": e,
         }
         return pd.DataFrame([row])
 
@@ -246,6 +269,7 @@ def _fit_primal(rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFr
             "w_flat": None,
             "b_flat": None,
             "s_flat": flat,
+            "e_flat": None,
         }
         return pd.DataFrame([row])
 
@@ -270,6 +294,8 @@ def gram_inverse(models: DataFrame) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples():
                 w = np.asarray(row.w_flat).reshape(row.rank, row.m)
+                if row.e_flat is not None:
+                    w = w * eigen_scale(np.asarray(row.e_flat), row.lam)[:, None]
                 yield pd.DataFrame(
                     {
                         "space_id": row.space_id,
@@ -279,4 +305,6 @@ def gram_inverse(models: DataFrame) -> DataFrame:
                     }
                 )
 
-    return models.select("space_id", "m", "rank", "w_flat").mapInPandas(entries, schema)
+    return models.select("space_id", "m", "rank", "w_flat", "e_flat", F.col("lambda").alias("lam")).mapInPandas(
+        entries, schema
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kernspan.functions.uniform import hash_uniform, nested_level
 from kernspan.functions.vectors import cap_to_one
@@ -95,52 +96,91 @@ def level_filter(df: DataFrame, level: int, column: str = "level") -> DataFrame:
     return df.filter(F.col(column) > level)
 
 
-def ranked_limit(df: DataFrame, order: list[Column], k: int, salt_by: str = "id") -> DataFrame:
-    """The first k rows in ``order``.
+#: rows among which a plain sort finds the first ones, and bins of one histogram
+SORTED_ROWS, BINS = 1_000_000, 1_024
 
-    On a small cluster this is one top-k. With many input partitions their
-    candidates would all meet in a single task, so on a large one k survivors
-    per salt are kept first: Spark prunes each partition before that shuffle,
-    and the last task sees k rows per salt instead of k per partition. (Beyond
-    the session's group-limit threshold Spark would not prune, so no salting.)
-    """
-    spark = df.sparkSession
-    salts = spark.sparkContext.defaultParallelism // 32
-    prunable = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    return _salted_limit(df, order, k, salts if k <= prunable else 1, salt_by)
 
+def _first_rows(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
+    """Rows of ``df`` that can be among the first k in ascending order of numeric keys.
 
-def _salted_limit(
-    df: DataFrame, order: list[Column], k: int, salts: int, salt_by: str
-) -> DataFrame:
-    if salts > 1:
-        columns = df.columns
-        window = Window.partitionBy("_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-            .withColumn("_rank", F.row_number().over(window))
-            .filter(F.col("_rank") <= k)
-            .select(*columns)
-        )
-    return df.orderBy(*order).limit(k)
+    A histogram of the first key finds the bin of the k-th row; rows of earlier bins are
+    in, later ones are out, and the bin's rows are counted in finer bins, at last by the
+    next key, until the rows in doubt are few or equal in all keys. Counts are added up by
+    Spark and the driver sees one histogram at a time. Null and NaN come last.
+    """
+    if df.count() <= max(SORTED_ROWS, k):
+        return df
+    inside, doubt, open_rows = F.lit(False), F.lit(True), df
+    for key in keys:
+        number = F.when(~F.isnan(key), key)
+        while True:
+            n, bare, low, high = open_rows.agg(
+                F.count(F.lit(1)), F.count_if(number.isNull()), F.min(number), F.max(number)
+            ).first()
+            if n <= max(SORTED_ROWS, k):
+                return df.filter(inside | doubt)
+            if 0 < bare < n:
+                if k <= n - bare:
+                    doubt = doubt & number.isNotNull()
+                else:
+                    inside, doubt, k = inside | (doubt & number.isNotNull()), doubt & number.isNull(), k - (n - bare)
+                open_rows = df.filter(doubt)
+                continue
+            if bare or low == high:
+                break
+            # infinite values have bins of their own
+            low, high = max(low, -1e300), min(high, 1e300)
+            width = max(high / BINS - low / BINS, 5e-324)
+            place = F.greatest(F.lit(0.0), F.least(F.floor((key - F.lit(low)) / F.lit(width)).cast("double"), F.lit(float(BINS))))
+            place = F.when(key > F.lit(high), BINS + 1).when(key < F.lit(low), -1).otherwise(place.cast("int"))
+            before = 0
+            for bin_no, count in sorted(open_rows.groupBy(place.alias("bin")).count().collect()):
+                if before + count >= k:
+                    break
+                before += count
+            inside, doubt, k = inside | (doubt & (place < bin_no)), doubt & (place == bin_no), k - before
+            if count == n:
+                return df.filter(inside | doubt)
+            open_rows = df.filter(doubt)
+    return df.filter(inside | doubt)
+
+
+def ranked_limit(df: DataFrame, order: list[Column], k: int, keys: list[Column] | None = None) -> DataFrame:
+    """The first k rows in ``order``.
+
+    ``keys`` are its leading terms as numbers in ascending order: with them a large table
+    is cut to the rows that can be among the first, and only those are sorted. Without
+    them ``df`` is taken to be pruned already.
+    """
+    return (df if keys is None else _first_rows(df, keys, k)).orderBy(*order).limit(k)
 
 
 def topk_by_score(
     df: DataFrame, k: int, score: str = "score", ties: tuple[str, ...] = ("id",)
 ) -> DataFrame:
     """The k rows with the highest score; rows without a number come last."""
-    df = df.withColumn(score, F.when(known(score), F.col(score)))
-    order = [F.round(score, RANK_DIGITS).desc_nulls_last(), *[F.col(t) for t in ties]]
-    return ranked_limit(df, order, k, ties[-1])
+    return _extreme(df, k, score, ties, descending=True)
 
 
 def bottomk_by_score(
     df: DataFrame, k: int, score: str = "score", ties: tuple[str, ...] = ("id",)
 ) -> DataFrame:
     """The k rows with the lowest score; rows without a number come last."""
+    return _extreme(df, k, score, ties, descending=False)
+
+
+def _extreme(df: DataFrame, k: int, score: str, ties: tuple[str, ...], descending: bool) -> DataFrame:
     df = df.withColumn(score, F.when(known(score), F.col(score)))
-    order = [F.round(score, RANK_DIGITS).asc_nulls_last(), *[F.col(t) for t in ties]]
-    return ranked_limit(df, order, k, ties[-1])
+    rank = F.round(score, RANK_DIGITS)
+    order = [rank.desc_nulls_last() if descending else rank.asc_nulls_last(), *[F.col(t) for t in ties]]
+    keys = [-rank if descending else rank]
+    for tie in ties:
+        if not isinstance(df.schema[tie].dataType, T.NumericType):
+            break
+        keys.append(F.col(tie).cast("double"))
+        if not isinstance(df.schema[tie].dataType, T.DoubleType):
+            break  # large whole numbers may become equal: no key may follow
+    return ranked_limit(df, order, k, keys)
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "ord") -> DataFrame:

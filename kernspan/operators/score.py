@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, linear
 from kernspan.functions.vectors import split_array
-from kernspan.operators.fit import primal_factor
+from kernspan.operators.fit import eigen_scale, primal_factor
 
 #: bytes of model matrices broadcast for one pass
 MAX_MODEL_BYTES = 256 * 1024 * 1024
@@ -96,12 +96,13 @@ def model_chunks(
         "rank",
         "lambda",
         residual.alias("residual"),
+        F.col("e_flat").alias("eigen"),
         F.coalesce(size, F.lit(-1)).alias("bytes"),
         *[m.alias(name) for name, m in matrices.items()],
     )
     share = max_bytes // FEW_MODELS
     small = [F.when(F.col("bytes") <= share, F.col(name)).alias(name) for name in matrices]
-    first = shaped.select("space_id", "m", "rank", "lambda", "residual", "bytes", *small)
+    first = shaped.select("space_id", "m", "rank", "lambda", "residual", "eigen", "bytes", *small)
     rows = first.coalesce(1).limit(FEW_MODELS + 1).collect()
     if not rows:
         raise ValueError("no models to score against")
@@ -137,7 +138,10 @@ def _space(row) -> Space:
         s = _matrix(flat, math.isqrt(len(flat)))
         return Space(row["space_id"], primal_factor(s, row["lambda"]), None, True)
     landmarks = _matrix(row["landmarks"], row["m"]) if "landmarks" in row else None
-    return Space(row["space_id"], _matrix(flat, row["rank"]), landmarks)
+    factor = _matrix(flat, row["rank"])
+    if row["eigen"] is not None:
+        factor = factor * eigen_scale(np.asarray(row["eigen"]), row["lambda"])[:, None]
+    return Space(row["space_id"], factor, landmarks)
 
 
 # ---------------------------------------------------------------- Arrow <-> NumPy

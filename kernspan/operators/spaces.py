@@ -85,8 +85,8 @@ class SubspaceCollection:
         )
 
     def update_lambda(self, lam: float) -> SubspaceCollection:
-        """Every subspace for another lambda; only the dual form needs a refit."""
-        if self.form == "primal":
+        """Every subspace for another lambda; only the plain dual form needs a refit."""
+        if self.form in ("primal", "eigen"):
             models = self.models.withColumn("lambda", F.lit(float(lam)))
         else:
             models = fit(self.spaces, lam, self.kernel, self.form)

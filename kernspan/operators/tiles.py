@@ -676,3 +676,104 @@ def tiled_leverage_min(df: DataFrame, model: TiledModel, out: str = "leverage")
     id, x, others."""
     blocks = row_blocks(df)
     return unpacked(blocks, block_leverages(blocks, model), out)
+
+
+# ------------------------------------------------------------------ nearest landmarks
+
+
+def kernel_top(
+    df: DataFrame, spaces: DataFrame, kernel: Kernel | None = None, k: int = 10, tile: int = TILE
+) -> DataFrame:
+    """The k landmarks of largest kernel value for each row: ``id, rank, space_id, ord,
+    landmark_id, k`` with ranks from 1.
+
+    Row blocks meet landmark blocks in a grid, each cell keeps k values a row, and those
+    are merged by row block: neither a row nor a task ever has all landmarks. Values that
+    agree to nine decimals are ranked by (space_id, ord). Rows without a vector have none.
+    """
+    kernel = kernel or linear()
+    landmarks, blocks = landmark_blocks(spaces, tile=tile), row_blocks(df.select("id", "x"))
+    sizes = landmarks.groupBy("space_id").agg(F.max("nb").cast("long").alias("nb"))
+    before = Window.orderBy("space_id").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a subspace, a number each
+    offsets = sizes.select("space_id", F.coalesce(F.sum("nb").over(before), F.lit(0)).alias("offset"))
+    landmarks = landmarks.join(offsets, "space_id").withColumn("plate", F.col("offset") + F.col("b"))
+    n_plates = int(sizes.agg(F.sum("nb")).first()[0] or 0)
+    groups = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS))
+    plates = landmarks.select("plate", F.col("n").alias("m"), F.col("x").alias("landmarks"), _between(0, groups - 1).alias("r"))
+    rows = blocks.select(
+        "block", "xs", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("r"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_plates - 1, 0)).cast("long"))).alias("plate"),
+    )
+    both = plates.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(_tasks(n_plates * groups), "plate", "r").sortWithinPartitions("plate", "r", "side")
+    schema = T.StructType(
+        _fields(("block", T.LongType()), ("plate", T.LongType()), ("kept", T.IntegerType()), ("values", T.BinaryType()), ("places", T.BinaryType()))
+    )
+    arrow = to_arrow_schema(schema)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for number, side in enumerate(batch["side"].to_pylist()):
+                if side == 0:
+                    held = _matrix(batch["landmarks"][number].as_py(), batch["m"][number].as_py())
+                    continue
+                y, _ = rows_of(batch["xs"][number].values)
+                kept = min(k, len(held))
+                values, places = np.empty((len(y), kept)), np.empty((len(y), kept), np.int32)
+                for start in range(0, len(y), STEP_ROWS):
+                    some = slice(start, start + STEP_ROWS)
+                    found = kernel.block(y[some], held)
+                    order = np.argsort(-np.round(found, 9), axis=1, kind="stable")[:, :kept]
+                    values[some], places[some] = np.take_along_axis(found, order, 1), order
+                row = {"block": batch["block"][number].as_py(), "plate": batch["plate"][number].as_py(), "kept": kept}
+                yield pa.RecordBatch.from_pylist([{**row, "values": values.tobytes(), "places": places.tobytes()}], schema=arrow)
+
+    ident = blocks.schema["ids"].dataType.elementType
+    long = T.LongType()
+    merged_schema = T.StructType(
+        _fields(("id", ident), ("rank", T.IntegerType()), ("plate", long), ("place", T.IntegerType()), ("k", T.DoubleType()))
+    )
+    merged_arrow = to_arrow_schema(merged_schema)
+    parts = both.mapInArrow(cells, schema)
+    names = blocks.select("block", "ids", "xs")
+    joined = parts.unionByName(names, allowMissingColumns=True).repartition(_tasks(8 * groups), "block")
+    joined = joined.sortWithinPartitions("block", F.col("plate").asc_nulls_first())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = values = plate = places = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if values is not None and values.size:
+                n, kept = values.shape
+                columns = [
+                    ids.take(pa.array(np.repeat(np.arange(n), kept))),
+                    pa.array(np.tile(np.arange(1, kept + 1, dtype=np.int32), n)),
+                    *(pa.array(a.ravel()) for a in (plate, places, values)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=merged_arrow)
+
+        for batch in batches:
+            for number in range(batch.num_rows):
+                if not batch["plate"][number].is_valid:
+                    yield from done()
+                    ids, xs = batch["ids"][number].values, batch["xs"][number].values
+                    ids, values = ids.filter(xs.is_valid()), None
+                    continue
+                kept = batch["kept"][number].as_py()
+                more = np.frombuffer(batch["values"][number].as_py()).reshape(len(ids), kept)
+                spots = np.frombuffer(batch["places"][number].as_py(), np.int32).reshape(len(ids), kept)
+                source = np.full(spots.shape, batch["plate"][number].as_py())
+                if values is None:
+                    values, plate, places = more, source, spots
+                    continue
+                everything = [np.hstack(pair) for pair in ((values, more), (plate, source), (places, spots))]
+                order = np.argsort(-np.round(everything[0], 9), axis=1, kind="stable")[:, :k]
+                values, plate, places = (np.take_along_axis(a, order, 1) for a in everything)
+        yield from done()
+
+    top = joined.mapInArrow(merge, merged_schema)
+    known = landmarks.select("plate", "space_id", F.posexplode(F.arrays_zip("ords", "ids")).alias("place", "mark"))
+    known = known.select("plate", "place", "space_id", F.col("mark.ords").alias("ord"), F.col("mark.ids").alias("landmark_id"))
+    return top.join(known, ["plate", "place"]).select("id", "rank", "space_id", "ord", "landmark_id", "k")

@@ -248,7 +248,9 @@ def _total_and_draw(
         total = scanned.agg(F.sum("total")).first()[0] or 0.0
         order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
         candidates = scanned.filter(F.col("total").isNull()).drop("total")
-        drawn = sampling.numbered(sampling.ranked_limit(candidates, order, max_rows), order)
+        drawn = sampling.numbered(
+            sampling.ranked_limit(candidates, order, max_rows, [-F.col("rank"), F.col("coin")]), order
+        )
         sample, size = _sized(drawn)
     finally:
         scanned.unpersist()

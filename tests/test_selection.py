@@ -241,13 +241,25 @@ def test_collection_slots(spark):
     assert {r["lambda"] for r in built.models.collect()} == {0.1}
 
 
-def test_topk_over_salts_equals_plain_topk(spark):
-    df = spark.range(5000).withColumn("score", F.pmod(F.col("id") * 7919, F.lit(311)) / 10.0)
-    order = [F.col("score").desc(), F.col("id")]
-    plain = sampling._salted_limit(df, order, 40, 1, "id").collect()
-    salted = sampling._salted_limit(df, order, 40, 16, "id")
-    assert salted.collect() == plain
-    assert "WindowGroupLimit" in salted._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("k", [1, 37, 480, 700, 2000])
+def test_topk_by_histogram_equals_a_sort(spark, monkeypatch, k):
+    monkeypatch.setattr(sampling, "SORTED_ROWS", 8)
+    monkeypatch.setattr(sampling, "BINS", 5)
+    rng = np.random.default_rng(9)
+    odd = [float("inf"), float("-inf"), float("nan"), None, 0.25, 0.25, -0.0, 0.0]
+    rows = []
+    for i in range(900):
+        score = odd[i % 8] if i % 3 == 0 else float(np.round(rng.normal(), 2))
+        rows.append((2**53 + 900 - i, score, float(rng.integers(0, 4))))
+    df = spark.createDataFrame(rows, "id long, score double, coin double")
+    for cut, sign in ((sampling.topk_by_score, -1), (sampling.bottomk_by_score, 1)):
+
+        def place(row, sign=sign):
+            bare = row[1] is None or row[1] != row[1]
+            return (bare, 0.0 if bare else sign * row[1], row[2], row[0])
+
+        want = [r[0] for r in sorted(rows, key=place)[:k]]
+        assert [r["id"] for r in cut(df, k, ties=("coin", "id")).collect()] == want
 
 
 def test_uniform_spaces_draws_the_smallest_coins(spark, sf):

@@ -325,6 +325,22 @@ SQL["kernel_cross"] = over(
     {r6(R.kernel('sp.x', 't.x'))} AS value FROM t CROSS JOIN sp""",
     SPACES,
 )
+SQL["kernel_top"] = over(
+    "events",
+    f"""SELECT id, rank::INTEGER AS rank, space_id, ord::INTEGER AS ord, landmark_id, {r6('k')} AS k FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(k, 9) DESC, space_id, ord) AS rank FROM (
+            SELECT n.row_id, n.id, space_id, ord, sp.id AS landmark_id, {R.kernel('sp.x', 'n.x', 'rbf')} AS k
+            FROM (SELECT row_number() OVER () AS row_id, id, x FROM t) n, sp))
+    WHERE rank <= {Q.NEAREST}""",
+    SPACES,
+)
+SQL["vec_normalize_packed"] = over(
+    "events",
+    f"""SELECT pack_id, pos * 4 + d - 1 AS pos, {r6('v')} AS value FROM (
+        SELECT pack_id, pos, unnest(y) AS v, generate_subscripts(y, 1) AS d FROM (
+        SELECT pack_id, pos, list_transform(x, lambda v: v / sqrt(list_inner_product(x, x))) AS y FROM packed))""",
+    _packed.replace(f"{Q.PACK_SIZE}.0", f"{Q.SMALL_PACK}.0"),
+)
 SQL["kernel_gram"] = over(
     "vectors",
     f"""SELECT a.space_id, a.ord AS i, b.ord AS j, {r6(R.kernel('a.x', 'b.x'))} AS k
@@ -448,6 +464,19 @@ SQL["spaces_append"] = _collection({0: 0, 1: 1, 2: 2})
 SQL["spaces_append_circular"] = _collection({0: 2, 1: 1})
 SQL["spaces_remove"] = _collection({0: 2, 1: 1})
 SQL["spaces_update_lambda"] = _collection({0: 0, 1: 1, 2: 2}, 0.5)
+def _totals(lam: float) -> str:
+    return over(
+        "events",
+        f"""SELECT {lam}::DOUBLE AS lambda, {r6('sum(l)', 5)} AS total_leverage FROM
+        (SELECT min(leverage) AS l FROM lev GROUP BY id)""",
+        R.space_ctes(),
+        R.dual_ctes(str(lam)),
+        R.cross_ctes(),
+        R.leverage_ctes(),
+    )
+
+
+SQL["spaces_update_lambda_dual"] = f"({_totals(0.5)}) UNION ALL ({_totals(R.LAMBDA)})"
 SQL["spaces_describe"] = over(
     "events",
     f"""SELECT space_id, count(*) OVER (PARTITION BY space_id) AS m, {R.LAMBDA}::DOUBLE AS lambda,

@@ -37,6 +37,7 @@ QUERIES: dict[str, Query] = {}
 
 #: parameters shared with the SQL
 PACK_SIZE = 5_000
+SMALL_PACK = 250
 SAMPLE_SHARE = 0.3
 TOP_K = 50
 SCORE_FACTOR = 0.8
@@ -46,6 +47,9 @@ SELECT_ROWS = 1_000
 SELECT_SPACES = 5
 SELECT_MISSES = 10
 REFINE_ROUNDS = 20
+NEAREST = 7
+#: landmarks of a block where a query cuts its few landmarks into several tiles
+SMALL_TILE = 5
 RBF_GAMMA = 0.02
 LEVELS = 6
 QUANTILE_ERROR = 1e-5
@@ -511,6 +515,22 @@ def kernel_cross(spark, sf):
     return exploded(S.kernel_cross(table, R.spaces(table)), "k_cross", "id")
 
 
+@query
+def kernel_top(spark, sf):
+    """The landmarks nearest to each row under the rbf kernel, out of blocks of them."""
+    table = R.events(spark, sf)
+    top = tiles.kernel_top(table, R.spaces(table), kernels.rbf(0.5), NEAREST, SMALL_TILE)
+    return top.withColumn("k", r6("k"))
+
+
+@query
+def vec_normalize_packed(spark, sf):
+    """A vector function over the vectors of a packed block."""
+    packs = packing.pack_vectors(R.events(spark, sf), SMALL_PACK)
+    packs = packs.select("pack_id", V.on_pack("x_pack", "cols", V.normalize).alias("y"))
+    return exploded(packs, "y", "pack_id")
+
+
 @query
 def kernel_gram(spark, sf):
     return tiles.kernel_gram(R.spaces(R.vectors(spark, sf))).withColumn("k", r6("k"))
@@ -528,10 +548,6 @@ def fit_subspace_pinv(spark, sf):
     return fitting.gram_inverse(models).withColumn("g_inv", r6("g_inv"))
 
 
-#: landmarks of a block where a query cuts its few landmarks into several tiles
-SMALL_TILE = 5
-
-
 @query
 def fit_subspace_tiled(spark, sf):
     """The same inverse from tiles: each subspace is four blocks."""
@@ -706,6 +722,22 @@ def spaces_update_lambda(spark, sf):
     return _collection(spark, sf, lambda sp: _filled(sp).update_lambda(0.5))
 
 
+@query
+def spaces_update_lambda_dual(spark, sf):
+    """Two other lambdas from one factorisation of each subspace."""
+    table = R.events(spark, sf)
+    sp = R.spaces(table)
+    built = SubspaceCollection.create(_sample(sp, 0), R.LAMBDA, capacity=3, form="eigen")
+    for space_id in (1, 2):
+        built = built.append(_sample(sp, space_id))
+    totals = [
+        built.update_lambda(2.0).update_lambda(lam).leverage_min(table).agg(F.sum("leverage").alias("total"))
+        .select(F.lit(lam).alias("lambda"), r6("total", 5).alias("total_leverage"))
+        for lam in (0.5, R.LAMBDA)
+    ]
+    return reduce(DataFrame.unionByName, totals)
+
+
 @query
 def spaces_describe(spark, sf):
     described = _filled(R.spaces(R.events(spark, sf))).describe()
