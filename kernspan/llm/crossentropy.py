@@ -28,6 +28,8 @@ CHUNK_BYTES, RANGE_PAIRS = 8_000_000, 500_000
 BYTES_PER_PAIR = 12
 #: chunks that rows of one doc_id are spread over
 ID_SALTS = 16
+#: words that are scored at once
+SLICE_WORDS = 100_000
 #: weight of the word model in a pair's probability, and of the uniform one in a word's
 PAIR_PRIOR, WORD_PRIOR = 4.0, 0.5
 
@@ -71,12 +73,22 @@ def losses(counts: list[np.ndarray], total: np.ndarray, vocabulary: float) -> np
 
 
 def _repeats(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """How often each key occurs in its document, place by place; keys are numbers below
-    that of places."""
-    _, where, n = np.unique(doc * len(key) + key, return_inverse=True, return_counts=True)
+    """How often each key occurs in its document, place by place."""
+    _, where, n = np.unique((doc << 32) + key, return_inverse=True, return_counts=True)
     return n[where]
 
 
+def _slices(sizes: np.ndarray):
+    """(first, last) documents and (first, last) words of parts of a chunk of about
+    ``SLICE_WORDS`` words; a document is in one part."""
+    ends = np.cumsum(sizes)
+    first, before = 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+        yield first, last, before, int(ends[last - 1])
+        first, before = last, int(ends[last - 1])
+
+
 # ----------------------------------------------------------------------------- tasks
 
 _BLOCKS = "kind int, range int, chunk int, keys binary, target binary, background binary"
@@ -89,27 +101,48 @@ def _targets(docs: pa.Table, said: pa.Table) -> list[bool]:
     return [i in chosen for i in docs["id_text"].to_pylist()]
 
 
-def _texts(docs: pa.Table, slots: Slots):
+def _texts(docs: pa.Table, slots: Slots) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words of each document, and the keys of each kind, document after document."""
     column = docs["text"]
+    sizes = np.empty(docs.num_rows, np.int64)
+    kinds: list[list[np.ndarray]] = [[], [], []]
     for i in range(docs.num_rows):
-        yield slots.of(column[i].as_py())
+        keys = slots.of(column[i].as_py())
+        sizes[i] = len(keys[0])
+        for kind, own in zip(kinds, keys):
+            kind.append(own)
+    out = []
+    for kind in kinds:
+        out.append(np.concatenate([np.empty(0, np.int64), *kind]).view(np.uint64))
+        kind.clear()
+    return sizes, out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the place of each key among them, in 32 bits."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], where
 
 
 def _counted(slots: Slots, range_bits: tuple[int, int, int]):
     """Of one chunk: its distinct keys and their counts, a sorted block for each range."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
-        good = _targets(docs, said)
-        found = list(_texts(docs, slots))
+        good = np.array(_targets(docs, said), bool)
+        sizes, kinds = _texts(docs, slots)
+        good = np.repeat(good, sizes)
         rows = []
-        for kind in range(3 if found else 0):
-            every = np.concatenate([f[kind] for f in found]).view(np.uint64)
-            keys, n = np.unique(every, return_counts=True)
-            target = np.zeros(len(keys), np.uint64)
-            some = [f[kind] for f, g in zip(found, good, strict=True) if g]
-            if some:
-                at, m = np.unique(np.concatenate(some).view(np.uint64), return_counts=True)
-                target[np.searchsorted(keys, at)] = m
+        for kind in range(3 if docs.num_rows else 0):
+            keys, where = _distinct(kinds[kind])
+            kinds[kind] = None  # a kind at a time: a chunk has a million keys of each
+            n = np.bincount(where, minlength=len(keys))
+            target = np.bincount(where[good], minlength=len(keys))
+            del where
             bits = min(range_bits[kind], slots.bits(kind))
             place = keys >> np.uint64(slots.bits(kind) - bits) if bits else np.zeros(len(keys), np.uint64)
             edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(keys)]
@@ -169,33 +202,39 @@ def _scored(slots: Slots):
     """Scores of one chunk's documents from the totals of its keys."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
-        good = _targets(docs, said)
-        found = list(_texts(docs, slots))
-        tables = []
-        kinds, places = said["kind"].to_pylist(), said["range"].to_pylist()
-        rows = sorted((k, r, i) for i, (k, r) in enumerate(zip(kinds, places, strict=True)) if k is not None)
+        good = np.array(_targets(docs, said), bool)
+        sizes, kinds = _texts(docs, slots)
+        named, places = said["kind"].to_pylist(), said["range"].to_pylist()
+        rows = sorted((k, r, i) for i, (k, r) in enumerate(zip(named, places, strict=True)) if k is not None)
         seen = [said["words"][i].as_py() for k, _, i in rows if k == 0]
         distinct, *totals = np.sum(seen, axis=0).tolist() if seen else [0.0, 0.0, 0.0]
         vocabulary = float(1 << slots.word_bits) if slots.word_bits < 64 else distinct
-        sizes = np.array([len(f[0]) for f in found], np.int64)
-        doc = np.repeat(np.arange(len(found)), sizes)
-        for kind in range(3 if len(doc) else 0):
-            every = np.concatenate([f[kind] for f in found]).view(np.uint64)
-            keys, where = np.unique(every, return_inverse=True)
+        tables = []
+        for kind in range(3 if sizes.any() else 0):
+            keys, where = _distinct(kinds[kind])
+            kinds[kind] = None
             own = [i for k, _, i in rows if k == kind]
             counts = [
-                np.concatenate([np.empty(0), *(_unplanes(said[name][i].as_py()) for i in own)])
+                np.concatenate([np.empty(0, np.uint64), *(_unplanes(said[name][i].as_py()) for i in own)])
                 for name in ("target", "background")
             ]
             if len(counts[0]) != len(keys) or len(counts[1]) != len(keys):
                 raise ValueError(f"{len(keys)} keys of a chunk, {len(counts[0])} totals")
-            tables.append(([c[where] for c in counts], _repeats(doc, where)))
-        means = []
-        # a text's own counts are taken off, as if the model had not seen it
-        for m, own in enumerate((np.array(good, bool), np.ones(len(found), bool)) if len(doc) else ()):
-            less = [c[m] - np.where(own[doc], again, 0) for c, again in tables]
-            loss = losses(less, (totals[m] - own * sizes)[doc], vocabulary)
-            means.append(np.bincount(doc, loss, len(found)) / np.maximum(sizes, 1))
+            tables.append((where, counts))
+        means = np.zeros((2, len(sizes)))
+        for first, last, a, b in _slices(sizes) if tables else ():
+            doc = np.repeat(np.arange(last - first), sizes[first:last])
+            parts = [(where[a:b], counts) for where, counts in tables]
+            again = [_repeats(doc, where) for where, _ in parts]
+            # a text's own counts are taken off, as if the model had not seen it
+            for m, own in enumerate((good, np.ones(len(sizes), bool))):
+                own = own[first:last]
+                less = [
+                    counts[m][where].astype(float) - np.where(own[doc], n, 0)
+                    for (where, counts), n in zip(parts, again)
+                ]
+                loss = losses(less, (totals[m] - own * sizes[first:last])[doc], vocabulary)
+                means[m, first:last] = np.bincount(doc, loss, last - first) / np.maximum(sizes[first:last], 1)
         out = []
         for i, n in enumerate(sizes.tolist()):
             a, b = (float(x[i]) for x in means) if n else (None, None)
