@@ -7,12 +7,14 @@ whatever the table size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kernspan.session import materialize
+#: dimension up to which moments become literals of the expression
+FOLDED_DIM = 64
 
 
 def vector_dim(df: DataFrame, x: str = "x") -> DataFrame:
@@ -81,7 +83,20 @@ def standardize(
     """
     if by not in ("variance", "std"):
         raise ValueError(f"by must be 'variance' or 'std', not {by!r}")
-    stats = materialize(vector_stats(df, x)) if stats is None else stats
+    who = F.concat(F.lit(" (id "), F.col("id").cast("string"), F.lit(")")) if "id" in df.columns else F.lit("")
+
+    def checked(scaled: Column, size: Column) -> Column:
+        message = F.concat(F.lit("vectors of unequal length: "), size, F.lit(" and "), F.size(x), who)
+        even = F.col(x).isNull() | (F.size(x) == size)
+        return F.when(even, scaled).otherwise(F.raise_error(message))
+
+    if stats is None:
+        row = vector_stats(df, x).first()
+        mean, var = list(row["mean"] or []), list(row["var"] or [])
+        if len(mean) <= FOLDED_DIM:
+            # two numbers a dimension, folded into an expression that Spark compiles
+            return df.withColumn(out or x, checked(_folded(F.col(x), mean, var, by), F.lit(len(mean))))
+        stats = df.sparkSession.createDataFrame([(mean, var)], "mean array<double>, var array<double>")
     scale = F.col("var") if by == "variance" else F.transform("var", F.sqrt)
     inverse = F.transform(
         scale, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), v))
@@ -90,13 +105,21 @@ def standardize(
     scaled = F.zip_with(
         F.col(x), F.col("_moments"), lambda v, m: (v - m["mean"]) * m["inverse"]
     )
-    who = F.concat(F.lit(" (id "), F.col("id").cast("string"), F.lit(")")) if "id" in df.columns else F.lit("")
-    message = F.concat(
-        F.lit("vectors of unequal length: "), F.size("_moments"), F.lit(" and "), F.size(x), who
-    )
-    even = F.col(x).isNull() | (F.size(x) == F.size("_moments"))
-    checked = F.when(even, scaled).otherwise(F.raise_error(message))
-    return df.withColumn("_moments", moments).withColumn(out or x, checked).drop("_moments")
+    whole = checked(scaled, F.size("_moments"))
+    return df.withColumn("_moments", moments).withColumn(out or x, whole).drop("_moments")
+
+
+def _folded(x: Column, mean: list, var: list, by: str) -> Column:
+    def scaled(place: int) -> Column:
+        center, spread = mean[place], var[place]
+        if spread is not None and by == "std":
+            spread = math.sqrt(spread)
+        inverse = None if spread is None else 0.0 if spread == 0 else 1.0 / spread
+        center, inverse = (F.lit(v).cast("double") for v in (center, inverse))
+        return (F.get(x, F.lit(place)) - center) * inverse
+
+    empty = F.array().cast("array<double>")
+    return F.when(x.isNotNull(), F.array(*map(scaled, range(len(mean)))) if mean else empty)
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,10 +131,14 @@ def _sized(drawn: DataFrame) -> tuple[DataFrame, int]:
     return sample, sample.count()
 
 
+def _shared(df: DataFrame, now: list[Space], upcoming: list[Space]) -> Broadcast:
+    """What the tasks of a reduced scan need; the caller destroys it after the scan."""
+    return df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
+
+
 def _reduced_scan(
     df: DataFrame,
-    now: list[Space],
-    upcoming: list[Space],
+    shared: Broadcast,
     kernel: Kernel,
     factor: float,
     capped: bool = False,
@@ -146,8 +151,8 @@ def _reduced_scan(
     that can be among the best of the table) and one row with its part of the
     ``total`` leverage under ``now``.
     """
-    shared = df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
-    widest = max(max(space.factor.shape) for space in [*now, *upcoming])
+    now, upcoming = shared.value
+    widest = max(max(space.factor.shape) for space in [*now, *(upcoming or [])])
     id_field = df.schema["id"]
     schema = T.StructType(
         [
@@ -241,9 +246,10 @@ def _total_and_draw(
         stage = hash_uniform("id", sampling.stage_seed(seed), next_round)
         need = F.when(stage < F.lit(beta), need * F.lit(beta)).otherwise(F.lit(float("inf")))
     rows = df.withColumn("coin", coin).withColumn("need", need)
-    scanned = _reduced_scan(
-        rows, now[0], upcoming[0], kernel, factor, capped, max_rows
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = _shared(rows, now[0], upcoming[0])
+    scanned = _reduced_scan(rows, shared, kernel, factor, capped, max_rows).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
         total = scanned.agg(F.sum("total")).first()[0] or 0.0
         order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
@@ -254,6 +260,7 @@ def _total_and_draw(
         sample, size = _sized(drawn)
     finally:
         scanned.unpersist()
+        shared.destroy()
     return total, sample, size
 
 
@@ -479,7 +486,9 @@ class _Moments:
             need = need / F.lit(widest) if widest > 0 else F.lit(float("inf"))
         rows = df.withColumn("coin", hash_uniform("id", seed, round_no)).withColumn("need", need)
         space = [Space(0, primal_factor(self.sums, self.lam), None, True)]
-        scanned = materialize(_reduced_scan(rows, space, space, self.kernel, factor))
+        shared = _shared(rows, space, space)
+        scanned = materialize(_reduced_scan(rows, shared, self.kernel, factor))
+        shared.destroy()
         total, scale = None, 1.0
         if delta is not None:
             total = (scanned.agg(F.sum("total")).first()[0] or 0.0) * factor

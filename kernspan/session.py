@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: rows a table may have at most to be broadcast as the build side of a join
-BROADCAST_MAX_ROWS = 1_000_000
+#: rows and bytes a table may have at most to be broadcast as the build side of a join
+BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES = 1_000_000, 64 * 1024 * 1024
 
 
 def configured_builder(app_name: str = "kernspan") -> SparkSession.Builder:
@@ -83,14 +85,30 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` is small enough.
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: text and binary by their length, lists by theirs."""
 
-    Above the bound the table is returned without a hint, so that Spark joins
+    def size(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
+        return F.lit(8)
+
+    return reduce(Column.__add__, map(size, df.schema.fields))
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` is small enough.
+
+    Above the bounds the table is returned without a hint, so that Spark joins
     by shuffle (and AQE splits skewed partitions).
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 _shipped: dict[str, str] = {}

@@ -195,6 +195,9 @@ def test_broadcast_only_below_its_bound(spark):
     plan = lambda d: d._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(session.broadcast_if_small(df, 100)).lower()
     assert "broadcast" not in plan(session.broadcast_if_small(df, 99)).lower()
+    wide = df.select(F.repeat(F.lit("x"), 1000).alias("text"), F.array("id", "id").alias("pair"))
+    assert "broadcast" in plan(session.broadcast_if_small(wide, 100)).lower()
+    assert "broadcast" not in plan(session.broadcast_if_small(wide, 100, 100_000)).lower()
 
 
 def test_checkpoints_go_to_the_session_folder(spark):
