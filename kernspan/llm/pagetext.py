@@ -12,8 +12,10 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -48,20 +50,29 @@ _BOILERPLATE = frozenset(
     "breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar pagination pager login "
     "signup search complementary contentinfo dialog alert paywall skip".split()
 )
+#: words that are a verdict on an article or main element too: what these are inside another one
+_NO_ARTICLE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion comment comments disqus replies related recommended".split())
+#: a class name that begins or ends so tells how a wrapper is laid out, not what it is
+_MODIFIERS = frozenset("has with without no is not show hide hides js supports".split())
+_SWITCHES = frozenset("on off enabled disabled open opened closed left right visible active result results".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: more than this share of a page's compared text in common: perhaps copies, so that a second page decides
 COPY_SHARE = 0.5
 
 
-def _is_boilerplate(attributes: str) -> bool:
+def _is_boilerplate(attributes: str, container: bool = False) -> bool:
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
     if _HIDDEN.search(attributes):
         return True
+    verdicts = _NO_ARTICLE if container else _BOILERPLATE
     for _, value in _NAMES.findall(attributes):
-        if not _BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-            return True
+        for name in value.strip("\"'").split():
+            words = _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+            state = len(words) > 1 and (words[0] in _MODIFIERS or words[-1] in _SWITCHES)
+            if not state and not verdicts.isdisjoint(words):
+                return True
     return False
 
 
@@ -109,7 +120,7 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
                 skip = ""  # and this tag counts
             elif name in _CONTAINERS and not closing and skip not in ("dialog", "aside"):
                 skip = ""
-                if _is_boilerplate(attributes):
+                if _is_boilerplate(attributes, container=True):
                     skip, depth = name, 1
                     continue
             elif name == skip:
@@ -130,7 +141,7 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
         if name in _VOID or name in ("html", "body"):
             continue
         outside_header = name == "header" and not opened
-        if name in _SKIPPED or outside_header or _is_boilerplate(attributes):
+        if name in _SKIPPED or outside_header or _is_boilerplate(attributes, name in _CONTAINERS):
             if not attributes.endswith("/"):
                 flush()
                 skip, depth = name, 1
@@ -143,11 +154,16 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
     return [(line, container is not None and kind in (container, "article")) for line, kind in out]
 
 
+#: matching pairs of lines up to which they are walked one by one
+MANY_PAIRS = 1_000_000
+
+
 def common_lines(own: list[int], other: list[int]) -> set[int]:
     """Indices of ``own`` on a longest common subsequence with ``other``.
 
-    Patience over the matching pairs, which is exact and takes time in their number
-    times its logarithm; equal ends are taken off first.
+    Equal ends are taken off first. Patience over the matching pairs takes time in their
+    number times its logarithm; where lines repeat so often that pairs are many, halving
+    the table by rows takes the product of both lengths and memory in their sum.
     """
     start = 0
     while start < min(len(own), len(other)) and own[start] == other[start]:
@@ -155,13 +171,21 @@ def common_lines(own: list[int], other: list[int]) -> set[int]:
     end = 0
     while end < min(len(own), len(other)) - start and own[-1 - end] == other[-1 - end]:
         end += 1
+    a, b = own[start : len(own) - end], other[start : len(other) - end]
+    often = Counter(b)
+    pairs = sum(n * often[line] for line, n in Counter(a).items())
+    inner = _patience(a, b) if pairs <= MANY_PAIRS else _halved(np.array(a), np.array(b))
+    return {*range(start), *range(len(own) - end, len(own)), *(start + i for i in inner)}
+
+
+def _patience(own: list[int], other: list[int]) -> Iterator[int]:
     places: dict[int, list[int]] = {}
-    for j in range(len(other) - end - 1, start - 1, -1):
+    for j in range(len(other) - 1, -1, -1):
         places.setdefault(other[j], []).append(j)
     tails: list[int] = []
     chains: list[tuple[int, tuple | None]] = []
-    for i in range(start, len(own) - end):
-        for j in places.get(own[i], ()):
+    for i, line in enumerate(own):
+        for j in places.get(line, ()):
             k = bisect_left(tails, j)
             link = (i, chains[k - 1] if k else None)
             if k == len(tails):
@@ -170,11 +194,35 @@ def common_lines(own: list[int], other: list[int]) -> set[int]:
             else:
                 tails[k], chains[k] = j, link
     chain = chains[-1] if chains else None
-    found = {*range(start), *range(len(own) - end, len(own))}
     while chain:
-        found.add(chain[0])
+        yield chain[0]
         chain = chain[1]
-    return found
+
+
+def _last_row(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``own`` with each prefix of ``other``."""
+    row = np.zeros(len(other) + 1, np.int32)
+    for line in own:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (other == line)))
+    return row
+
+
+def _halved(own: np.ndarray, other: np.ndarray) -> Iterator[int]:
+    """Indices of ``own``, by halves: ``other`` is cut where both halves have most in common."""
+    todo = [(0, len(own), 0, len(other))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if (other[c:d] == own[a]).any():
+                yield a
+            continue
+        middle = (a + b) // 2
+        before = _last_row(own[a:middle], other[c:d])
+        after = _last_row(own[middle:b][::-1], other[c:d][::-1])[::-1]
+        cut = c + int((before + after).argmax())
+        todo += [(a, middle, c, cut), (middle, b, cut, d)]
 
 
 # ----------------------------------------------------------------------------- tasks

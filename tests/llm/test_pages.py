@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from kernspan.llm import pagetext
@@ -59,6 +61,34 @@ def plain(lead: str, *body: str) -> str:
     return "<html><body>" + "".join(f"<p>{x}</p>" for x in (lead, *body, "All rights kept")) + "</body></html>"
 
 
+def test_many_equal_lines_are_aligned_in_little_memory(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(150):
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        walked = pagetext.common_lines(a, b)
+        with monkeypatch.context() as patch:
+            patch.setattr(pagetext, "MANY_PAIRS", -1)
+            halved = sorted(pagetext.common_lines(a, b))
+        assert len(halved) == len(walked)
+        rest = iter(b)
+        assert all(a[i] in rest for i in halved)
+    started = time.monotonic()
+    found = pagetext.common_lines([1, *[5] * 20_000, 2], [3, *[5] * 19_000, 4])
+    assert len(found) == 19_000 and time.monotonic() - started < 60
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='layout has-sidebar'", "div class='comments-off'", "article class='search-result'", "main class='with-sidebar'"],
+)
+def test_wrappers_named_after_what_stands_beside_them_keep_their_text(wrapper):
+    name = wrapper.split()[0]
+    page = f"<body><nav>Menu</nav><{wrapper}><p>The story.</p><div class='sidebar'>Aside</div></{name}></body>"
+    assert [line for line, _ in pagetext.page_lines(page)] == ["The story."]
+    comment = "<main><p>Story.</p><article class='comment'>Said.</article><div class='comments'>More.</div></main>"
+    assert [line for line, _ in pagetext.page_lines(comment)] == ["Story."]
+
+
 def test_shared_lines_go_where_there_is_no_container(spark):
     rows = [
         (1, "http://a.org/x/1", plain("Site A", "first text of its own", "and more of it")),
