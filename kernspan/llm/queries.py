@@ -49,11 +49,13 @@ def op2_quality_rules(spark, sf):
 
 @query
 def op3_substring_dedup(spark, sf):
+    """Every text without the words of 13-word windows that start in a document of smaller id."""
     return substrings.substring_dedup(table(spark, sf, "documents"))
 
 
 @query
 def op5_simhash_dedup(spark, sf):
+    """Fingerprint and component of every document, linked at two or fewer bits."""
     return simhash.simhash_components(table(spark, sf, "documents"))
 
 
@@ -92,22 +94,26 @@ def mixture_budget() -> Column:
 
 @query
 def op9_source_mixing(spark, sf):
+    """The token prefix that each document gives to the mixture, over up to two epochs."""
     docs = table(spark, sf, "documents")
     return mixing.mix(docs, source_domain(), target_weights(), mixture_budget(), max_epochs=2)
 
 
 @query
 def op10_cost_packing(spark, sf):
+    """Where each piece of every document lies in the packed sequences."""
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
 @query
 def op4_page_text(spark, sf):
+    """The main text of every page."""
     return pagetext.main_text(table(spark, sf, "pages"))
 
 
 @query
 def op7_inverted_multi_index(spark, sf):
+    """The 5 nearest vectors by cosine of every vector whose id 50 divides."""
     return multiindex.nearest(table(spark, sf, "embeddings"))
 
 
@@ -189,11 +195,13 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 
 @query
 def op6_tool_calls(spark, sf):
+    """The linked tool calls of every conversation, read as tool traffic."""
     return toolcalls.link_tool_calls(tool_messages(table(spark, sf, "conversations")), SCHEMAS)
 
 
 @query
 def op8_cross_entropy_difference(spark, sf):
+    """Losses of every document under models of the good documents and of all."""
     return crossentropy.score_against_good(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
