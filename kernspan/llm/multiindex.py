@@ -137,11 +137,12 @@ def _coded(quantiser: Quantiser):
             x = np.ascontiguousarray(x.reshape(batch.num_rows, -1))
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("row"),
                     batch.column("vec_id"),
                     pa.array(quantiser.cell(_unit(x)).astype(np.int64)),
                     pa.array([row.tobytes() for row in x], pa.binary()),
                 ],
-                ["vec_id", "cell", "x"],
+                ["row", "vec_id", "cell", "x"],
             )
 
     return run
@@ -157,8 +158,8 @@ def _placed(base: np.ndarray, splits: np.ndarray, blocks: int):
             shard = pa.array(base[cell] + salt % splits[cell])
             for block in range(blocks):
                 yield pa.RecordBatch.from_arrays(
-                    [shard, pa.array(np.full(len(cell), block)), *[batch.column(c) for c in ("vec_id", "cell", "x")]],
-                    ["shard", "block", "vec_id", "cell", "x"],
+                    [shard, pa.array(np.full(len(cell), block)), *[batch.column(c) for c in ("row", "vec_id", "cell", "x")]],
+                    ["shard", "block", "row", "vec_id", "cell", "x"],
                 )
 
     return run
@@ -173,7 +174,7 @@ def _asked(quantiser: Quantiser, held: np.ndarray, base: np.ndarray, splits: np.
                 continue
             x = _matrix(batch.column("x"))
             first, second = quantiser.distances(_unit(x))
-            ids, block, raw = (batch.column(c).to_pylist() for c in ("vec_id", "block", "x"))
+            ids, rows, block, raw = (batch.column(c).to_pylist() for c in ("vec_id", "row", "block", "x"))
             for i in range(len(ids)):
                 cells = np.array(walk_cells(first[i], second[i], held, enough), np.int64)
                 bits = np.zeros(quantiser.cells, bool)
@@ -186,28 +187,30 @@ def _asked(quantiser: Quantiser, held: np.ndarray, base: np.ndarray, splits: np.
                     [
                         pa.array(sorted(shards), pa.int64()),
                         pa.array([block[i]] * n, pa.int64()),
+                        pa.array([rows[i]] * n, pa.int64()),
                         pa.array([ids[i]] * n, pa.int64()),
                         pa.array([raw[i]] * n, pa.binary()),
                         pa.array([np.packbits(bits).tobytes()] * n, pa.binary()),
                     ],
-                    ["shard", "block", "query_id", "q", "cells"],
+                    ["shard", "block", "asker", "query_id", "q", "cells"],
                 )
 
     return run
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "asker long, query_id long, vec_id long, score double"
 
 
 def _scored(k: int):
     """The ``k`` nearest of one shard for each query that visits it."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"asker": [], "query_id": [], "vec_id": [], "score": []}
         if vectors.num_rows and queries.num_rows:
             ids = vectors["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, cell = ids[order], vectors["cell"].to_numpy()[order]
+            rows, askers = vectors["row"].to_numpy()[order], queries["asker"].to_numpy()
             x = _matrix(vectors["x"].combine_chunks())[order]
             norm = np.sqrt((x * x).sum(1))
             asked, raw = queries["query_id"].to_numpy(), queries["cells"].to_pylist()
@@ -216,7 +219,7 @@ def _scored(k: int):
                 part = slice(at, at + 256)
                 bits = np.unpackbits(np.frombuffer(b"".join(raw[part]), np.uint8).reshape(len(asked[part]), -1), axis=1)
                 rough = _unit(q[part]) @ (x / norm[:, None]).T
-                open_ = bits[:, cell].astype(bool) & (ids[None, :] != asked[part][:, None])
+                open_ = bits[:, cell].astype(bool) & (rows[None, :] != askers[part][:, None])
                 rough = np.where(open_, rough, -np.inf)
                 kth = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
                 for i in range(len(rough)):
@@ -225,11 +228,13 @@ def _scored(k: int):
                     own = q[at + i]
                     score = (x[near] * own).sum(1) / (norm[near] * np.sqrt((own * own).sum()))
                     best = np.lexsort((ids[near], -score))[:k]
+                    out["asker"] += [int(askers[at + i])] * len(best)
                     out["query_id"] += [int(asked[at + i])] * len(best)
                     out["vec_id"] += ids[near[best]].tolist()
                     out["score"] += score[best].tolist()
         return pa.table(
             {
+                "asker": pa.array(out["asker"], pa.int64()),
                 "query_id": pa.array(out["query_id"], pa.int64()),
                 "vec_id": pa.array(out["vec_id"], pa.int64()),
                 "score": pa.array(out["score"], pa.float64()),
@@ -243,13 +248,16 @@ def _scored(k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and x (doubles) of the rows that take part."""
+    """row (a number of its own), vec_id and x (doubles) of the rows that take part.
+
+    The numbers are those of one run: write the table before it is used twice."""
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
-    rows = vectors.where(
+    return vectors.where(
         F.col("vec_id").isNotNull() & finite & F.exists(x, lambda v: v != 0)
-    ).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    ).select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")
+    )
 
 
 def nearest(
@@ -267,7 +275,8 @@ def nearest(
     rows but the query's own. The score is the cosine of the original vectors in double
     precision; ties go to the smaller vec_id. Null and zero vectors, vectors with null
     or non-finite components, rows without vec_id and vectors of another length than
-    most take no part. Rows that share a vec_id count once, with the smallest vector.
+    most take no part. Rows that share a vec_id are rows of their own, as queries and as
+    candidates.
     With fewer than ``min_candidates`` vectors every one is scored. An empty table gives
     no rows. The centroids are fitted on a bounded sample; every vector is indexed.
     """
@@ -277,12 +286,12 @@ def nearest(
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("x") == sizes["d"])
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).select("x").collect()
+    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "x").limit(SAMPLE).select("x").collect()
     if sizes["d"] == 1:  # a second half of zeros does not change a cosine
-        rows = rows.select("vec_id", F.concat("x", F.array(F.lit(0.0))).alias("x"))
+        rows = rows.select("row", "vec_id", F.concat("x", F.array(F.lit(0.0))).alias("x"))
         drawn = [([*r["x"], 0.0],) for r in drawn]
     quantiser = fit_quantiser(np.array([r[0] for r in drawn]), centroids)
-    index = stored(rows.mapInArrow(_coded(quantiser), "vec_id long, cell long, x binary"), "index")
+    index = stored(rows.mapInArrow(_coded(quantiser), "row long, vec_id long, cell long, x binary"), "index")
     held = np.zeros(quantiser.cells, np.int64)
     for r in index.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
@@ -291,21 +300,21 @@ def nearest(
     query = index.where(F.col("vec_id") % query_every == 0)
     blocks = max(1, -(-query.count() // QUERY_BLOCK))
     asked = query.select(
-        "vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("block")
+        "row", "vec_id", "x", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long").alias("block")
     ).mapInArrow(
         _asked(quantiser, held, base, splits, enough),
-        "shard long, block long, query_id long, q binary, cells binary",
+        "shard long, block long, asker long, query_id long, q binary, cells binary",
     )
-    placed = index.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)).cast("long"))
+    placed = index.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 20)).cast("long"))
     placed = placed.mapInArrow(
-        _placed(base, splits, blocks), "shard long, block long, vec_id long, cell long, x binary"
+        _placed(base, splits, blocks), "shard long, block long, row long, vec_id long, cell long, x binary"
     )
     found = (
         placed.groupBy("shard", "block")
         .cogroup(asked.groupBy("shard", "block"))
         .applyInArrow(_scored(k), _FOUND)
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

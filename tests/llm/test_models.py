@@ -22,18 +22,18 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def exact(points: dict[int, np.ndarray], every: int, k: int):
-    ids = sorted(points)
-    x = np.array([points[i] for i in ids], float)
+def exact(points: dict[int, np.ndarray], every: int, k: int, more: tuple = ()):
+    """Of each query id the nearest rows; ``more`` are rows (id, vector) beside the points."""
+    rows = sorted([*points.items(), *more], key=lambda row: row[0])
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], float)
     norm = np.sqrt((x * x).sum(1))
     out = {}
-    for q in ids:
+    for at, q in enumerate(ids):
         if q % every == 0:
-            own = points[q].astype(float)
-            score = (x * own).sum(1) / (norm * np.sqrt((own * own).sum()))
-            order = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-score[i], ids[i]))[:k]
-            out[q] = [(ids[i], score[i]) for i in order]
-    return out
+            score = (x * x[at]).sum(1) / (norm * np.sqrt((x[at] * x[at]).sum()))
+            order = sorted((i for i in range(len(ids)) if i != at), key=lambda i: (-score[i], ids[i]))[:k]
+            out.setdefault(q, []).append([(ids[i], score[i]) for i in order])
+    return {q: found[0] if len(found) == 1 else found for q, found in out.items()}
 
 
 def found(df):
@@ -53,12 +53,26 @@ def test_small_tables_are_searched_whole(spark):
     rows += [(500, None, 0), (550, [0.0] * 7, 0), (600, [1.0] * 6 + [None], 0), (650, [float("nan")] * 7, 0)]
     rows += [(700, [float("inf")] + [1.0] * 6, 0), (750, [1.0, 2.0], 0), (None, [1.0] * 7, 0), rows[3]]
     docs = vectors(spark, rows).withColumn("cell", F.lit("taken")).withColumn("x", F.lit("taken"))
-    got, want = found(multiindex.nearest(docs)), exact(points, 50, 5)
+    got, want = found(multiindex.nearest(docs)), exact(points, 50, 5, ((3, points[3]),))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     for q, v in got.items():
         assert np.allclose([s for _, s in v], [s for _, s in want[q]], rtol=0, atol=1e-15)
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    points = {i: rng.normal(size=4).astype(np.float32) for i in range(60)}
+    more = [(50, rng.normal(size=4).astype(np.float32)), (7, points[50]), (7, points[0])]
+    rows = [(i, v.tolist(), 0) for i, v in [*points.items(), *more]]
+    want = exact(points, 50, 5, tuple(more))
+    found_rows = multiindex.nearest(vectors(spark, rows)).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in found_rows if r["query_id"] == 50) == sorted(
+        (rank, i) for nearest in want[50] for rank, (i, _) in enumerate(nearest, 1)
+    )
+    assert [r["vec_id"] for r in sorted(found_rows, key=lambda r: r["rank"]) if r["query_id"] == 0] == [i for i, _ in want[0]]
+    assert len(found_rows) == 15
+
+
 def test_recall_over_several_shards_and_split_cells(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(30, 16))
