@@ -86,13 +86,24 @@ def reciprocal(x: Vector) -> Column:
 
 
 def split_array(flat: Vector, cols: Vector) -> Column:
-    """Cut a flat array into ``cols`` consecutive slices of equal length."""
+    """Cut a flat array into ``cols`` consecutive slices of equal length.
+
+    Elements are fetched by place: ``slice`` would walk the whole array for every
+    vector, and a derived ``flat`` would be derived for every vector too.
+    """
     flat, cols = _col(flat), _col(cols).cast("int")
-    width = (F.size(flat) / cols).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), cols - 1),
-        lambda i: F.slice(flat, i * width + 1, width),
-    )
+
+    def cut(whole: Column, width: Column) -> Column:
+        def vector(i: Column) -> Column:
+            places = F.sequence(i * width, (i + 1) * width - 1)
+            # a sequence of no places would count down
+            return F.when(width > 0, F.transform(places, lambda j: F.get(whole, j))).otherwise(
+                F.slice(whole, 1, width)
+            )
+
+        return F.transform(F.sequence(F.lit(0), cols - 1), vector)
+
+    return let(flat, lambda whole: let((F.size(whole) / cols).cast("int"), lambda width: cut(whole, width)))
 
 
 def on_pack(flat: Vector, cols: Vector, fn: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from kernspan import session
 from kernspan.functions import images
 from kernspan.functions import vectors as V
 from kernspan.functions.uniform import any_uniform_below, hash_uniform
-from kernspan.operators import classify, packing, ridge, stats
+from kernspan.operators import classify, packing, ridge, score, stats
 from kernspan.operators import fit as fitting
 from kernspan.sources import assign_row_id, scan_labeled_csv, scan_parquet_vectors
 from tests import brute
@@ -206,3 +208,35 @@ def test_checkpoints_go_to_the_session_folder(spark):
     assert session.scratch_path(spark, "t").startswith(folder)
     df = session.materialize(spark.range(10))
     assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _packed_norms(spark, n):
+    """One pack of n vectors of 4, derived as ``pack_vectors`` derives it."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("id") + i).cast("double"))
+    return score.kernel_norms_packed(packing.pack_vectors(spark.range(n).select("id", x.alias("x")), n))
+
+
+def _expected_norms(n):
+    return [float(sum((i + d) ** 2 for d in range(4))) for i in range(n)]
+
+
+def test_large_pack_is_cut_in_linear_time(spark):
+    n = 30_000
+    start = time.perf_counter()
+    rows = _packed_norms(spark, n).select(F.posexplode("k_norms").alias("pos", "value")).collect()
+    assert time.perf_counter() - start < 20
+    assert [tuple(r) for r in rows] == list(enumerate(_expected_norms(n)))
+
+
+def test_scores_of_a_large_pack_explode_in_linear_time(spark):
+    n = 30_000
+    start = time.perf_counter()
+    scores = packing.explode_scores(_packed_norms(spark, n), "k_norms").collect()
+    assert time.perf_counter() - start < 20
+    assert [r["score"] for r in scores] == _expected_norms(n)
+
+
+def test_packs_of_empty_and_null_arrays(spark):
+    packs = spark.createDataFrame([([], 2), (None, 2), ([1.0, None, 3.0, 4.0], 2)], "p array<double>, n int")
+    cut = [r["c"] for r in packs.select(V.split_array("p", "n").alias("c")).collect()]
+    assert cut[0] == [[], []] and cut[2] == [[1.0, None], [3.0, 4.0]]
