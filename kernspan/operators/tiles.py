@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -363,6 +364,32 @@ class TiledModel:
     floor: float | None
 
 
+@dataclass(frozen=True)
+class DeferredModel:
+    """The model of one subspace, ``landmarks``, whose tiles are fitted when they are first
+    asked for. ``state`` is what the plan that chose the landmarks can go on from."""
+
+    landmarks: DataFrame
+    kernel: Kernel
+    lam: float
+    state: object
+    n_spaces: int = 1
+
+    @cached_property
+    def fitted(self) -> TiledModel:
+        return fit_tiled(self.landmarks, self.lam, self.kernel)
+
+    @cached_property
+    def n_landmarks(self) -> int:
+        return self.landmarks.count()
+
+    blocks = property(lambda self: self.fitted.blocks)
+    factor = property(lambda self: self.fitted.factor)
+    inverse = property(lambda self: self.fitted.inverse)
+    n_blocks = property(lambda self: self.fitted.n_blocks)
+    floor = property(lambda self: self.fitted.floor)
+
+
 def _inverse(rows: DataFrame, tasks: int, old: DataFrame | None = None) -> DataFrame:
     """Tiles (j <= i) of ``old`` plus W'W of the given rows of W."""
     i, j = F.col("i"), F.col("j")
@@ -412,10 +439,11 @@ def _largest(rows: Iterator[dict]) -> Iterator[dict]:
         yield {"most": float(np.abs(np.diagonal(_matrix(row["data"], row["rows"]))).max())}
 
 
-def append_landmarks(model: TiledModel, spaces: DataFrame, tile: int = TILE) -> TiledModel:
+def append_landmarks(model: TiledModel | DeferredModel, spaces: DataFrame, tile: int = TILE) -> TiledModel:
     """The model of a single subspace with more landmarks; its root is kept and extended."""
     if model.n_spaces != 1:
         raise ValueError("landmarks can be appended to a model of one subspace")
+    model = model.fitted if isinstance(model, DeferredModel) else model
     added = landmark_blocks(spaces, tile=tile)
     n_added, n_landmarks = added.agg(F.max("nb"), F.sum("n")).first()
     if not n_added:

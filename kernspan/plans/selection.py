@@ -46,7 +46,9 @@ from kernspan.operators.score import (
     rows_of,
 )
 from kernspan.operators.spaces import SubspaceCollection
+from kernspan.operators.spans import SpannedKernel, spanned
 from kernspan.operators.tiles import (
+    DeferredModel,
     TiledModel,
     append_landmarks,
     block_leverages,
@@ -83,7 +85,7 @@ class Selection:
     """The kept subspaces and one history row per round."""
 
     spaces: DataFrame
-    models: DataFrame | TiledModel
+    models: DataFrame | TiledModel | DeferredModel
     lam: float
     history: list[tuple]
 
@@ -601,10 +603,24 @@ def _beyond(leveled: DataFrame, depth: int) -> DataFrame:
     return leveled.filter((F.col("part") == STORED_LEVELS) & (F.col("level") > depth))
 
 
-def _growing(spaces: DataFrame, lam: float, kernel: Kernel, model: TiledModel | None = None) -> _Moments | _Tiles:
-    """The landmark set in its cheapest form: feature-sized moments where there are any."""
+def _growing(
+    table: DataFrame,
+    spaces: DataFrame,
+    lam: float,
+    kernel: Kernel,
+    model: TiledModel | DeferredModel | None = None,
+) -> _Moments | _Tiles:
+    """The landmark set in its cheapest form: feature-sized moments where there are any, or
+    where the rows of the table span few dimensions under the kernel."""
     if kernel.explicit and (dim := spaces.select(F.size("x")).first()[0]) <= MAX_PRIMAL_DIM:
         return _Moments.of(spaces, lam, kernel, dim)
+    known = model.state if isinstance(model, DeferredModel) else None
+    if (model is None or known is not None) and not kernel.explicit:
+        features = spanned(table, spaces, kernel, known and known.kernel)
+        if features is not None:
+            if known is not None and features is known.kernel:
+                return known
+            return _Moments.of(spaces, lam, features, len(features.pivots))
     return _Tiles(model or fit_tiled(spaces, lam, kernel))
 
 
@@ -612,7 +628,12 @@ def _selected(
     state: _Moments | _Tiles, parts: list[DataFrame], lam: float, kernel: Kernel, history: list[tuple]
 ) -> Selection:
     spaces = materialize(reduce(landmark_union, parts).repartition("id"))
-    models = state.model if isinstance(state, _Tiles) else fit(spaces, lam, kernel, "primal")
+    if isinstance(state, _Tiles):
+        models = state.model
+    elif isinstance(state.kernel, SpannedKernel):
+        models = DeferredModel(spaces, kernel, lam, state)
+    else:
+        models = fit(spaces, lam, kernel, "primal")
     return Selection(spaces, models, lam, history)
 
 
@@ -628,8 +649,10 @@ def nystrom_halving(
 
     The ``ord`` of a landmark is the round that added it. The table is read once, into a
     copy by level; a round reads the folders of its level, about two copies in all. A
-    kernel without a feature map is scored against a tiled model, with which the number
-    of landmarks has no bound; ``models`` of the result is then a ``TiledModel``.
+    kernel without a feature map is scored by the features of its span where the rows have
+    one, which takes some more scans of the copy, else against a tiled model; the number of
+    landmarks has no bound. ``models`` of the result is a ``TiledModel``, or one that is
+    fitted when it is first asked for.
     """
     kernel = kernel or cosine()
     leveled = _leveled(df, seed)
@@ -639,7 +662,7 @@ def nystrom_halving(
     size = spaces.count()
     if not size:
         raise ValueError("the first sample is empty")
-    state = _growing(spaces, lam, kernel)
+    state = _growing(leveled, spaces, lam, kernel)
     parts, history, most = [spaces], [(0, lam, size, 1, None, True)], None
     if isinstance(state, _Tiles):
         table = row_blocks(leveled.drop("part").withColumnRenamed("level", "part"), "part")
@@ -653,6 +676,9 @@ def nystrom_halving(
             subset = table.filter(F.col("part") > depth)
         else:
             subset = _beyond(table, depth).select("id", "x")
+            if isinstance(state.kernel, SpannedKernel):
+                # the features cost far more than dealing the rows out evenly
+                subset = subset.repartition(4 * subset.sparkSession.sparkContext.defaultParallelism)
         state, added, total, size = state.grow(subset, seed, round_no, level_delta, most)
         parts += [] if added is None else [added]
         history.append((round_no, lam, size, 1, total, True))
@@ -667,16 +693,16 @@ def nystrom_refine(
     lam: float = 0.01,
     rounds: int = 20,
     first_round: int = 1000,
-    model: TiledModel | None = None,
+    model: TiledModel | DeferredModel | None = None,
 ) -> Selection:
     """More rounds over the whole table, accepting when u < scaled leverage.
 
-    ``model`` is a tiled model of ``spaces`` to go on from, if there is one.
+    ``model`` is the model of ``spaces`` that a selection has given, to go on from.
     """
     kernel = kernel or cosine()
-    state = _growing(spaces, lam, kernel, model)
     parts, history = [spaces], []
     with _input(df, None) as (rows, _):
+        state = _growing(rows, spaces, lam, kernel, model)
         table = row_blocks(rows) if isinstance(state, _Tiles) else rows
         for round_no in range(first_round, first_round + rounds):
             state, added, total, size = state.grow(table, seed, round_no)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kernspan.functions import kernels
-from kernspan.operators import classify, tiles
+from kernspan.operators import classify, spans, tiles
 from kernspan.plans import selection
 from tests import brute
 from tests.test_selection import halving_brute
@@ -135,6 +135,43 @@ def test_a_hot_label_is_many_blocks(spark, data, monkeypatch):
 
 
 def test_halving_and_refinement_under_rbf_match_brute_force(spark, monkeypatch):
+    _halving_and_refinement(spark, monkeypatch)
+
+
+def test_halving_and_refinement_without_a_span(spark, monkeypatch):
+    monkeypatch.setattr(selection, "spanned", lambda *a, **o: None)
+    _halving_and_refinement(spark, monkeypatch)
+
+
+def test_rows_of_few_dimensions_need_no_tiles(spark, monkeypatch):
+    """Rounds cost the dimension of the span, not the landmarks: no tile is made for them."""
+    def tiled(*a, **o):
+        raise AssertionError("tiles of landmark size")
+
+    for name in ("fit_tiled", "append_landmarks", "block_leverages"):
+        monkeypatch.setattr(selection, name, tiled)
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    x[7] *= 40
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    first = selection.nystrom_halving(table(spark, x), kernels.poly(2, 1.0), seed=2)
+    assert len(first.models.state.kernel.pivots) == 9
+    refined = selection.nystrom_refine(
+        table(spark, x), first.spaces, kernels.poly(2, 1.0), seed=2, rounds=1, model=first.models
+    )
+    assert refined.spaces.count() == first.spaces.count() + refined.history[0][2]
+
+
+def test_span_is_a_feature_map(spark):
+    x = np.random.default_rng(7).normal(size=(3000, 3))
+    x[2500:2503] *= 8
+    df, kernel = table(spark, [*x, None]), kernels.rbf(0.05)
+    span = spans.spanned(df, df.limit(100).where("x is not null"), kernel)
+    features = span.features(x)
+    assert np.abs(features @ features.T - kernel.block(x, x)).max() < 1e-9
+    assert spans.spanned(df, df.limit(100).where("x is not null"), kernel, span) is span
+
+
+def _halving_and_refinement(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(160, 2))
     for name in ("fit_tiled", "append_landmarks"):
