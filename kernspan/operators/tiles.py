@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kernspan.functions.kernels import Kernel, linear
 from kernspan.operators.score import rows_of, with_nulls
-from kernspan.session import written
+from kernspan.session import broadcast_if_small, written
 
 #: landmarks of a block, at most; a tile then takes 8 MB
 TILE = 1024
@@ -716,8 +716,10 @@ def kernel_top(
     landmark_id, k`` with ranks from 1.
 
     Row blocks meet landmark blocks in a grid, each cell keeps k values a row, and those
-    are merged by row block: neither a row nor a task ever has all landmarks. Values that
-    agree to nine decimals are ranked by (space_id, ord). Rows without a vector have none.
+    are merged by row block: neither a row nor a task ever has all landmarks. Small blocks
+    share a cell up to ``TILE`` landmarks, so that a row is sent once for each so many and not
+    once a block. Values that agree to nine decimals are ranked by (space_id, ord). Rows
+    without a vector have none.
     """
     kernel = kernel or linear()
     landmarks, blocks = landmark_blocks(spaces, tile=tile), row_blocks(df.select("id", "x"))
@@ -727,36 +729,53 @@ def kernel_top(
     offsets = sizes.select("space_id", F.coalesce(F.sum("nb").over(before), F.lit(0)).alias("offset"))
     landmarks = landmarks.join(offsets, "space_id").withColumn("plate", F.col("offset") + F.col("b"))
     n_plates = int(sizes.agg(F.sum("nb")).first()[0] or 0)
+    band_plates = max(1, TILE // tile)
+    n_bands = max(1, -(-n_plates // band_plates))
     groups = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS))
-    plates = landmarks.select("plate", F.col("n").alias("m"), F.col("x").alias("landmarks"), _between(0, groups - 1).alias("r"))
-    rows = blocks.select(
-        "block", "xs", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("r"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_plates - 1, 0)).cast("long"))).alias("plate"),
+    plates = landmarks.select(
+        F.floor(F.col("plate") / band_plates).cast("int").alias("band"),
+        "plate", F.col("n").alias("m"), F.col("x").alias("landmarks"), _between(0, groups - 1).alias("r"),
     )
+    rows = blocks.select(
+        "block", "xs", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("r"), _between(0, n_bands - 1).alias("band")
+    )
     both = plates.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    both = both.repartition(_tasks(n_plates * groups), "plate", "r").sortWithinPartitions("plate", "r", "side")
+    both = both.repartition(_tasks(n_bands * groups), "band", "r").sortWithinPartitions("band", "r", "side", "plate")
     schema = T.StructType(
-        _fields(("block", T.LongType()), ("plate", T.LongType()), ("kept", T.IntegerType()), ("values", T.BinaryType()), ("places", T.BinaryType()))
-    )
+        _fields(
+            ("block", T.LongType()), ("band", T.IntegerType()), ("kept", T.IntegerType()),
+            ("values", T.BinaryType()), ("plates", T.BinaryType()), ("places", T.BinaryType()),
+        )
+    )
     arrow = to_arrow_schema(schema)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        cell, parts, held = None, [], None
         for batch in batches:
             for number, side in enumerate(batch["side"].to_pylist()):
+                band = batch["band"][number].as_py()
                 if side == 0:
-                    held = _matrix(batch["landmarks"][number].as_py(), batch["m"][number].as_py())
+                    if (band, batch["r"][number].as_py()) != cell:
+                        cell, parts = (band, batch["r"][number].as_py()), []
+                    part = _matrix(batch["landmarks"][number].as_py(), batch["m"][number].as_py())
+                    parts.append((batch["plate"][number].as_py(), part))
+                    held = None
                     continue
+                if held is None:
+                    held = np.vstack([part for _, part in parts])
+                    plate_of = np.repeat([plate for plate, _ in parts], [len(part) for _, part in parts])
+                    place_of = np.concatenate([np.arange(len(part), dtype=np.int32) for _, part in parts])
                 y, _ = rows_of(batch["xs"][number].values)
                 kept = min(k, len(held))
-                values, places = np.empty((len(y), kept)), np.empty((len(y), kept), np.int32)
+                values, spots = np.empty((len(y), kept)), np.empty((len(y), kept), np.int32)
                 for start in range(0, len(y), STEP_ROWS):
                     some = slice(start, start + STEP_ROWS)
                     found = kernel.block(y[some], held)
                     order = np.argsort(-np.round(found, 9), axis=1, kind="stable")[:, :kept]
-                    values[some], places[some] = np.take_along_axis(found, order, 1), order
-                row = {"block": batch["block"][number].as_py(), "plate": batch["plate"][number].as_py(), "kept": kept}
-                yield pa.RecordBatch.from_pylist([{**row, "values": values.tobytes(), "places": places.tobytes()}], schema=arrow)
+                    values[some], spots[some] = np.take_along_axis(found, order, 1), order
+                row = {"block": batch["block"][number].as_py(), "band": band, "kept": kept, "values": values.tobytes()}
+                row |= {"plates": plate_of[spots].astype(np.int64).tobytes(), "places": place_of[spots].tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     ident = blocks.schema["ids"].dataType.elementType
     long = T.LongType()
@@ -767,7 +786,7 @@ def kernel_top(
     parts = both.mapInArrow(cells, schema)
     names = blocks.select("block", "ids", "xs")
     joined = parts.unionByName(names, allowMissingColumns=True).repartition(_tasks(8 * groups), "block")
-    joined = joined.sortWithinPartitions("block", F.col("plate").asc_nulls_first())
+    joined = joined.sortWithinPartitions("block", F.col("band").asc_nulls_first())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = values = plate = places = None
@@ -784,7 +803,7 @@ def kernel_top(
 
         for batch in batches:
             for number in range(batch.num_rows):
-                if not batch["plate"][number].is_valid:
+                if not batch["band"][number].is_valid:
                     yield from done()
                     ids, xs = batch["ids"][number].values, batch["xs"][number].values
                     ids, values = ids.filter(xs.is_valid()), None
@@ -792,7 +811,7 @@ def kernel_top(
                 kept = batch["kept"][number].as_py()
                 more = np.frombuffer(batch["values"][number].as_py()).reshape(len(ids), kept)
                 spots = np.frombuffer(batch["places"][number].as_py(), np.int32).reshape(len(ids), kept)
-                source = np.full(spots.shape, batch["plate"][number].as_py())
+                source = np.frombuffer(batch["plates"][number].as_py(), np.int64).reshape(len(ids), kept)
                 if values is None:
                     values, plate, places = more, source, spots
                     continue
@@ -804,4 +823,4 @@ def kernel_top(
     top = joined.mapInArrow(merge, merged_schema)
     known = landmarks.select("plate", "space_id", F.posexplode(F.arrays_zip("ords", "ids")).alias("place", "mark"))
     known = known.select("plate", "place", "space_id", F.col("mark.ords").alias("ord"), F.col("mark.ids").alias("landmark_id"))
-    return top.join(known, ["plate", "place"]).select("id", "rank", "space_id", "ord", "landmark_id", "k")
+    return top.join(broadcast_if_small(known), ["plate", "place"]).select("id", "rank", "space_id", "ord", "landmark_id", "k")

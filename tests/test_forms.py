@@ -35,6 +35,30 @@ def test_nearest_landmarks_with_ties_and_null_vectors(spark):
     assert tiles.kernel_top(table(spark, y).limit(0), sp).collect() == []
 
 
+def test_a_row_meets_small_landmark_blocks_in_one_cell(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(40, 2)), rng.normal(size=(30, 2))
+    space = np.array([0] * 12 + [1] * 28)
+    calls = tmp_path / "calls"
+
+    def counted(a, b):
+        with open(calls, "a") as file:
+            file.write(f"{len(a)}\n")
+        return a @ b.T
+
+    def found(most):
+        monkeypatch.setattr(tiles, "TILE", most)
+        calls.write_text("")
+        top = tiles.kernel_top(table(spark, y), landmarks(spark, x, space=space), kernels.custom(counted), 6, 5)
+        rows = sorted((r["id"], r["rank"], r["space_id"], r["ord"], r["landmark_id"], round(r["k"], 12)) for r in top.collect())
+        return rows, sum(map(int, calls.read_text().split()))
+
+    # nine blocks of landmarks: in one cell, in cells of two blocks, in one cell each
+    whole, by_two, by_one = found(1024), found(10), found(5)
+    assert whole[0] == by_two[0] == by_one[0] and len(whole[0]) == 30 * 6
+    assert (whole[1], by_two[1], by_one[1]) == (30, 30 * 5, 30 * 9)
+
+
 def test_one_factorisation_serves_every_lambda(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x, y, reg = rng.normal(size=(30, 3)), rng.normal(size=(40, 3)), rng.uniform(0.1, 1, 30)
