@@ -37,6 +37,14 @@ def hash_uniform(
     return word.cast("bigint") / F.lit(4294967296.0)
 
 
+def uniform_below(id_col: Column | str, seed: int | str, round_no: int, share: float) -> Column:
+    """Whether ``hash_uniform`` is below ``share``, compared as text, without conversion."""
+    limit = max(0, math.ceil(share * 4294967296))
+    if limit > 0xFFFFFFFF:
+        return (F.col(id_col) if isinstance(id_col, str) else id_col).isNotNull()
+    return _word(_digest(id_col, seed, round_no), 0) < F.lit(f"{limit:08x}")
+
+
 def any_uniform_below(
     id_col: Column | str, seed: int | str, round_no: int, parts: int, share: float
 ) -> Column:

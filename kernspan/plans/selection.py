@@ -10,17 +10,17 @@ The plans read their input once per round, with only ``id`` and ``x``: the scan
 that totals the leverage of a round also keeps the candidates of the next draw.
 A table of at most
 ``SPREAD_ROWS`` rows per core is spread over the cores and kept in memory for the
-run of a plan; a larger one is scanned again in each pass, so it should be one
-that is cheap to scan (a written table rather than a long derivation).
+run of a plan; a larger one is copied once, spread likewise, beside the checkpoints,
+and its rounds read that copy instead of deriving the rows again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, cosine, linear
-from kernspan.functions.uniform import hash_uniform
+from kernspan.functions.uniform import hash_uniform, uniform_below
 from kernspan.operators import sampling
 from kernspan.operators.fit import fit, primal_factor
 from kernspan.operators.landmarks import landmark_union
@@ -65,6 +65,9 @@ MAX_PRIMAL_DIM = 4096
 #: rows per core up to which a plan keeps its input in memory
 SPREAD_ROWS = 200_000
 
+#: parts of a larger table's copy per core
+COPY_PARTS = 2
+
 #: drop of the total leverage that counts as an improvement must exceed this
 MIN_GAIN = 1.0
 
@@ -145,11 +148,12 @@ def _reduced_scan(
     factor: float,
     capped: bool = False,
     max_rows: int | None = None,
+    need: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """One scan over ``df(id, x, coin, need)``: totals and candidates.
+    """One scan over ``df(id, x, coin)``: totals and candidates.
 
-    A row is a candidate when its score under ``upcoming`` reaches ``need``. A
-    task returns its candidates (with ``max_rows`` only as many of the best, all
+    A row is a candidate when its score under ``upcoming`` reaches its coin, or what
+    ``need`` makes of the coins; a row without a coin is none. A task returns its candidates (with ``max_rows`` only as many of the best, all
     that can be among the best of the table) and one row with its part of the
     ``total`` leverage under ``now``.
     """
@@ -199,7 +203,9 @@ def _reduced_scan(
                 }
             )
             layout = table.schema
-            held.append(table.filter(pa.array(score >= np.asarray(batch["need"]))))
+            # no coin is NaN, which no score reaches
+            coins = np.asarray(batch["coin"], dtype=float)
+            held.append(table.filter(pa.array(score >= (coins if need is None else need(coins)))))
             if max_rows is None:
                 yield from held.pop().to_batches()
             elif sum(map(len, held)) > 4 * max_rows:
@@ -213,7 +219,7 @@ def _reduced_scan(
         for table in held:
             yield from table.to_batches()
 
-    return df.select("id", "x", "coin", "need").mapInArrow(scan, schema)
+    return df.select("id", "x", "coin").mapInArrow(scan, schema)
 
 
 def _total_and_draw(
@@ -242,14 +248,14 @@ def _total_and_draw(
         sample, size = _draw(scored, seed, next_round, max_rows, beta)
         return _total(df, models, kernel), sample, size
 
-    coin = hash_uniform("id", seed, next_round)
-    need = F.col("coin")
+    coin, need = hash_uniform("id", seed, next_round), None
     if beta is not None:
-        stage = hash_uniform("id", sampling.stage_seed(seed), next_round)
-        need = F.when(stage < F.lit(beta), need * F.lit(beta)).otherwise(F.lit(float("inf")))
-    rows = df.withColumn("coin", coin).withColumn("need", need)
+        # most rows end at the first stage in the early rounds: those need no coin
+        coin = F.when(uniform_below("id", sampling.stage_seed(seed), next_round, beta), coin)
+        need = partial(np.multiply, beta)
+    rows = df.withColumn("coin", coin)
     shared = _shared(rows, now[0], upcoming[0])
-    scanned = _reduced_scan(rows, shared, kernel, factor, capped, max_rows).persist(
+    scanned = _reduced_scan(rows, shared, kernel, factor, capped, max_rows, need).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -278,7 +284,7 @@ def _input(df: DataFrame, n_rows: int | None) -> Iterator[tuple[DataFrame, int]]
     n_rows = rows.count() if n_rows is None else n_rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if n_rows > SPREAD_ROWS * cores:
-        yield rows, n_rows
+        yield written(rows.repartition(COPY_PARTS * cores), "input"), n_rows
         return
     kept = rows.repartition(cores, "id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -449,6 +455,10 @@ def _landmarks(accepted: DataFrame, round_no: int) -> DataFrame:
     )
 
 
+def _over(widest: float, coins: np.ndarray) -> np.ndarray:
+    return coins / widest if widest > 0 else np.full(len(coins), np.inf)
+
+
 @dataclass(frozen=True)
 class _Moments:
     """A growing landmark set in feature space: the moments are a sum over landmarks, so
@@ -482,14 +492,14 @@ class _Moments:
         scaled k(y, y), cannot be accepted, and the scan drops them.
         """
         factor = 1.5 / self.lam
-        need = F.col("coin")
+        need = None
         if delta is not None:
             widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
-            need = need / F.lit(widest) if widest > 0 else F.lit(float("inf"))
-        rows = df.withColumn("coin", hash_uniform("id", seed, round_no)).withColumn("need", need)
+            need = partial(_over, widest)
+        rows = df.withColumn("coin", hash_uniform("id", seed, round_no))
         space = [Space(0, primal_factor(self.sums, self.lam), None, True)]
         shared = _shared(rows, space, space)
-        scanned = materialize(_reduced_scan(rows, shared, self.kernel, factor))
+        scanned = materialize(_reduced_scan(rows, shared, self.kernel, factor, need=need))
         shared.destroy()
         total, scale = None, 1.0
         if delta is not None:

@@ -90,6 +90,31 @@ def test_inputs_too_large_for_memory_are_scanned_again(small, monkeypatch):
     assert kept_ids(kept.spaces) == kept_ids(scanned.spaces)
 
 
+def test_a_larger_input_is_derived_once_for_all_rounds(small, tmp_path, monkeypatch):
+    df, rows = small
+    monkeypatch.setattr(selection, "SPREAD_ROWS", 0)
+    seen = tmp_path / "seen"
+
+    def derive(batches):
+        for batch in batches:
+            with open(seen, "a") as file:
+                file.write(f"{len(batch)}\n")
+            yield batch
+
+    derived = df.mapInArrow(derive, df.schema)
+    plans = [
+        lambda: selection.nystrom_bless(derived, max_rounds=4, n_rows=len(rows)),
+        lambda: selection.nystrom_spaces(derived, max_rows=7, max_rounds=4, n_rows=len(rows)),
+        lambda: selection.nystrom_refine(derived, start, rounds=4),
+    ]
+    start = selection.nystrom_spaces(df, max_rows=7, max_rounds=1).spaces
+    # refinement counts its rows before
+    for plan, passes in zip(plans, (1, 1, 2)):
+        seen.write_text("")
+        assert plan().spaces.count()
+        assert sum(map(int, seen.read_text().split())) <= passes * len(rows)
+
+
 def test_models_beyond_the_broadcast_bound_select_the_same(small, monkeypatch):
     df, _ = small
     options = {"seed": 8, "max_rows": 7, "max_rounds": 3}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kernspan import session
 from kernspan.functions import images
 from kernspan.functions import vectors as V
-from kernspan.functions.uniform import any_uniform_below, hash_uniform
+from kernspan.functions.uniform import any_uniform_below, hash_uniform, uniform_below
 from kernspan.operators import classify, packing, ridge, score, stats
 from kernspan.operators import fit as fitting
 from kernspan.sources import assign_row_id, scan_labeled_csv, scan_parquet_vectors
@@ -44,6 +44,17 @@ def test_assigned_ids_are_unique_over_partitions(spark):
     assert df.select("id").distinct().count() == 1000
 
 
+def test_a_uniform_below_a_share(spark):
+    df = spark.createDataFrame([(i,) for i in range(2000)] + [(None,)], "id long")
+    us = [r["u"] for r in df.select(hash_uniform("id", "9/stage", 2).alias("u")).collect() if r["u"] is not None]
+    for share in (0.0, 1e-3, 0.3, us[5], us[5] + 2**-33, 1 - 2**-32, 1 - 2**-34, 1.0, 2.0):
+        both = df.select(
+            (hash_uniform("id", "9/stage", 2) < F.lit(share)).alias("wanted"), uniform_below("id", "9/stage", 2, share).alias("found")
+        ).collect()
+        assert all(bool(r["wanted"]) == bool(r["found"]) for r in both)
+        assert sum(bool(r["found"]) for r in both) == sum(u < share for u in us)
+
+
 def test_uniforms(spark):
     df = spark.range(2000)
     rows = df.select("id", hash_uniform("id", 9, 2, 3).alias("u")).collect()
