@@ -7,9 +7,12 @@ below other operators.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +78,45 @@ def nested_level(u: Column, n_levels: int) -> Column:
         return reduce(Column.__add__, flips)
 
     return let(u, survived)
+
+
+#: md5: the rotations of its four rounds, its constants and its start (RFC 1321)
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_START = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+#: bytes of a text that fits one block of md5
+_ONE_BLOCK = 55
+
+
+def first_words(prefix: bytes, keys: pa.Array) -> np.ndarray:
+    """The first 32 bits of md5 of ``prefix`` and each of the binary ``keys``, which has no
+    nulls: the number behind ``hash_uniform``, for a block of rows at once."""
+    n, data = len(keys), np.frombuffer(keys.buffers()[2] or b"", dtype=np.uint8)
+    offsets = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + n + 1]
+    lengths = np.diff(offsets)
+    total = lengths + len(prefix)
+    if n and total.max() > _ONE_BLOCK:
+        words = [int.from_bytes(hashlib.md5(prefix + k).digest()[:4], "big") for k in keys.to_pylist()]
+        return np.array(words, dtype=np.uint32)
+    text = np.zeros((n, 64), dtype=np.uint8)
+    text[:, : len(prefix)] = np.frombuffer(prefix, dtype=np.uint8)
+    for at in range(int(lengths.max()) if n else 0):
+        has = np.flatnonzero(lengths > at)
+        text[has, len(prefix) + at] = data[offsets[:-1][has] + at]
+    text[np.arange(n), total] = 0x80
+    words = np.ascontiguousarray(text.view("<u4").T)
+    words[14] = total * 8
+    a, b, c, d = (np.full(n, v) for v in _START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + words[g] + _SINES[i]
+        turn = _TURNS[i // 16][i % 4]
+        a, b, c, d = d, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn))), b, c
+    return (a + _START[0]).byteswap()

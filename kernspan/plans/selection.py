@@ -11,7 +11,9 @@ that totals the leverage of a round also keeps the candidates of the next draw.
 A table of at most
 ``SPREAD_ROWS`` rows per core is spread over the cores and kept in memory for the
 run of a plan; a larger one is copied once, spread likewise, beside the checkpoints,
-and its rounds read that copy instead of deriving the rows again.
+and its rounds read that copy instead of deriving the rows again. The copy holds the
+rows as packed Arrow batches, and coins are hashed beside the scores, for the rows that
+can still be drawn.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kernspan.functions.kernels import Kernel, cosine, linear
-from kernspan.functions.uniform import hash_uniform, uniform_below
+from kernspan.functions.uniform import first_words, hash_uniform
 from kernspan.operators import sampling
 from kernspan.operators.fit import fit, primal_factor
 from kernspan.operators.landmarks import landmark_union
@@ -68,6 +70,12 @@ SPREAD_ROWS = 200_000
 #: parts of a larger table's copy per core
 COPY_PARTS = 2
 
+#: bytes of a packed cell of that copy: a reader of parquet holds up to 4,096 cells at once
+CELL_BYTES = 32 * 1024
+
+#: rows and bytes that a scan of packed cells puts together
+CHUNK_ROWS, CHUNK_BYTES = 10_000, 8 * 1024 * 1024
+
 #: drop of the total leverage that counts as an improvement must exceed this
 MIN_GAIN = 1.0
 
@@ -136,13 +144,88 @@ def _sized(drawn: DataFrame) -> tuple[DataFrame, int]:
     return sample, sample.count()
 
 
+@dataclass(frozen=True)
+class _Coins:
+    """The uniforms of ``hash_uniform(id, seed, round_no)``; with ``beta`` only of the ids
+    that pass the first of two stages."""
+
+    seed: int | str
+    round_no: int
+    beta: float | None = None
+
+    def of(self, keys: pa.Array) -> np.ndarray:
+        """By the ids' text; NaN, which no score reaches, where there is no coin."""
+        keys = keys.cast(pa.binary())
+        coins, at = np.full(len(keys), np.nan), np.flatnonzero(np.asarray(keys.is_valid()))
+        if self.beta is not None and (limit := max(0, math.ceil(self.beta * 4294967296))) <= 0xFFFFFFFF:
+            first = f"{sampling.stage_seed(self.seed)}:{self.round_no}:".encode()
+            at = at[first_words(first, keys.take(pa.array(at))) < limit]
+        words = first_words(f"{self.seed}:{self.round_no}:".encode(), keys.take(pa.array(at)))
+        coins[at] = words / 4294967296.0
+        return coins
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """With the text that an id's coin is hashed from."""
+    return df.select("id", "x", F.col("id").cast("string").cast("binary").alias("key"))
+
+
+@dataclass(frozen=True)
+class _Packed:
+    """A copy of ``(id, x)`` whose rows stand in cells, an Arrow stream of some rows each.
+
+    A scan in Python takes over a cell at once and not its rows one by one.
+    """
+
+    cells: DataFrame
+    row_type: T.StructType
+
+    @classmethod
+    def of(cls, df: DataFrame, parts: int) -> _Packed:
+        rows = df.select("id", "x")
+        cells = _keyed(rows).repartition(parts).mapInArrow(_pack, "cell binary")
+        return cls(written(cells, "input"), rows.schema)
+
+    def rows(self) -> DataFrame:
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _unpack(batches):
+                yield batch.select(["id", "x"])
+
+        return self.cells.mapInArrow(unpack, self.row_type)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, CELL_BYTES * len(batch) // max(1, batch.nbytes))
+        for start in range(0, len(batch), step):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch.slice(start, step))
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, n, size = [], 0, 0
+    for batch in batches:
+        for cell in batch["cell"]:
+            with pa.ipc.open_stream(cell.as_buffer()) as stream:
+                parts.append(stream.read_all())
+            n, size = n + len(parts[-1]), size + parts[-1].nbytes
+            if n >= CHUNK_ROWS or size >= CHUNK_BYTES:
+                yield from pa.concat_tables(parts).combine_chunks().to_batches()
+                parts, n, size = [], 0, 0
+    if parts:
+        yield from pa.concat_tables(parts).combine_chunks().to_batches()
+
+
 def _shared(df: DataFrame, now: list[Space], upcoming: list[Space]) -> Broadcast:
     """What the tasks of a reduced scan need; the caller destroys it after the scan."""
     return df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
 
 
 def _reduced_scan(
-    df: DataFrame,
+    df: DataFrame | _Packed,
+    draw: _Coins,
     shared: Broadcast,
     kernel: Kernel,
     factor: float,
@@ -150,16 +233,17 @@ def _reduced_scan(
     max_rows: int | None = None,
     need: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """One scan over ``df(id, x, coin)``: totals and candidates.
+    """One scan over ``df(id, x)``: totals and candidates.
 
     A row is a candidate when its score under ``upcoming`` reaches its coin, or what
     ``need`` makes of the coins; a row without a coin is none. A task returns its candidates (with ``max_rows`` only as many of the best, all
     that can be among the best of the table) and one row with its part of the
-    ``total`` leverage under ``now``.
+    ``total`` leverage under ``now``. Rows that cannot be among them get no coin.
     """
+    packed = isinstance(df, _Packed)
     now, upcoming = shared.value
     widest = max(max(space.factor.shape) for space in [*now, *(upcoming or [])])
-    id_field = df.schema["id"]
+    id_field = (df.row_type if packed else df.schema)["id"]
     schema = T.StructType(
         [
             T.StructField("id", id_field.dataType),
@@ -177,8 +261,8 @@ def _reduced_scan(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, following = shared.value
-        total, held, layout = 0.0, [], None
-        for batch in batches:
+        total, held, layout, floor = 0.0, [], None, -np.inf
+        for batch in _unpack(batches) if packed else batches:
             batch = batch.filter(batch["x"].is_valid())
             rows, _ = rows_of(batch["x"], batch["id"])
             least = []
@@ -192,24 +276,30 @@ def _reduced_scan(
             score = (np.concatenate(least) if least else np.empty(0)) * factor
             if capped:
                 score = np.minimum(score, 1.0)
+            rank = np.round(score, sampling.RANK_DIGITS)
+            # what has max_rows rows before it in this task is not drawn, whatever its coin
+            open_to = np.flatnonzero((score >= 0) & (rank >= floor))
+            coins = draw.of(batch["key"].take(pa.array(open_to)))
+            reached = score[open_to] >= (coins if need is None else need(coins))
+            at, coins = open_to[reached], coins[reached]
+            chosen = batch.take(pa.array(at))
             table = pa.table(
                 {
-                    "id": batch["id"],
-                    "x": batch["x"],
-                    "coin": batch["coin"],
-                    "score": score,
-                    "rank": np.round(score, sampling.RANK_DIGITS),
-                    "total": pa.nulls(len(score), pa.float64()),
+                    "id": chosen["id"],
+                    "x": chosen["x"],
+                    "coin": coins,
+                    "score": score[at],
+                    "rank": rank[at],
+                    "total": pa.nulls(len(at), pa.float64()),
                 }
             )
             layout = table.schema
-            # no coin is NaN, which no score reaches
-            coins = np.asarray(batch["coin"], dtype=float)
-            held.append(table.filter(pa.array(score >= (coins if need is None else need(coins)))))
+            held.append(table)
             if max_rows is None:
                 yield from held.pop().to_batches()
             elif sum(map(len, held)) > 4 * max_rows:
                 held = [best(held)]
+                floor = held[0]["rank"][-1].as_py() if max_rows else np.inf
         if layout is None:
             return
         if max_rows is not None and sum(map(len, held)) > max_rows:
@@ -219,11 +309,12 @@ def _reduced_scan(
         for table in held:
             yield from table.to_batches()
 
-    return df.select("id", "x", "coin").mapInArrow(scan, schema)
+    return (df.cells if packed else _keyed(df)).mapInArrow(scan, schema)
 
 
 def _total_and_draw(
     df: DataFrame,
+    scanned_from: DataFrame | _Packed,
     models: DataFrame,
     next_models: DataFrame,
     kernel: Kernel,
@@ -236,8 +327,8 @@ def _total_and_draw(
 ) -> tuple[float, DataFrame, int]:
     """The total leverage under ``models`` and the sample drawn under ``next_models``.
 
-    The same as ``_total`` followed by ``_draw``, in one scan. Models beyond the
-    broadcast bound take those two steps instead.
+    The same as ``_total`` followed by ``_draw``, in one scan of ``scanned_from``, which
+    holds the rows of ``df``. Models beyond the broadcast bound take those two steps instead.
     """
     now = load_models(models, kernel)
     upcoming = now if next_models is models else load_models(next_models, kernel)
@@ -248,16 +339,11 @@ def _total_and_draw(
         sample, size = _draw(scored, seed, next_round, max_rows, beta)
         return _total(df, models, kernel), sample, size
 
-    coin, need = hash_uniform("id", seed, next_round), None
-    if beta is not None:
-        # most rows end at the first stage in the early rounds: those need no coin
-        coin = F.when(uniform_below("id", sampling.stage_seed(seed), next_round, beta), coin)
-        need = partial(np.multiply, beta)
-    rows = df.withColumn("coin", coin)
-    shared = _shared(rows, now[0], upcoming[0])
-    scanned = _reduced_scan(rows, shared, kernel, factor, capped, max_rows, need).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    need = None if beta is None else partial(np.multiply, beta)
+    shared = _shared(df, now[0], upcoming[0])
+    scanned = _reduced_scan(
+        scanned_from, _Coins(seed, next_round, beta), shared, kernel, factor, capped, max_rows, need
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = scanned.agg(F.sum("total")).first()[0] or 0.0
         order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
@@ -278,17 +364,18 @@ def _total(df: DataFrame, models: DataFrame, kernel: Kernel) -> float:
 
 
 @contextmanager
-def _input(df: DataFrame, n_rows: int | None) -> Iterator[tuple[DataFrame, int]]:
-    """The table a plan scans repeatedly, and its row count."""
+def _input(df: DataFrame, n_rows: int | None) -> Iterator[tuple[DataFrame, DataFrame | _Packed, int]]:
+    """The table a plan scans repeatedly, what reduced scans read it from, and its row count."""
     rows = df.select("id", "x")
     n_rows = rows.count() if n_rows is None else n_rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if n_rows > SPREAD_ROWS * cores:
-        yield written(rows.repartition(COPY_PARTS * cores), "input"), n_rows
+        packed = _Packed.of(rows, COPY_PARTS * cores)
+        yield packed.rows(), packed, n_rows
         return
     kept = rows.repartition(cores, "id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield kept, n_rows
+        yield kept, kept, n_rows
     finally:
         kept.unpersist()
 
@@ -305,14 +392,15 @@ def nystrom_bless(
 
     ``max_rounds`` ends the schedule early; round 0 counts.
     """
-    with _input(df, n_rows) as (rows, n_rows):
+    with _input(df, n_rows) as (rows, source, n_rows):
         plan = SingleSpaceSchedule(n_rows)
         rounds = plan.rounds if max_rounds is None else min(plan.rounds, max_rounds)
-        return _bless(rows, plan, kernel or linear(), seed, max_rows, rounds)
+        return _bless(rows, source, plan, kernel or linear(), seed, max_rows, rounds)
 
 
 def _bless(
     df: DataFrame,
+    source: DataFrame | _Packed,
     plan: SingleSpaceSchedule,
     kernel: Kernel,
     seed: int | str,
@@ -335,6 +423,7 @@ def _bless(
         if round_no + 1 < rounds:
             total, sample, size = _total_and_draw(
                 df,
+                source,
                 models,
                 models,
                 kernel,
@@ -366,9 +455,10 @@ def nystrom_spaces(
     Stops after ``max_non_improv`` more rounds without than with improvement
     and returns the best collection seen.
     """
-    with _input(df, n_rows) as (rows, n_rows):
+    with _input(df, n_rows) as (rows, source, n_rows):
         return _spaces(
             rows,
+            source,
             MultiSpaceSchedule(n_rows),
             kernel or linear(),
             seed,
@@ -381,6 +471,7 @@ def nystrom_spaces(
 
 def _spaces(
     df: DataFrame,
+    source: DataFrame | _Packed,
     plan: MultiSpaceSchedule,
     kernel: Kernel,
     seed: int | str,
@@ -407,6 +498,7 @@ def _spaces(
             drawn = size
             total, sample, size = _total_and_draw(
                 df,
+                source,
                 current.models,
                 upcoming.models,
                 kernel,
@@ -477,7 +569,7 @@ class _Moments:
 
     def grow(
         self,
-        df: DataFrame,
+        df: DataFrame | _Packed,
         seed: int | str,
         round_no: int,
         delta: float | None = None,
@@ -496,10 +588,10 @@ class _Moments:
         if delta is not None:
             widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
             need = partial(_over, widest)
-        rows = df.withColumn("coin", hash_uniform("id", seed, round_no))
         space = [Space(0, primal_factor(self.sums, self.lam), None, True)]
-        shared = _shared(rows, space, space)
-        scanned = materialize(_reduced_scan(rows, shared, self.kernel, factor, need=need))
+        shared = _shared(df.cells if isinstance(df, _Packed) else df, space, space)
+        coins = _Coins(seed, round_no)
+        scanned = materialize(_reduced_scan(df, coins, shared, self.kernel, factor, need=need))
         shared.destroy()
         total, scale = None, 1.0
         if delta is not None:
@@ -711,9 +803,9 @@ def nystrom_refine(
     """
     kernel = kernel or cosine()
     parts, history = [spaces], []
-    with _input(df, None) as (rows, _):
+    with _input(df, None) as (rows, source, _):
         state = _growing(rows, spaces, lam, kernel, model)
-        table = row_blocks(rows) if isinstance(state, _Tiles) else rows
+        table = row_blocks(rows) if isinstance(state, _Tiles) else source
         for round_no in range(first_round, first_round + rounds):
             state, added, total, size = state.grow(table, seed, round_no)
             parts += [] if added is None else [added]

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kernspan.functions import kernels
+from kernspan.functions.uniform import hash_uniform
 from kernspan.operators import fit as fitting
 from kernspan.operators import landmarks, packing, sampling
+from kernspan.operators.score import Space
 from kernspan.operators.spaces import SubspaceCollection
 from kernspan.plans import selection
 from kernspan.plans.schedules import MultiSpaceSchedule, SingleSpaceSchedule, halving_levels
@@ -303,3 +306,48 @@ def test_fit_refuses_groups_beyond_the_bound(spark, small):
     with pytest.raises(ValueError, match="fit form='primal'"):
         fitting.fit(sp, 0.1, max_landmarks=50)
     assert fitting.fit(sp, 0.1, form="primal", max_landmarks=50).first()["m"] == 160
+
+
+@pytest.mark.parametrize("beta", [None, 0.0, 0.3, 1.0])
+def test_coins_of_a_block_are_those_of_the_table(spark, beta):
+    texts = ["", "a", "äÿ€", "x" * 46, "y" * 47, "z" * 300, None, *map(str, range(-20, 400))]
+    df = spark.createDataFrame([(t, [1.0]) for t in texts], "id string, x array<double>")
+    coin = hash_uniform("id", 42, 17)
+    if beta is not None:
+        coin = F.when(hash_uniform("id", "42/stage", 17) < beta, coin)
+    want = [r["c"] for r in df.select(coin.alias("c")).collect()]
+    keys = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    got = selection._Coins(42, 17, beta).of(keys)
+    assert [None if np.isnan(c) else c for c in got] == want
+
+
+def test_a_packed_copy_holds_every_row(spark):
+    rows = [(f"r{i}" if i % 7 else None, [float(i), -1.0] if i % 5 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id string, x array<double>")
+    packed = selection._Packed.of(df, 3)
+    assert 6 < packed.cells.count() < 200
+    found = [(r["id"], r["x"]) for r in packed.rows().collect()]
+    assert sorted(found, key=str) == sorted(rows, key=str)
+    assert selection._Packed.of(df.limit(0), 3).rows().count() == 0
+
+
+def test_a_scan_of_packed_cells_draws_as_one_of_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=3).round(1)]) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(2)
+    now, upcoming = [Space(0, np.eye(3), None, True)], [Space(0, np.diag([0.5, 0.2, 0.1]), None, True)]
+
+    def drawn(table):
+        shared = selection._shared(df, now, upcoming)
+        scan = selection._reduced_scan(table, selection._Coins(1, 2), shared, kernels.linear(), 2.0, True, 5)
+        found = scan.collect()
+        best = sorted((-r["rank"], r["coin"], r["id"]) for r in found if r["total"] is None)[:5]
+        return best, round(sum(r["total"] or 0.0 for r in found), 6)
+
+    score = {i: min(2.0 * ((0.5 * a) ** 2 + (0.2 * b) ** 2 + (0.1 * c) ** 2), 1.0) for i, (a, b, c) in rows}
+    coins = {i: brute.uniform(i, 1, 2) for i, _ in rows}
+    want = sorted((-round(s, 9), coins[i], i) for i, s in score.items() if s >= coins[i])[:5]
+    for table in (df, selection._Packed.of(df, 2)):
+        best, total = drawn(table)
+        assert [b[1:] for b in best] == [w[1:] for w in want]
+        assert total == pytest.approx(sum(v * v for _, x in rows for v in x))
