@@ -63,8 +63,11 @@ def unpack_vectors(packs: DataFrame, *scores: str) -> DataFrame:
 
 
 def explode_scores(packs: DataFrame, scores: str, out: str = "score") -> DataFrame:
-    """One row per entry of the score array of each pack."""
-    return packs.select(F.explode(scores).alias(out))
+    """One row per entry of the score array of each pack.
+
+    Of a bare column Spark would first ask whether it has entries, and so derive it again.
+    """
+    return packs.select(F.inline(F.arrays_zip(scores))).toDF(out)
 
 
 def collect_by_label(

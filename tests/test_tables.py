@@ -251,3 +251,10 @@ def test_packs_of_empty_and_null_arrays(spark):
     packs = spark.createDataFrame([([], 2), (None, 2), ([1.0, None, 3.0, 4.0], 2)], "p array<double>, n int")
     cut = [r["c"] for r in packs.select(V.split_array("p", "n").alias("c")).collect()]
     assert cut[0] == [[], []] and cut[2] == [[1.0, None], [3.0, 4.0]]
+
+
+def test_scores_are_derived_once_to_be_exploded(spark):
+    plan = packing.explode_scores(_packed_norms(spark, 10), "k_norms")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("aggregate(") == 1
+    packs = spark.createDataFrame([([1.0, None],), ([],), (None,)], "s array<double>")
+    assert [tuple(r) for r in packing.explode_scores(packs, "s", "out").collect()] == [(1.0,), (None,)]
