@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from kernspan.functions import vectors as V
 
 
+#: doubles of a block that are worked on at once
+CACHED_DOUBLES = 16_384
+
+
 class Kernel:
     """Interface shared by all kernels. Blocks hold one row per vector."""
 
@@ -92,9 +96,19 @@ class RbfKernel(Kernel):
     gamma: float
 
     def block(self, left, right):
-        squares = _squared_lengths(left)[:, None] + _squared_lengths(right)[None, :]
-        distances = np.maximum(squares - 2.0 * (left @ right.T), 0.0)
-        return np.exp(-self.gamma * distances)
+        out = left @ right.T
+        ours, theirs = _squared_lengths(left)[:, None], _squared_lengths(right)[None, :]
+        # some rows at a time, so that the steps after the product find them in the cache
+        step = max(1, CACHED_DOUBLES // max(1, len(right)))
+        for start in range(0, len(left), step):
+            part = out[start : start + step]
+            part *= 2.0
+            distances = ours[start : start + step] + theirs
+            distances -= part
+            np.maximum(distances, 0.0, out=distances)
+            distances *= -self.gamma
+            np.exp(distances, out=part)
+        return out
 
     def diagonal(self, rows):
         return np.ones(len(rows))

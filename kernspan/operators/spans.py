@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernspan.functions.kernels import Kernel
-from kernspan.operators.score import rows_of
+from kernspan.operators.score import Space, rows_of
 from kernspan.session import written
 
 #: pivots of a span, at most
@@ -33,6 +33,8 @@ MAX_SPAN = 2_048
 TOLERANCES = (1e-2, 1e-4, 1e-6, 1e-8, 1e-10, 1e-11)
 #: a row is looked into when it has this many tolerances outside, below that it may be rounding
 SLACK = 4.0
+#: a block is not looked into closer when no row has more than this many tolerances outside
+CLEAR = SLACK / 2
 #: part of k(y, y) that rounding may take from a row
 NOISE = 1e-8
 #: rows a task compares with its pivots at once
@@ -65,6 +67,10 @@ class SpannedKernel(Kernel):
     def features(self, rows):
         return _solved(self.base.block(rows, self.pivots), self.lower, self.inverse)
 
+    def scoring(self, factor: np.ndarray) -> tuple[Space, Kernel]:
+        """A space and a kernel with the leverages |factor phi(y)|^2, as one product with k(P, y)."""
+        return Space(0, np.linalg.solve(self.lower.T, factor.T).T, self.pivots, True), self.base
+
     def column(self, a: Column, b: Column) -> Column:
         return self.base.column(a, b)
 
@@ -72,9 +78,11 @@ class SpannedKernel(Kernel):
         return self.base.norm_column(x)
 
 
-def _solved(values: np.ndarray, lower: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+def _solved(
+    values: np.ndarray, lower: np.ndarray, inverse: np.ndarray, first: np.ndarray | None = None
+) -> np.ndarray:
     """L^-1 of each row; the inverse of an ill-conditioned L needs a second step."""
-    first = values @ inverse.T
+    first = values @ inverse.T if first is None else first
     return first + (values - first @ lower.T) @ inverse.T
 
 
@@ -90,11 +98,17 @@ class _Pivots:
         norms = self.kernel.diagonal(rows)
         usable = np.isfinite(norms)
         rows, norms = rows[usable], norms[usable]
+        bound = tolerance * np.maximum(norms, self.scale)
         features = np.empty((len(rows), 0))
         if len(self.pivots):
-            features = _solved(self.kernel.block(rows, self.pivots), self.lower, self.inverse)
+            values = self.kernel.block(rows, self.pivots)
+            # the first step is off where it matters least: its squared length tells what is clear
+            features = values @ self.inverse.T
+            rest = norms - np.einsum("ij,ij->i", features, features)
+            if (np.abs(rest) <= CLEAR * bound).all():
+                return True
+            features = _solved(values, self.lower, self.inverse, features)
         rest = norms - np.einsum("ij,ij->i", features, features)
-        bound = tolerance * np.maximum(norms, self.scale)
         # far below rounding a negative rest is no kernel's
         if (rest < -NOISE * np.maximum(norms, self.scale)).any():
             return False

@@ -588,10 +588,13 @@ class _Moments:
         if delta is not None:
             widest = math.log(max(most * (1 + 1e-9) / delta, 1.0))
             need = partial(_over, widest)
-        space = [Space(0, primal_factor(self.sums, self.lam), None, True)]
-        shared = _shared(df.cells if isinstance(df, _Packed) else df, space, space)
+        space, kernel = Space(0, primal_factor(self.sums, self.lam), None, True), self.kernel
+        if isinstance(kernel, SpannedKernel):
+            space, kernel = kernel.scoring(space.factor)
+        spaces = [space]
+        shared = _shared(df.cells if isinstance(df, _Packed) else df, spaces, spaces)
         coins = _Coins(seed, round_no)
-        scanned = materialize(_reduced_scan(df, coins, shared, self.kernel, factor, need=need))
+        scanned = materialize(_reduced_scan(df, coins, shared, kernel, factor, need=need))
         shared.destroy()
         total, scale = None, 1.0
         if delta is not None:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kernspan.functions import kernels
-from kernspan.operators import classify, spans, tiles
+from kernspan.operators import classify, fit, spans, tiles
+from kernspan.operators import score as S
 from kernspan.plans import selection
 from tests import brute
 from tests.test_selection import halving_brute
@@ -189,3 +190,30 @@ def _halving_and_refinement(spark, monkeypatch):
         want = want + [r for r in range(len(rows)) if brute.uniform(r, 2, i) < score[r]]
     assert [r["id"] for r in refined.spaces.orderBy("ord", "id").collect()] == want
     assert [h[2] for h in refined.history] == [sum(1 for r in refined.spaces.collect() if r["ord"] == i) for i in (1000, 1001)]
+
+
+def test_rows_of_a_span_are_scored_by_one_product(monkeypatch):
+    rows = np.random.default_rng(21).normal(size=(500, 3))
+    kernel = kernels.rbf(0.02)
+    held = spans._Pivots(kernel, rows[:0], np.empty((0, 0)), 1.0)
+    assert all(held.take(rows, tolerance) for tolerance in spans.TOLERANCES)
+    span = spans.SpannedKernel(kernel, held.pivots, held.lower, held.inverse)
+    features = span.features(rows)
+    factor = fit.primal_factor(features[:200].T @ features[:200], 0.01)
+    expected = np.square(features @ factor.T).sum(axis=1)
+
+    def no_features(*_):
+        raise AssertionError("features of rows that need none")
+
+    monkeypatch.setattr(spans, "_solved", no_features)
+    assert held.take(rows, spans.TOLERANCES[-1]) and len(held.pivots) == len(span.pivots)
+    space, base = span.scoring(factor)
+    np.testing.assert_allclose(S.leverage_block(rows, [space], base)[:, 0], expected, rtol=1e-6)
+
+
+def test_rbf_blocks_larger_than_the_cache():
+    rng = np.random.default_rng(22)
+    left, right = rng.normal(size=(300, 4)), rng.normal(size=(200, 4))
+    gaps = np.square(left[:, None, :] - right[None, :, :]).sum(axis=2)
+    np.testing.assert_allclose(kernels.rbf(0.3).block(left, right), np.exp(-0.3 * gaps), rtol=1e-12)
+    assert kernels.rbf(0.3).block(left, right[:0]).shape == (300, 0)
