@@ -218,7 +218,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
 
-def _shared(df: DataFrame, now: list[Space], upcoming: list[Space]) -> Broadcast:
+def _shared(df: DataFrame, now: list[Space] | None, upcoming: list[Space] | None) -> Broadcast:
     """What the tasks of a reduced scan need; the caller destroys it after the scan."""
     return df.sparkSession.sparkContext.broadcast((now, None if upcoming is now else upcoming))
 
@@ -232,9 +232,12 @@ def _reduced_scan(
     capped: bool = False,
     max_rows: int | None = None,
     need: Callable[[np.ndarray], np.ndarray] | None = None,
+    ascending: bool = False,
 ) -> DataFrame:
     """One scan over ``df(id, x)``: totals and candidates.
 
+    Without spaces k(y, y) is the leverage. With ``ascending`` the lowest scores rank first.
+
     A row is a candidate when its score under ``upcoming`` reaches its coin, or what
     ``need`` makes of the coins; a row without a coin is none. A task returns its candidates (with ``max_rows`` only as many of the best, all
     that can be among the best of the table) and one row with its part of the
@@ -242,7 +245,7 @@ def _reduced_scan(
     """
     packed = isinstance(df, _Packed)
     now, upcoming = shared.value
-    widest = max(max(space.factor.shape) for space in [*now, *(upcoming or [])])
+    widest = max((max(space.factor.shape) for space in [*(now or []), *(upcoming or [])]), default=1)
     id_field = (df.row_type if packed else df.schema)["id"]
     schema = T.StructType(
         [
@@ -267,7 +270,10 @@ def _reduced_scan(
             rows, _ = rows_of(batch["x"], batch["id"])
             least = []
             for block in blocks(rows, widest):
-                under_now = leverage_block(block, current, kernel).min(axis=1)
+                if current is None:
+                    under_now = kernel.diagonal(block)
+                else:
+                    under_now = leverage_block(block, current, kernel).min(axis=1)
                 total += float(np.nansum(under_now))
                 if following is not None:
                     under_now = leverage_block(block, following, kernel).min(axis=1)
@@ -276,7 +282,7 @@ def _reduced_scan(
             score = (np.concatenate(least) if least else np.empty(0)) * factor
             if capped:
                 score = np.minimum(score, 1.0)
-            rank = np.round(score, sampling.RANK_DIGITS)
+            rank = np.round(score, sampling.RANK_DIGITS) * (-1.0 if ascending else 1.0)
             # what has max_rows rows before it in this task is not drawn, whatever its coin
             open_to = np.flatnonzero((score >= 0) & (rank >= floor))
             coins = draw.of(batch["key"].take(pa.array(open_to)))
@@ -346,18 +352,49 @@ def _total_and_draw(
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = scanned.agg(F.sum("total")).first()[0] or 0.0
-        order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
-        candidates = scanned.filter(F.col("total").isNull()).drop("total")
-        drawn = sampling.numbered(
-            sampling.ranked_limit(candidates, order, max_rows, [-F.col("rank"), F.col("coin")]), order
-        )
-        sample, size = _sized(drawn)
+        sample, size = _best(scanned, max_rows)
     finally:
         scanned.unpersist()
         shared.destroy()
     return total, sample, size
 
 
+def _best(scanned: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
+    """The sample that the candidates of a reduced scan make."""
+    order = [F.col("rank").desc(), F.col("coin"), F.col("id")]
+    candidates = scanned.filter(F.col("total").isNull()).drop("total")
+    ranked = sampling.ranked_limit(candidates, order, max_rows, [-F.col("rank"), F.col("coin")])
+    return _sized(sampling.numbered(ranked, order))
+
+
+def _first_draw(
+    df: DataFrame,
+    source: DataFrame | _Packed,
+    kernel: Kernel,
+    factor: float,
+    seed: int | str,
+    max_rows: int,
+    beta: float | None = None,
+    capped: bool = False,
+    ascending: bool = False,
+) -> tuple[DataFrame, int]:
+    """The sample of round 0, drawn by the scaled k(y, y); of a packed table in one scan."""
+    if not isinstance(source, _Packed):
+        score = kernel_norm_column(df, kernel) * F.lit(float(factor))
+        scored = df.withColumn("score", F.least(score, F.lit(1.0)) if capped else score)
+        return _draw(scored, seed, 0, max_rows, beta, ascending)
+    need = None if beta is None else partial(np.multiply, beta)
+    shared = _shared(source.cells, None, None)
+    scanned = _reduced_scan(
+        source, _Coins(seed, 0, beta), shared, kernel, factor, capped, max_rows, need, ascending
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _best(scanned, max_rows)
+    finally:
+        scanned.unpersist()
+        shared.destroy()
+
+
 def _total(df: DataFrame, models: DataFrame, kernel: Kernel) -> float:
     numbers = F.when(sampling.known("leverage"), F.col("leverage"))
     return leverage_min(df, models, kernel).agg(F.sum(numbers)).first()[0] or 0.0
@@ -408,9 +445,8 @@ def _bless(
     rounds: int,
 ) -> Selection:
     factor = plan.score_factor
-    first = F.least(kernel_norm_column(df, kernel) * F.lit(factor), F.lit(1.0))
-    sample, size = _draw(
-        df.withColumn("score", first), seed, 0, max_rows, plan.beta_at(0), ascending=True
+    sample, size = _first_draw(
+        df, source, kernel, factor, seed, max_rows, plan.beta_at(0), capped=True, ascending=True
     )
     form = _scoring_form(sample, size, kernel)
     spaces = models = None
@@ -481,10 +517,7 @@ def _spaces(
     max_rounds: int | None,
 ) -> Selection:
     lam = plan.lambda_at(0)
-    scored = df.withColumn("score", kernel_norm_column(df, kernel))
-    sample, size = _draw(
-        sampling.scale_scores(scored, plan.score_factor), seed, 0, max_rows
-    )
+    sample, size = _first_draw(df, source, kernel, plan.score_factor, seed, max_rows)
     form = _scoring_form(sample, size, kernel)
     current = SubspaceCollection.create(sample, lam, kernel, max_spaces, form, durable=True)
     best, best_total = current, math.inf

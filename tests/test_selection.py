@@ -351,3 +351,19 @@ def test_a_scan_of_packed_cells_draws_as_one_of_rows(spark):
         best, total = drawn(table)
         assert [b[1:] for b in best] == [w[1:] for w in want]
         assert total == pytest.approx(sum(v * v for _, x in rows for v in x))
+
+
+def test_the_first_draw_of_a_copied_table_is_one_scan(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = [(i, [float(v) for v in rng.normal(size=3) * rng.choice([0.01, 1.0])]) for i in range(600)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 2.0, 3.0]), (900, None)], "id long, x array<double>")
+
+    def kept():
+        bless = selection.nystrom_bless(df, max_rows=40, max_rounds=2).spaces
+        spaces = selection.nystrom_spaces(df, max_rows=30, max_rounds=2).spaces
+        return [sorted(t.select("space_id", "ord", "id", "x", F.round("reg", 9)).collect()) for t in (bless, spaces)]
+
+    expected = kept()
+    monkeypatch.setattr(selection, "SPREAD_ROWS", 0)
+    monkeypatch.setattr(selection, "_draw", None)
+    assert kept() == expected and all(expected)
