@@ -16,6 +16,11 @@ are the second half of that step: the root of those already there is kept.
 Rows are scored in packed blocks. Each tile of G^-1 adds its part of k(y, X) G^-1 k(X, y)
 to the energy of a row, whatever the order, so row blocks and tiles meet in a grid of
 (tile, row group), and no task needs a matrix of landmark size.
+
+Where the kernel has fewer features than a subspace has landmarks, the tiles meet the
+features of the landmarks instead: with B = W phi(X) the leverage of a row is
+phi(y)' (I - B'B) phi(y). That takes two products of tiles whatever the number of rows,
+and then one scan of the rows, which are neither copied nor shuffled.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kernspan.functions.kernels import Kernel, linear
-from kernspan.operators.score import rows_of, with_nulls
-from kernspan.session import broadcast_if_small, written
+from kernspan.operators.score import _id_or_null, row_scorer, rows_of, with_nulls
+from kernspan.session import BROADCAST_MAX_BYTES, broadcast_if_small, written
 
 #: landmarks of a block, at most; a tile then takes 8 MB
 TILE = 1024
@@ -575,6 +580,19 @@ def _plates(model: TiledModel, groups: int) -> tuple[DataFrame, int]:
     return numbered.withColumn("r", _between(0, groups - 1)), n_plates
 
 
+def _lesser(
+    least: np.ndarray | None, best: np.ndarray | None, leverage: np.ndarray, number: int, norms: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The least leverages with those of one more subspace, and the numbers of their subspaces.
+
+    Leverages that differ by rounding noise are equal, and the first of them wins.
+    """
+    if least is None:
+        return leverage, np.zeros(len(leverage), np.int32)
+    better = leverage < least - np.maximum(norms, 1e-300) * 1e-12
+    return np.where(better, leverage, least), np.where(better, number, best).astype(np.int32)
+
+
 def block_leverages(blocks: DataFrame, model: TiledModel) -> DataFrame:
     """``block, best, least, total``: for each row block the least leverage of its rows over
     the subspaces, the number of the subspace (in order of ``space_id``; of equal ones the
@@ -634,16 +652,9 @@ def block_leverages(blocks: DataFrame, model: TiledModel) -> DataFrame:
         number = -1
 
         def take() -> None:
-            # leverages that differ by rounding noise are equal, and the first of them wins
             nonlocal least, best
-            if total is None:
-                return
-            leverage = norms - total
-            if least is None:
-                least, best = leverage, np.zeros(len(leverage), np.int32)
-                return
-            better = leverage < least - np.maximum(norms, 1e-300) * 1e-12
-            least, best = np.where(better, leverage, least), np.where(better, number, best).astype(np.int32)
+            if total is not None:
+                least, best = _lesser(least, best, norms - total, number, norms)
 
         def done() -> Iterator[pa.RecordBatch]:
             if block is not None:
@@ -698,10 +709,74 @@ def unpacked(blocks: DataFrame, scores: DataFrame, out: str = "leverage") -> Dat
     return rows.select(F.col("ids").alias("id"), F.col("xs").alias("x"), *rest, "best", out)
 
 
+def _feature_width(model: TiledModel) -> int:
+    """Features of a row, or 0 if the kernel has no map to them."""
+    if not model.kernel.explicit:
+        return 0
+    width = model.blocks.select((F.octet_length("x") / 8 / F.col("n")).cast("int")).first()[0]
+    return model.kernel.features(np.ones((1, width))).shape[1]
+
+
+def feature_residuals(model: TiledModel) -> list[tuple[object, np.ndarray]]:
+    """``space_id`` and I - B'B of each subspace, in order, for B = W phi(X): what a subspace
+    leaves of phi(y) has the square phi(y)' (I - B'B) phi(y). A subspace without a name comes last."""
+    kernel, i, j, corner = model.kernel, F.col("i"), F.col("j"), F.lit(0)
+
+    def features(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            phi = kernel.features(_matrix(row["x"], row["n"]))
+            yield _tile((row["space_id"], row["b"], 0, row["nb"]), phi)
+
+    landmarks = model.blocks.select("space_id", "b", "nb", "n", "x")
+    phi = _mapped(landmarks, features, _tile_schema(model.blocks.schema["space_id"].dataType))
+    image = _product(
+        _operand(model.factor, 0, i, corner, j),
+        _operand(phi, 1, _between(i, F.col("nb") - 1), corner, i),
+        _tasks(model.n_spaces * model.n_blocks),
+    )
+    image = written(image, "tiles")
+    energy = _product(
+        _operand(image, 0, corner, corner, i, turned=True),
+        _operand(image, 1, corner, corner, i),
+        _tasks(model.n_spaces),
+    )
+    found = [(row["space_id"], _matrix(row["data"], row["rows"], row["cols"])) for row in energy.collect()]
+    return [
+        (name, np.eye(len(matrix)) - (matrix + matrix.T) / 2)
+        for name, matrix in sorted(found, key=lambda pair: (pair[0] is None, pair[0]))
+    ]
+
+
+def _feature_leverages(df: DataFrame, model: TiledModel, width: int, out: str) -> DataFrame:
+    kernel = model.kernel
+    residuals = [matrix for _, matrix in feature_residuals(model)]
+    shared = df.sparkSession.sparkContext.broadcast(residuals)
+
+    def compute(rows: np.ndarray) -> np.ndarray:
+        phi, norms = kernel.features(rows), kernel.diagonal(rows)
+        least = best = None
+        for number, matrix in enumerate(shared.value):
+            leverage = np.einsum("nj,nj->n", phi @ matrix, phi)
+            least, best = _lesser(least, best, leverage, number, norms)
+        return np.column_stack([best, least])
+
+    scorer = row_scorer(compute, "array<double>", width)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("id", "x")]
+    rows = df.select("id", F.col("x").cast("array<double>").alias("x"), *others)
+    scored = rows.withColumn("_scores", scorer(F.col("x"), _id_or_null(rows)))
+    return scored.select(
+        "id", "x", *others, F.col("_scores")[0].cast("int").alias("best"), F.col("_scores")[1].alias(out)
+    )
+
+
 def tiled_leverage_min(df: DataFrame, model: TiledModel, out: str = "leverage") -> DataFrame:
     """The rows of ``df`` with the least leverage over the subspaces of the model, and the
     number ``best`` of that subspace in order of ``space_id``. Columns come in the order
     id, x, others."""
+    width = _feature_width(model)
+    fewer = 0 < width * model.n_spaces <= model.n_landmarks
+    if fewer and width * width * model.n_spaces * 8 <= BROADCAST_MAX_BYTES:
+        return _feature_leverages(df, model, width, out)
     blocks = row_blocks(df)
     return unpacked(blocks, block_leverages(blocks, model), out)
 

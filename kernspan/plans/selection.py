@@ -70,7 +70,7 @@ SPREAD_ROWS = 200_000
 #: parts of a larger table's copy per core
 COPY_PARTS = 2
 
-#: bytes of a packed cell of that copy: a reader of parquet holds up to 4,096 cells at once
+#: bytes of a packed cell of that copy: a reader of parquet holds up to 4,096 cells of a row group at once
 CELL_BYTES = 32 * 1024
 
 #: rows and bytes that a scan of packed cells puts together

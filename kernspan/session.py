@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 #: rows and bytes a table may have at most to be broadcast as the build side of a join
 BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES = 1_000_000, 64 * 1024 * 1024
 
+#: bytes of a row group of the tables that plans write, about, and rows before its size is
+#: first looked at: a reader holds up to 4,096 rows of a group at once, a writer all of it
+GROUP_BYTES, GROUP_CHECK_ROWS = 16 * 1024 * 1024, 4
+
 
 def configured_builder(app_name: str = "kernspan") -> SparkSession.Builder:
     """A session builder with the settings this library is tuned for.
@@ -75,10 +79,12 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once beside the checkpoints and read it back.
 
     Unlike a checkpoint the files prune: a reader's filter on a column of
-    ``partition_by`` skips folders, and columns nobody asks for are not read.
+    ``partition_by`` skips folders, and columns nobody asks for are not read. Row
+    groups are small, since a cell of such a table may hold megabytes.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "none")
+    writer = df.write.option("compression", "none").option("parquet.block.size", GROUP_BYTES)
+    writer = writer.option("parquet.page.size.row.check.min", GROUP_CHECK_ROWS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

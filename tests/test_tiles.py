@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from kernspan.functions import kernels
 from kernspan.operators import classify, fit, spans, tiles
 from kernspan.operators import score as S
 from kernspan.plans import selection
+from kernspan.session import GROUP_BYTES, written
 from tests import brute
 from tests.test_selection import halving_brute
 
@@ -135,6 +139,77 @@ def test_a_hot_label_is_many_blocks(spark, data, monkeypatch):
     assert [r["pred_label"] for r in got] == [(2, 5, 9)[i] for i in each.argmin(0)]
 
 
+@pytest.mark.parametrize("kernel", [kernels.linear(), kernels.cosine()])
+def test_rows_of_few_features_are_scored_in_one_scan(spark, data, monkeypatch, kernel):
+    """Neither the rows nor the tiles are copied for each other: a table of any size is one scan."""
+    def copied(*a, **o):
+        raise AssertionError("rows are copied")
+
+    for name in ("row_blocks", "block_leverages", "_plates"):
+        monkeypatch.setattr(tiles, name, copied)
+    x, reg, y = data
+    space = np.array([4] * 90 + [1] * 25 + [7] * 15)
+    model = tiles.fit_tiled(landmarks(spark, x, reg, space), 0.2, kernel, tile=20)
+    assert model.n_blocks == 5
+    each = np.array([brute.leverages(x[space == s], reg[space == s], 0.2, y, kernel.block) for s in (1, 4, 7)])
+    rows = [v if i % 7 else None for i, v in enumerate(y)]
+    df = table(spark, rows, block=F.lit("mine"), label=F.col("id") * 2).select("block", "x", "label", "id")
+    scored = tiles.tiled_leverage_min(df, model, "score")
+    assert scored.columns == ["id", "x", "block", "label", "best", "score"]
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    for i, r in enumerate(scored.orderBy("id").collect()):
+        assert r["label"] == 2 * i and r["block"] == "mine"
+        if i % 7 == 0:
+            assert r["score"] is None and r["best"] is None
+        else:
+            assert np.isclose(r["score"], each[:, i].min(), atol=1e-12) and r["best"] == each[:, i].argmin()
+    assert tiles.tiled_leverage_min(df.limit(0), model).collect() == []
+    wide = spark.createDataFrame([(5, [1.0, 2.0]), (6, [1.0, 2.0, 3.0])], "id long, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="unequal length.*id 6"):
+        tiles.tiled_leverage_min(wide, model).collect()
+
+
+def test_tables_of_large_cells_have_small_row_groups(spark):
+    """A reader takes the cells of a row group together, and a writer holds all of it."""
+    cell = F.repeat(F.lit("0123456789abcdef"), 65_536)
+    cells = spark.range(0, 60, 1, 1).select("id", F.concat(cell, F.col("id").cast("string")).cast("binary").alias("cell"))
+    table = written(cells, "cells")
+    assert table.select("id", F.crc32("cell")).collect() == cells.select("id", F.crc32("cell")).collect()
+    groups = []
+    for path in table.inputFiles():
+        file = pq.ParquetFile(urlparse(path).path).metadata
+        groups += [file.row_group(k) for k in range(file.num_row_groups)]
+    assert sum(group.num_rows for group in groups) == 60
+    assert max(group.total_byte_size for group in groups) < 1.5 * GROUP_BYTES
+
+
+def test_few_features_of_a_singular_and_of_an_extended_model(spark, data):
+    x, reg, y = data
+    twice = np.concatenate([x[:2], x[:2], x[:1] + x[1:2], x[:2]])
+    model = tiles.fit_tiled(landmarks(spark, twice), 0.0, kernels.linear(), method="pinv", tile=2)
+    basis = np.linalg.qr(x[:2].T)[0]
+    (_, residual), = tiles.feature_residuals(model)
+    assert np.allclose(residual, np.eye(3) - basis @ basis.T, atol=1e-9)
+    model = tiles.fit_tiled(landmarks(spark, x[:50], reg[:50]), 0.1, kernels.linear(), tile=30)
+    model = tiles.append_landmarks(model, landmarks(spark, x[50:], reg[50:], first=50), tile=30)
+    want = brute.leverages(x, reg, 0.1, y, kernels.linear().block)
+    assert np.allclose(scores(table(spark, y), model), want, atol=1e-12)
+
+
+def test_tiled_and_primal_classes_agree(spark, data):
+    """The least leverage may be a small share of k(y, y): both forms keep its digits."""
+    x, _, y = data
+    rows = [(i, (5, 9, 2)[i % 3], [float(v) for v in x[i]]) for i in range(130)]
+    chosen = spark.createDataFrame(rows, "id long, label long, x array<double>")
+    df = table(spark, y, label=F.col("id") % 3)
+    got, want = (
+        classify.classify_max_projection(df, classify.fit_class_subspaces(chosen, 10**9, form=form)).orderBy("id").collect()
+        for form in ("tiled", "primal")
+    )
+    assert [r["pred_label"] for r in got] == [r["pred_label"] for r in want]
+    assert np.allclose([r["residual"] for r in got], [r["residual"] for r in want], rtol=1e-6, atol=0)
+
+
 def test_halving_and_refinement_under_rbf_match_brute_force(spark, monkeypatch):
     _halving_and_refinement(spark, monkeypatch)
 
